@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import history, neardup, packing, splitting, tokenize
+from corvane.llm import history, neardup, packing, residue, splitting, tokenize
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,17 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenize.token_counts(table(spark, d, "documents")), table(spark, d, "pack_capacities"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(residue.records(table(spark, d, "documents"))).select(F.col("id").alias("doc_id"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus without its residue."""
+    return residue.clean(table(spark, d, "documents")).select("doc_id", "text", "lang", "source", "n_chars")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_typing, p6_ids, p6_roundtrip, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_typing, p6_ids, p6_roundtrip, p7_containers, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
