@@ -78,7 +78,8 @@ def candidate_pairs(reps: DataFrame, like: Likeness) -> DataFrame:
     """``(a, b, x)``, a < b: records that share x >= least_keys band keys."""
     flat = reps.select("id", F.explode("keys").alias("key"))
     counted = flat.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rows = flat.join(counted, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Keys of two or more rows are few; writing them keeps both sides of the next join from repeating this one.
+    rows = materialize(flat.join(counted, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "shared-keys")
     left = rows.select("key", "id", F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.col("blocks") - 1)).alias("j"))
     right = rows.select("key", F.col("id").alias("other"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"))
     met = left.join(right, ["key", "i", "j"]).where("(i < j and id <> other) or (i = j and id < other)")

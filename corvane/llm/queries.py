@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import history, neardup, packing, residue, splitting, tokenize
+from corvane.llm import history, langid, neardup, packing, residue, splitting, tokenize
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,27 @@ def p4_typing(spark: SparkSession, d: str) -> DataFrame:
     return history.lookup(history.segments(keys), keys).where("distance > 0 and probe < name").select("probe", "name", "distance")
 
 
+def _p5_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    return tuple(table(spark, d, n) for n in ("parsed_chunks", "preprocessed_queries", "documents", "lang_samples"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.found(*_p5_tables(spark, d), residue.found(residue.records(table(spark, d, "documents"))))
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every record with its confidence, and what its label named."""
+    return langid.labels(*_p5_tables(spark, d))
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of mixed records, each with its language and confidence."""
+    chunks, queries_, documents, samples = _p5_tables(spark, d)
+    model, rows = langid.fit(samples), langid.records(chunks, queries_, documents)
+    mixed = langid.detect(rows, model).where("mixed").select("kind", "rec_id").distinct()
+    return langid.segments(rows.join(mixed, ["kind", "rec_id"], "left_semi"), model)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"))
 
@@ -66,7 +87,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_typing, p6_ids, p6_roundtrip, p7_containers, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_typing, p5_found, p5_labels, p5_segments, p6_ids, p6_roundtrip, p7_containers, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
