@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import history, langid, neardup, packing, residue, splitting, tokenize
+from corvane.llm import history, langid, neardup, packing, residue, scanrepair, splitting, tokenize
 from corvane.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.all_pieces(table(spark, d, "parsed_chunks"), table(spark, d, "ir_blocks"), table(spark, d, "split_limits"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanrepair.found(table(spark, d, "parsed_chunks"), table(spark, d, "ir_blocks"), table(spark, d, "asset_index_log"))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with scan noise, repaired."""
+    chunks = table(spark, d, "parsed_chunks")
+    return scanrepair.repair(scanrepair.records(chunks, table(spark, d, "ir_blocks")), scanrepair.all_titles(chunks, table(spark, d, "asset_index_log")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return history.found(table(spark, d, "asset_index_log"), table(spark, d, "task_records"))
 
@@ -87,7 +97,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p4_found, p4_typing, p5_found, p5_labels, p5_segments, p6_ids, p6_roundtrip, p7_containers, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_typing, p5_found, p5_labels, p5_segments, p6_ids, p6_roundtrip, p7_containers, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
