@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for name in ():
+    for name in ("text_queries",):
         importlib.import_module(f"corvane.plans.{name}")
 
 
