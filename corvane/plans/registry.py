@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for name in ("text_queries", "lexical_queries"):
+    for name in ("text_queries", "lexical_queries", "search_queries", "evaluation_queries", "state_queries"):
         importlib.import_module(f"corvane.plans.{name}")
 
 
