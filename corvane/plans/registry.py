@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.session import table
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -29,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for name in ("text_queries", "lexical_queries", "search_queries", "evaluation_queries", "state_queries"):
+    for name in ("text_queries", "lexical_queries", "search_queries", "evaluation_queries", "state_queries", "content_queries", "relational_queries"):
         importlib.import_module(f"corvane.plans.{name}")
 
 
@@ -44,4 +42,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region")
+    """Hybrid search of the queries: channels fused, routes merged by asset."""
+    _load()
+    return _QUERIES["f4_merged_routes"](spark, d)
