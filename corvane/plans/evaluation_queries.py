@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import evaluation as E
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import spread, table
 
 _SLUG = "trim(regexp_replace(replace(lower(regexp_replace(x, '(_[0-9a-f]{8})+$', '')), 'ß', 'ss'), '[\\s\\-_]+', '-', 'g'), '-')"
 _MATCH = "({a} <> '' AND {e} <> '' AND (contains({a}, {e}) OR contains({e}, {a})))"
@@ -30,7 +30,7 @@ r AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "task_records").select(F.col("task_seq").alias("case_id"), F.col("kind").alias("grp"), F.col("uploaded_files").alias("actual"), F.map_keys("asset_statuses").alias("expected"))
+    return spread(table(spark, d, "task_records").select("task_seq", "kind", "uploaded_files", "asset_statuses")).select(F.col("task_seq").alias("case_id"), F.col("kind").alias("grp"), F.col("uploaded_files").alias("actual"), F.map_keys("asset_statuses").alias("expected"))
 
 
 @query(f"WITH RECURSIVE {_CASES} SELECT case_id, array_to_string(hits, '') AS hits, array_to_string(flags, '') AS flags FROM p")

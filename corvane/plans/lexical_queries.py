@@ -9,7 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import lexical as L
 from corvane.plans.registry import query
 from corvane.plans.text_queries import ZH_SQL
-from corvane.session import table
+from corvane.session import spread, table
 
 INDEXED = "CASE WHEN trim(metadata.context) <> '' THEN metadata.context || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END"
 ZH = f"""
@@ -39,12 +39,12 @@ er AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 
 
 def zh_docs(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "parsed_chunks")
+    chunks = spread(table(spark, d, "parsed_chunks").select("chunk_id", "text", "metadata"))
     return L.token_table(chunks, "chunk_id", T.zh_tokens(L.index_text(F.col("text"), F.col("metadata.context"))))
 
 
 def en_docs(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "parsed_chunks")
+    chunks = spread(table(spark, d, "parsed_chunks").select("chunk_id", "text", "metadata"))
     return L.token_table(chunks, "chunk_id", T.bm25_tokens(L.index_text(F.col("text"), F.col("metadata.context"))))
 
 
@@ -53,10 +53,9 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zh_hits(spark: SparkSession, d: str, n: int = 50) -> DataFrame:
-    docs = zh_docs(spark, d)
-    tf = L.term_frequencies(docs)
-    terms = L.query_vectors(asked(spark, d).select("query_id", T.zh_tokens(F.col("raw")).alias("tokens")), L.idf_table(tf, L.corpus_stats(docs)))
-    return L.top_n(L.scores(terms, L.document_vectors(docs)), n)
+    asked_tokens = asked(spark, d).select("query_id", T.zh_tokens(F.col("raw")).alias("tokens"))
+    postings, idf = L.asked_vectors(zh_docs(spark, d), asked_tokens.select(F.explode("tokens").alias("term")))
+    return L.top_n(L.scores(L.query_vectors(asked_tokens, idf), postings), n)
 
 
 def en_hits(spark: SparkSession, d: str, n: int = 50) -> DataFrame:

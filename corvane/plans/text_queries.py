@@ -9,7 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import keywords as K
 from corvane.operators import querying
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import spread, table
 
 _Z = "'[A-Za-z][A-Za-z0-9]+(?:[-_.][A-Za-z0-9]+)*|[0-9]+|[一-鿿]+|[^ \\t\\r\\n\\f\\v]'"
 ZH_SQL = f"flatten(list_transform(regexp_extract_all(coalesce(text, ''), {_Z}), lambda t: CASE WHEN regexp_matches(t, '^[一-鿿]') AND length(t) > 1 THEN list_transform(range(1, length(t)), lambda i: substring(t, i, 2)) WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9]') THEN [lower(t)] ELSE [t] END))"
@@ -96,12 +96,12 @@ kzh AS (SELECT chunk_id, list(tok ORDER BY rn) AS kw FROM zh WHERE rn <= 8 GROUP
 
 @query(f"WITH {_KW_EN} SELECT chunk_id, array_to_string(kw, ' ') AS keywords FROM ken")
 def t10_keywords_en(spark: SparkSession, d: str) -> DataFrame:
-    return K.keywords_en(table(spark, d, "parsed_chunks"), "chunk_id", "text").select("chunk_id", F.array_join("keywords", " ").alias("keywords"))
+    return K.keywords_en(spread(table(spark, d, "parsed_chunks").select("chunk_id", "text")), "chunk_id", "text").select("chunk_id", F.array_join("keywords", " ").alias("keywords"))
 
 
 @query(f"WITH {_KW_ZH} SELECT chunk_id, array_to_string(kw, ' ') AS keywords FROM kzh")
 def t11_keywords_zh(spark: SparkSession, d: str) -> DataFrame:
-    return K.keywords_zh(table(spark, d, "parsed_chunks"), "chunk_id", "text").select("chunk_id", F.array_join("keywords", " ").alias("keywords"))
+    return K.keywords_zh(spread(table(spark, d, "parsed_chunks").select("chunk_id", "text")), "chunk_id", "text").select("chunk_id", F.array_join("keywords", " ").alias("keywords"))
 
 
 @query(f"""
@@ -109,7 +109,7 @@ WITH {_KW_EN}, {_KW_ZH}
 SELECT p.chunk_id, CASE WHEN coalesce(kzh.kw, ken.kw) IS NULL THEN p.text ELSE p.text || chr(10) || chr(10) || '关键词: ' || array_to_string(coalesce(kzh.kw, ken.kw), ' ') END AS enriched
 FROM parsed_chunks p LEFT JOIN kzh USING (chunk_id) LEFT JOIN ken USING (chunk_id) WHERE trim(p.text) <> ''""")
 def t14_enriched_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return K.enrich(table(spark, d, "parsed_chunks").where("trim(text) <> ''"), "chunk_id", "text").select("chunk_id", "enriched")
+    return K.enrich(spread(table(spark, d, "parsed_chunks").select("chunk_id", "text").where("trim(text) <> ''")), "chunk_id", "text").select("chunk_id", "enriched")
 
 
 @query("""
