@@ -93,9 +93,10 @@ def verified_pairs(records: DataFrame, like: Likeness, name: str) -> tuple[DataF
     ``records`` has one row (id, body) for each id.
     """
     sigs = materialize(signatures(spread(records), like), f"{name}-sigs")
-    reps = sigs.groupBy("sig", "n").agg(F.min_by(F.struct("id", "keys"), "id").alias("r")).select("sig", "n", "r.id", "r.keys")
-    reps = materialize(reps, f"{name}-reps")
-    members = sigs.select("id", "sig", "n").join(reps.select("sig", "n", F.col("id").alias("rep")), ["sig", "n"]).select("id", "rep")
+    firsts = sigs.groupBy("sig", "n").agg(F.min("id").alias("rep"))
+    members = sigs.select("id", "sig", "n").join(firsts, ["sig", "n"]).select("id", "rep")
+    # Copies leave before their keys are spread; the keys stay in the one table that holds them.
+    reps = sigs.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
     pairs = materialize(candidate_pairs(reps, like), f"{name}-pairs")
     strong = pairs.where(F.col("x") * 4 >= like.bands)
     leader = strong.select(F.col("b").alias("id"), F.col("a").alias("g")).groupBy("id").agg(F.min("g").alias("g"))
