@@ -29,16 +29,18 @@ def prepare(cases: DataFrame) -> DataFrame:
     Greedy: in rank order each actual claims the first expected one that matches and is still free.
     """
     rows = cases.select("case_id", "grp", slugs(F.col("actual")).alias("acts"), F.array_distinct(F.filter(slugs(F.col("expected")), lambda x: x != "")).alias("exps"))
-    rows = rows.withColumn("hits", F.transform("acts", lambda a: F.exists("exps", lambda e: matches(a, e)).cast("int")))
+    # Which expected ones each actual could claim: the only step that compares texts, so it is done once.
+    places = F.when(F.size("exps") > 0, F.sequence(F.lit(1), F.size("exps"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("cand", F.transform("acts", lambda a: F.filter(places, lambda j: matches(a, F.element_at("exps", j)))))
+    rows = rows.withColumn("hits", F.transform("cand", lambda c: (F.size(c) > 0).cast("int")))
     empty = F.struct(F.array().cast("array<int>").alias("claimed"), F.array().cast("array<int>").alias("flags"))
 
-    def claim(state: Column, act: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(1), F.size("exps")), lambda j: ~F.array_contains(state.claimed, j) & matches(act, F.element_at("exps", j)))
-        free = F.when(F.size("exps") > 0, free).otherwise(F.array().cast("array<int>"))
+    def claim(state: Column, cand: Column) -> Column:
+        free = F.filter(cand, lambda j: ~F.array_contains(state.claimed, j))
         got = F.size(free) > 0
         return F.struct(F.when(got, F.array_append(state.claimed, F.get(free, 0))).otherwise(state.claimed).alias("claimed"), F.array_append(state.flags, got.cast("int")).alias("flags"))
 
-    return rows.withColumn("flags", F.aggregate("acts", empty, claim).flags)
+    return rows.withColumn("flags", F.aggregate("cand", empty, claim).flags)
 
 
 def _sum(col: Column) -> Column:

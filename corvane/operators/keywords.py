@@ -17,18 +17,18 @@ def _top(counted: DataFrame, id_col: str, k: int) -> DataFrame:
 
 def keywords_en(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame:
     """``(id, keywords)``: tokens of three or more characters that are no stop words, case kept."""
-    toks = df.select(id_col, F.posexplode(T.tokens(T.strip_images(F.col(text_col)))).alias("pos", "tok"))
-    toks = toks.where((F.length("tok") >= 3) & ~F.lower("tok").isin(*T.EN_STOPWORDS))
+    toks = df.select(id_col, F.posexplode_outer(T.tokens(T.strip_images(F.col(text_col)))).alias("pos", "tok"))
+    toks = toks.where(F.col("tok").isNotNull() & (F.length("tok") >= 3) & ~F.lower("tok").isin(*T.EN_STOPWORDS))
     return _top(toks.groupBy(id_col, "tok").agg(F.count("*").alias("n"), F.min("pos").alias("first")), id_col, k)
 
 
 def keywords_zh(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame:
     """``(id, keywords)``: pairs of neighbouring Han characters, without stop words."""
     han = df.select(id_col, F.regexp_replace(T.strip_images(F.col(text_col)), "[^一-鿿]", "").alias("han")).where(F.length("han") > 1)
-    pairs = han.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("han") - 1), lambda i: F.substring(F.col("han"), i, F.lit(2)))).alias("pos", "tok"))
+    pairs = han.select(id_col, F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.length("han") - 1), lambda i: F.substring(F.col("han"), i, F.lit(2)))).alias("pos", "tok"))
     single = [w for w in T.ZH_STOPWORDS if len(w) == 1]
     stop = (F.substring("tok", 1, 1).isin(*single)) & (F.substring("tok", 2, 1).isin(*single))
-    pairs = pairs.where(~F.col("tok").isin(*[w for w in T.ZH_STOPWORDS if len(w) == 2]) & ~stop)
+    pairs = pairs.where(F.col("tok").isNotNull() & ~F.col("tok").isin(*[w for w in T.ZH_STOPWORDS if len(w) == 2]) & ~stop)
     return _top(pairs.groupBy(id_col, "tok").agg(F.count("*").alias("n"), F.min("pos").alias("first")), id_col, k)
 
 

@@ -9,7 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import fusion, vectors
 from corvane.plans import lexical_queries as X
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import materialize, table
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 5)"
 
@@ -67,8 +67,9 @@ _FUSED = """
 fu AS (SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank, 4e-1 AS w FROM er WHERE rank <= 50 UNION ALL SELECT query_id, id, rank, 6e-1 AS w FROM zr WHERE rank <= 50) GROUP BY query_id, id)"""
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
-    lists = X.en_hits(spark, d).withColumn("route", F.lit("en")).unionByName(X.zh_hits(spark, d).withColumn("route", F.lit("zh")))
+def fused(spark: SparkSession, d: str, zh: DataFrame | None = None) -> DataFrame:
+    zh = X.zh_hits(spark, d) if zh is None else zh
+    lists = X.en_hits(spark, d).withColumn("route", F.lit("en")).unionByName(zh.withColumn("route", F.lit("zh")))
     return fusion.fuse_channels(lists.withColumnRenamed("id", "chunk_id"), {"en": 0.4, "zh": 0.6})
 
 
@@ -90,9 +91,10 @@ _ALL = f"{X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN}, {_FUSED}, {_CHUNK}, {_MERGED.rep
 
 
 def route_hits(spark: SparkSession, d: str) -> DataFrame:
-    ch = chunk_payload(spark, d)
-    text = fused(spark, d).join(ch.where(~F.coalesce("is_image", F.lit(False))), "chunk_id").withColumn("route", F.lit("text"))
-    image = X.zh_hits(spark, d).select("query_id", F.col("id").alias("chunk_id"), "score").join(ch.where("is_image"), "chunk_id").withColumn("route", F.lit("text_to_image"))
+    # Ranked lists are a few rows for each query; both routes read the same one.
+    ch, zh = chunk_payload(spark, d), materialize(X.zh_hits(spark, d), "ranked")
+    text = fused(spark, d, zh).join(ch.where(~F.coalesce("is_image", F.lit(False))), "chunk_id").withColumn("route", F.lit("text"))
+    image = zh.select("query_id", F.col("id").alias("chunk_id"), "score").join(ch.where("is_image"), "chunk_id").withColumn("route", F.lit("text_to_image"))
     cols = ["query_id", "route", "chunk_id", "asset_id", "title", "evidence", "score", "images"]
     return text.select(*cols).unionByName(image.select(*cols))
 
