@@ -52,7 +52,7 @@ def rejected(size: Column, width: Column, height: Column, most_bytes: int, most_
 
 
 def sniff(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file below ``path``; the content goes to its hash and its header alone."""
+    """One row for each file below ``path``; the content goes to its hash and its header alone. Empty files give no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     rows = files.select("path", F.col("length").alias("file_size"), F.substring("content", 1, 32).alias("head"), F.sha2("content", 256).alias("sha256"))
     rows = rows.withColumn("format", file_format(F.col("path"), F.col("head"))).withColumn("size", png_size(F.col("head")))
