@@ -38,7 +38,7 @@ NAMES = {
     "es": ("es", "spa", "spanish", "español", "espanol", "castellano", "spanisch", "espagnol", "西班牙语", "スペイン語"),
     "ja": ("ja", "jpn", "jp", "japanese", "日本語", "japanisch", "japonais", "japonés", "日语", "日文"),
 }
-_TOKEN = re.compile(r"[a-zà-öø-ÿœ]+|[぀-ゟ]{1,3}|[゠-ヿ]{1,3}|[一-鿿]{1,2}|[。！？!?]|\.(?=\s|$|[぀-鿿])|\n\s*\n|\n|(?<=\s)[/—–|](?=\s)")
+_TOKEN = re.compile(r"[a-zß-öø-ÿœ]+|[぀-ゟ]{1,3}|[゠-ヿ]{1,3}|[一-鿿]{1,2}|[。！？!?]|\.(?=\s|$|[぀-鿿])|\n\s*\n|\n|(?<=\s)[/—–|](?=\s)")
 _END, _LINE, _PARA, _BAR, _TEXT = 0, 1, 2, 3, 4
 _MARKS = {"\n": _LINE, "/": _BAR, "—": _BAR, "–": _BAR, "|": _BAR, **dict.fromkeys(".。！？!?", _END)}
 _CACHE = 400_000
@@ -137,6 +137,8 @@ class Scorer:
 
 def verdicts(texts: list[str], queries: list[bool], scorer: Scorer) -> list[list[tuple[str, float]]]:
     """The languages of each text with their confidence: one for plain texts, several for mixed ones."""
+    if not texts:
+        return []
     if scorer.next > _CACHE:
         scorer.clear()
     flat: list[int] = []

@@ -177,7 +177,7 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
 def title_records(log: DataFrame) -> DataFrame:
     """The title of each asset's earliest live row, reduced to tokens and single blanks."""
     first = log.where(~F.coalesce("deleted", F.lit(False))).groupBy("asset_id").agg(F.min_by(F.struct("log_seq", "asset_title"), "log_seq").alias("t")).select("t.*")
-    plain = F.trim(F.regexp_replace(F.lower("asset_title"), "[^a-z0-9à-öø-ÿ぀-ヿ一-鿿]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower("asset_title"), "[^a-z0-9ß-öø-ÿ぀-ヿ一-鿿]+", " "))
     return first.where("asset_title is not null").select(F.col("log_seq").alias("id"), plain.alias("body")).where("body <> ''")
 
 
