@@ -96,7 +96,8 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.zeros(bands, np.uint64)
     for column in best.reshape(rows, bands).astype(np.uint64):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-    return mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    # Forty bits of hash below the number of the band: short numbers make a short shuffle.
+    return (mix(keys) & np.uint64((1 << 40) - 1)) | (np.arange(bands, dtype=np.uint64) << np.uint64(40))
 
 
 _MUL: dict[int, np.ndarray] = {}
