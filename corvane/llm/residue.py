@@ -55,18 +55,19 @@ SCRIPTS = (
 ERRORS = (
     r"traceback \(most recent call last\):?|file \"[^\"\n]+\", line \d+(?:, in \w+)?|\b\w+(?:error|exception): [^\n]{0,80}|(?:http )?error (?:code )?\d{3}\b|^\W*\d{3} (?:not found|forbidden|service unavailable|gateway timeout|too many requests|bad gateway|internal server error|unauthorized|bad request|gone)|^\W*(?:not found|forbidden|service unavailable|gateway timeout|too many requests|bad gateway|internal server error|unauthorized|bad request)\W*$|\bstatus=\d+"
     r"|\{\"ok\": ?false[^\n]*|\"(?:code|detail|error)\": ?[^\n]*|upstream \w+ did not answer|the asset you asked for could not be found|session expired(?:, sign in again)?|please try again later[^.\n]{0,50}|something went wrong[^.\n]{0,50}|quota exceeded[^.\n]{0,40}|connection (?:reset|refused|closed)[^.\n]{0,20}|ocr worker returned no text(?: \(exit code \d+\))?|the request timed out[^.\n]{0,40}|access to this \w+ is denied|access denied|page not found|reference: \d+-\d+|exit code \d+"
-    r"|accès refusé|page introuvable|le serveur ne répond pas|session expirée|erreur interne[^.\n]{0,60}|zugriff verweigert|seite nicht gefunden|der server antwortet nicht|sitzung abgelaufen|interner fehler[^.\n]{0,60}|acceso denegado|página no encontrada|el servidor no responde|sesión (?:caducada|expirada)|error interno[^.\n]{0,60}"
+    r"|accès refusé|page introuvable|le serveur ne répond pas|session expirée|erreur interne[^.\n]{0,60}|zugriff verweigert|seite nicht gefunden|der server antwortet nicht|sitzung abgelaufen|interner fehler[^.\n]{0,60}|acceso denegado|página no encontrada|el servidor no responde|(?:la )?sesión (?:ha )?(?:caducad[ao]|expirad[ao])|error interno[^.\n]{0,60}"
     r"|访问被拒绝|页面不存在(?:或已被删除)?|服务器内部错误(?:，错误码\d+)?|请求超时(?:，请稍后重试)?|解析服务无响应|会话已过期(?:，请重新登录)?|请稍后重试|アクセスが拒否されました|ページが見つかりません|サーバーが応答しません|内部エラー ?\d* ?が発生しました|時間をおいて再度お試しください|セッションの?(?:有効)?期限が?切れ(?:ました)?"
 )
 PHRASES = re.compile(f"{FILLER}|{SCRIPTS}|{ERRORS}", re.I)
 #: Sentences that speak of such things: a teller, a time, or a change makes them content.
-TELLS = re.compile(r"旧版页面|的服务返回|模板变量|\bthat sees\b|\basks? for the asset again\b|\bold viewer\b|\btold people\b|\bthe template field\b|\bis filled when\b|を返すと|ancien(?:ne)? (?:page|visionneuse|lecteur)|alte[rn]? (?:anzeige|seite|betrachter)|visor antiguo|página antigua|以前の|古いビューア|テンプレートの?変数|le champ|das feld|el campo|quand |cuando |wenn |とき|\bwhen\b|时，|なると", re.I)
+TELLS = re.compile(r"旧版页面|的服务返回|模板变量|\bthat sees\b|\basks? for the asset again\b|\bold viewer\b|\btold people\b|\bthe template field\b|\bis filled when\b|を返すと|ancien(?:ne)? (?:page|visionneuse|lecteur)|alte[rn]? (?:anzeige|seite|betrachter)|visor antiguo|página antigua|以前の|古いビューア|テンプレートの?変数|le champ|das feld|el campo|quand |cuando |wenn |とき|\bwhen\b|返回 ?\d+ ?时|なると", re.I)
 NEUTRAL = re.compile(r"^\W*(?:menu|home(?: \| \w+)*|首页(?: / \w+)*|摘要|summary|résumé|resumen|zusammenfassung|要約|« back|back|© [\w ]+|v?\d+(?:\.\d+)*|</?\w+>)\W*$", re.I)
+_TAGS = re.compile(r"</?(?:noscript|h\d|p|div|br|span|b|i|html|body)\b[^<>]*>", re.I)
 _UNITS = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Some part of each residue pattern, in lower case; texts without any are no trusted residue.
-HINTS = ("{", "[", "<", "«", "__", "@@", "#", "%", "$", "&lt;", "todo", "fixme", "tbd", "【", "〔", "（", *_LATER.split("|"), "goes here", "comes here", "text here", "content here", "copy here", "sample paragraph", "sample text", "dummy", "placeholder", "type something", "test test", "test. test", "asdf", "foo", "xxx", "factice", "viendra ici", "d'exemple", "d’exemple", "beispiel", "hier steht", "mustertext", "blindtext", "platzhalter", "relleno", "de ejemplo", "aquí va", "テストテスト", "ここに", "仮の文", "ダミー", "占位", "正文正文", "测试测试", "示例", "javascript", " js", "scripts", "skripte", "browser", "loading", "chargement", "geladen", "cargando", "navigateur", "navegador", "脚本", "浏览器", "加载", "スクリプト", "ブラウザ", "読み込み", "cookie", "traceback", 'file "', "error", "exception: ", "not found", "be found", "forbidden", "unavailable", "timeout", "too many requests", "gateway", "status=", "did not answer", "expired", "try again", "went wrong", "quota", "connection ", "timed out", "denied", "no text", "refusé", "introuvable", "répond pas", "expirée", "erreur", "verweigert", "nicht gefunden", "antwortet", "abgelaufen", "fehler", "denegado", "no encontrada", "no responde", "caducada", "expirada", "拒绝", "不存在", "错误", "超时", "无响应", "过期", "请稍后", "拒否", "見つかりません", "応答", "エラー", "再度", "期限", "exit code", "reference: ", *sorted(w for w in _LOREM if len(w) > 4))
+HINTS = ("{", "[", "<", "«", "__", "@@", "#", "%", "$", "&lt;", "todo", "fixme", "tbd", "【", "〔", "（", *_LATER.split("|"), "goes here", "comes here", "text here", "content here", "copy here", "sample paragraph", "sample text", "dummy", "placeholder", "type something", "test test", "test. test", "asdf", "foo", "xxx", "factice", "viendra ici", "d'exemple", "d’exemple", "beispiel", "hier steht", "mustertext", "blindtext", "platzhalter", "relleno", "de ejemplo", "aquí va", "テストテスト", "ここに", "仮の文", "ダミー", "占位", "正文正文", "测试测试", "示例", "javascript", " js", "scripts", "skripte", "browser", "loading", "chargement", "geladen", "cargando", "navigateur", "navegador", "脚本", "浏览器", "加载", "スクリプト", "ブラウザ", "読み込み", "cookie", "traceback", 'file "', "error", "exception: ", "not found", "be found", "forbidden", "unavailable", "timeout", "too many requests", "gateway", "status=", "did not answer", "expired", "try again", "went wrong", "quota", "connection ", "timed out", "denied", "no text", "refusé", "introuvable", "répond pas", "expirée", "erreur", "verweigert", "nicht gefunden", "antwortet", "abgelaufen", "fehler", "denegado", "no encontrada", "no responde", "caducad", "expirad", "拒绝", "不存在", "错误", "超时", "无响应", "过期", "请稍后", "拒否", "見つかりません", "応答", "エラー", "再度", "期限", "exit code", "reference: ", *sorted(w for w in _LOREM if len(w) > 4))
 
 
 def _hinted():
@@ -113,7 +114,7 @@ def unit_weights(unit: str) -> tuple[int, int]:
 def weights(text: str, hinted) -> tuple[int, int]:
     """Residue and content of a text; menus, headings and stray words are neither."""
     residue = content = 0
-    for unit in _UNITS.split(text):
+    for unit in _UNITS.split(_TAGS.sub(" ", text) if "<" in text else text):
         unit = unit.strip()
         if not unit or (len(unit) < 60 and NEUTRAL.match(unit)):
             continue
