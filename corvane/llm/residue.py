@@ -29,7 +29,7 @@ from corvane.llm.shingles import shingle_sets
 from corvane.session import materialize, spread
 
 MAX_HAMMING = 4
-PARTS = 6
+PARTS = 7
 SIMILARITY = 0.8
 
 _ASKS = r"insert|your|insérer|poner|inserir|ihre?n?|hier|enter|add|fill in|votre|su"
@@ -172,15 +172,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def simhash_pairs(prints: DataFrame) -> DataFrame:
     """``(a, b, sim_a, sim_b)`` of representatives within the Hamming distance, through the partitioned tables.
 
-    The 64 bits are cut into ``PARTS`` blocks; within ``MAX_HAMMING`` differences at least two blocks are whole, so
-    each pair of blocks is one table. Equal fingerprints are one entry, so a hot group of copies is one row.
+    The 64 bits are cut into ``PARTS`` blocks; within ``MAX_HAMMING`` differences at least ``PARTS - MAX_HAMMING`` blocks
+    are whole, so each choice of that many blocks is one table, with keys of 27 bits or so. Equal fingerprints are one
+    entry, so a hot group of copies is one row.
     """
     edges = [round(64 * k / PARTS) for k in range(PARTS + 1)]
-    block = [f"(shiftrightunsigned(sim, {lo}) & {(1 << (hi - lo)) - 1}L)" for lo, hi in zip(edges, edges[1:], strict=False)]
-    tables = [f"struct({k} as t, {block[i]} as u, {block[j]} as v)" for k, (i, j) in enumerate(combinations(range(PARTS), 2))]
-    entry = prints.select("sim").distinct().select("sim", F.explode(F.expr(f"array({', '.join(tables)})")).alias("e")).select("sim", "e.t", "e.u", "e.v")
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    masks = [sum(chosen) for chosen in combinations(blocks, PARTS - MAX_HAMMING)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    tables = ", ".join(f"struct({k} as t, sim & {f'{m}L' if m > -(1 << 63) else 'bigint(-9223372036854775808)'} as u)" for k, m in enumerate(signed))
+    entry = prints.select("sim").distinct().select("sim", F.explode(F.expr(f"array({tables})")).alias("e")).select("sim", "e.t", "e.u")
     other = entry.withColumnRenamed("sim", "sim_b")
-    met = entry.withColumnRenamed("sim", "sim_a").join(other, ["t", "u", "v"]).where("sim_a < sim_b")
+    met = entry.withColumnRenamed("sim", "sim_a").join(other, ["t", "u"]).where("sim_a < sim_b")
     return met.select("sim_a", "sim_b").where(F.expr(f"bit_count(sim_a ^ sim_b) <= {MAX_HAMMING}")).distinct()
 
 
