@@ -17,6 +17,8 @@ CHARS_PER_TOKEN = 3.5
 #: Separators from the coarsest to the finest.
 SEPARATORS = ("\n\n", "\n", "。", ".", "！", "!", "？", "?", "；", ";", " ", "")
 ATX = r"^#{1,3}\s+\S"
+#: Orders that are numbered together.
+ORDER_RUN = 8192
 
 
 def lines_of(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,6 +126,22 @@ def split_bodies(rows: DataFrame, body_col: str = "body", target: int = 500, mos
     return small.union(rows.where(~fits).withColumn("pieces", cut(body_col))).select(*rows.columns, F.posexplode("pieces").alias("piece_ix", "piece"))
 
 
+def number_sections(blocks: DataFrame, run: int = ORDER_RUN) -> DataFrame:
+    """Adds ``part``, the running number of the section within the asset.
+
+    Works in runs of ``run`` orders: flags and sums inside a run, and one row for each run that carries over the last
+    page and the number of sections so far. So an asset that holds a third of all blocks is spread over many tasks.
+    """
+    rows = blocks.withColumn("run", F.floor(F.col("ord") / run))
+    w, whole = Window.partitionBy("asset_id", "run").orderBy("ord"), Window.partitionBy("asset_id").orderBy("run")
+    ends = rows.groupBy("asset_id", "run").agg(F.max_by(F.struct("page"), "ord").alias("end")).withColumn("carried", F.lag("end").over(whole)).drop("end")
+    before = F.coalesce(F.lag(F.struct("page")).over(w), F.col("carried"))
+    new = (F.coalesce("heading", F.lit("")) != "") | before.isNull() | ~F.col("page").eqNullSafe(before.page)
+    rows = rows.join(ends, ["asset_id", "run"]).withColumn("new", new.cast("int"))
+    sums = rows.groupBy("asset_id", "run").agg(F.sum("new").alias("n")).withColumn("sofar", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return rows.join(sums, ["asset_id", "run"]).withColumn("part", F.col("sofar") + F.sum("new").over(w)).drop("run", "carried", "new", "sofar")
+
+
 def coalesce_blocks(blocks: DataFrame, target_chars: int) -> DataFrame:
     """(asset_id, part, page, heading, body, n_blocks): leaf blocks joined to sections.
 
@@ -131,10 +149,7 @@ def coalesce_blocks(blocks: DataFrame, target_chars: int) -> DataFrame:
     ``target_chars`` is closed before the next block. Islands are found by running sums, so only the cap, which
     depends on what came before, folds over the blocks of one island.
     """
-    w = Window.partitionBy("asset_id").orderBy("ord")
-    rows = blocks.withColumn("body", F.trim(F.coalesce("text", F.lit("")))).where("body <> ''")
-    new = (F.coalesce("heading", F.lit("")) != "") | ~F.col("page").eqNullSafe(F.lag("page").over(w)) | F.lag("ord").over(w).isNull()
-    rows = rows.withColumn("part", F.sum(new.cast("int")).over(w))
+    rows = number_sections(blocks.withColumn("body", F.trim(F.coalesce("text", F.lit("")))).where("body <> ''"))
     grouped = rows.groupBy("asset_id", "part").agg(F.first("page").alias("page"), F.max("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("ord", "body"))).alias("items"))
     empty = F.array().cast("array<struct<body:string,n:int>>")
 

@@ -16,14 +16,21 @@ def vocabulary(chunks: DataFrame, text_col: str = "text") -> DataFrame:
 def corrections(queries: DataFrame, vocab: DataFrame, raw_col: str = "raw", most: int = 2) -> DataFrame:
     """``(token, correction, distance)`` for query tokens that the corpus does not know.
 
-    Candidates are blocked by first letter and length, so only a slice of the vocabulary meets each token; the bounded
-    edit distance stops early.
+    Candidates share the first letter, the length they should have, and one of ``most + 1`` segments, shifted by at most
+    ``most``: within that many edits one segment stays whole. So each token meets a few words and not a block of the
+    vocabulary, and the bounded edit distance stops early.
     """
     words = vocab.where(F.col("token").rlike("^[a-z0-9]+$")).select(F.col("token").alias("word"))
     toks = queries.select(F.explode(T.tokens(F.col(raw_col))).alias("token")).distinct().where(F.col("token").rlike("^[A-Za-z0-9]{4,}$")).withColumn("low", F.lower("token"))
     unknown = toks.join(words.withColumnRenamed("word", "low"), "low", "left_anti")
+    begin = lambda seg: f"cast(floor(({seg}) * len / {most + 1}) as int)"
+    size = f"({begin('seg + 1')} - {begin('seg')})"
     asked = unknown.select("token", "low", F.substring("low", 1, 1).alias("head"), F.explode(F.expr(f"sequence(length(low) - {most}, length(low) + {most})")).alias("len"))
-    met = asked.join(words.select("word", F.substring("word", 1, 1).alias("head"), F.length("word").alias("len")), ["head", "len"])
+    asked = asked.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    asked = asked.where(f"{begin('seg')} + shift >= 0 and {begin('seg')} + shift + {size} <= length(low)").withColumn("piece", F.expr(f"substring(low, {begin('seg')} + shift + 1, {size})"))
+    index = words.select("word", F.substring("word", 1, 1).alias("head"), F.length("word").alias("len"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("seg"))
+    index = index.withColumn("piece", F.expr(f"substring(word, {begin('seg')} + 1, {size})"))
+    met = asked.select("token", "low", "head", "len", "seg", "piece").distinct().join(index, ["head", "len", "seg", "piece"]).select("token", "low", "word").distinct()
     near = met.withColumn("distance", F.levenshtein("low", "word", most)).where("distance >= 0")
     return near.groupBy("token").agg(F.min(F.struct("distance", "word")).alias("b")).select("token", F.col("b.word").alias("correction"), F.col("b.distance").alias("distance"))
 

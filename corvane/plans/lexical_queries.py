@@ -103,7 +103,7 @@ s AS (SELECT chunk_id, round(sum(times * ln(1e0 + (n - df + 5e-1) / (df + 5e-1))
 k AS (SELECT r.chunk_id, r.asset_id, n, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY r.asset_id ORDER BY coalesce(score, 0) DESC, ix) AS kept_rank FROM r JOIN per USING (asset_id) LEFT JOIN s USING (chunk_id))"""
 
 
-@query(f"WITH {_CAP} SELECT chunk_id, asset_id, round(score, 6) AS score, kept_rank::INT AS kept_rank FROM k WHERE n <= 12 OR kept_rank <= 12")
+@query(f"WITH {_CAP} SELECT chunk_id, asset_id, round(score, 6) AS score, kept_rank::INT AS kept_rank FROM k WHERE kept_rank <= 12")
 def l6_capped_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "parsed_chunks").select("chunk_id", "metadata.asset_id", "metadata.asset_title", "text").where("asset_id is not null")
     return L.cap_per_asset(rows.withColumn("asset_title", F.coalesce("asset_title", F.lit(""))), 12).select("chunk_id", "asset_id", F.round("score", 6).alias("score"), "kept_rank")

@@ -246,3 +246,18 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("<think>a\nb</think> c", "bad https://x.y/z at host:8080\nnext", " YES ", "a, b；a\n")], "t string, e string, b string, g string")
     row = df.select(T.strip_think(F.col("t")), T.scrub_error(F.col("e")), T.as_bool(F.col("b")), T.split_tags(F.col("g")), T.insecure_url(F.lit("http://a.b/c")), T.insecure_url(F.lit("http://localhost:1"))).first()
     assert list(row) == ["c", "bad <url> at <host>", True, ["a", "b"], True, False]
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_sections_are_numbered_alike_in_runs_of_any_size(spark, run):
+    import random
+
+    rng = random.Random(run)
+    rows = [(rng.choice("ab"), rng.choice([None, 1, 1, 2]), i * 2, f"t{i}", rng.choice(["", "", "", "H"])) for i in range(60)]
+    got = {r["ord"]: r["part"] for r in chunking.number_sections(spark.createDataFrame(rows, "asset_id string, page int, ord int, body string, heading string"), run).collect()}
+    last: dict = {}
+    for asset, page, at, _, heading in rows:
+        part, before = last.get(asset, (0, "none"))
+        part += before == "none" or bool(heading) or page != before
+        last[asset] = (part, page)
+        assert got[at] == part
