@@ -165,9 +165,15 @@ def coalesce_blocks(blocks: DataFrame, target_chars: int) -> DataFrame:
 
 def chunk_documents(blocks: DataFrame, target_chars: int = 1750) -> DataFrame:
     """(asset_id, chunk_index, page, section, text): coalesced, split, numbered through the asset."""
-    parts = split_bodies(coalesce_blocks(blocks, target_chars))
-    w = Window.partitionBy("asset_id").orderBy("part", "sub", "piece_ix")
-    return parts.select("asset_id", (F.row_number().over(w) - 1).alias("chunk_index"), "page", F.coalesce("heading", F.lit("")).alias("section"), F.col("piece").alias("text"))
+    pieces = split_bodies(coalesce_blocks(blocks, target_chars))
+    # The number of pieces before a section, by runs of sections; only numbers of one section are given by a window over rows.
+    counts = pieces.groupBy("asset_id", "part").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("part") / ORDER_RUN))
+    whole = Window.partitionBy("asset_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("asset_id", "run").agg(F.sum("n").alias("n")).withColumn("sofar", F.coalesce(F.sum("n").over(whole), F.lit(0))).drop("n")
+    inside = Window.partitionBy("asset_id", "run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(runs, ["asset_id", "run"]).select("asset_id", "part", (F.col("sofar") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("offset"))
+    w = Window.partitionBy("asset_id", "part").orderBy("sub", "piece_ix")
+    return pieces.join(offsets, ["asset_id", "part"]).select("asset_id", (F.col("offset") + F.row_number().over(w) - 1).cast("int").alias("chunk_index"), "page", F.coalesce("heading", F.lit("")).alias("section"), F.col("piece").alias("text"))
 
 
 def looks_scanned(blocks: DataFrame, per_page: int) -> DataFrame:

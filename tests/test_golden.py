@@ -261,3 +261,12 @@ def test_sections_are_numbered_alike_in_runs_of_any_size(spark, run):
         part += before == "none" or bool(heading) or page != before
         last[asset] = (part, page)
         assert got[at] == part
+
+
+def test_chunks_are_numbered_through_the_asset(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "ORDER_RUN", 3)
+    rows = [("a", i // 3, i, f"word{i} " * (700 if i == 4 else 5), "") for i in range(12)] + [("b", 0, 1, "x", "H")]
+    got = chunking.chunk_documents(spark.createDataFrame(rows, "asset_id string, page int, ord int, text string, heading string")).collect()
+    a = sorted((r["chunk_index"], r["page"]) for r in got if r["asset_id"] == "a")
+    assert [i for i, _ in a] == list(range(len(a))) and [p for _, p in a] == sorted(p for _, p in a) and len(a) > 4
+    assert [(r["chunk_index"], r["section"], r["text"]) for r in got if r["asset_id"] == "b"] == [(0, "H", "x")]
