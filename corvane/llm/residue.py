@@ -3,7 +3,7 @@
 Method: trusted labels come from documents whose units (lines and sentences) are for the greater part unfilled
 placeholders, filler, error messages or demands for scripts. Near-duplicates are found with partitioned SimHash tables
 over masked text, verified by Hamming distance and by the similarity of their shingles, and the labels spread through
-the connected components to documents in which no real sentence outweighs the residue.
+the connected components to documents that are residue for a third at least.
 
 Shingles are of five words at a similarity of 0.8 or more; texts of under five words use all their words.
 
@@ -203,8 +203,8 @@ def found(docs: DataFrame) -> DataFrame:
     reps = prints.groupBy("sim", "sig").agg(F.min("id").alias("rep"), F.max(F.col("residue") > F.col("content")).alias("seed"))
     marked = reps.where("seed").join(comp.withColumnRenamed("id", "rep"), "rep").select("component").distinct()
     spread_reps = comp.join(marked, "component", "left_semi").select(F.col("id").alias("rep")).join(reps, "rep").select("sim", "sig")
-    # A label spreads only to texts that show residue themselves or have next to no words of content.
-    reached = prints.where("residue > 0 and residue = content").join(spread_reps, ["sim", "sig"], "left_semi")
+    # A label spreads only to texts that show residue themselves, for a third at least.
+    reached = prints.where("residue > 0 and residue * 2 >= content").join(spread_reps, ["sim", "sig"], "left_semi")
     return trusted.select("id").union(reached.select("id")).distinct()
 
 
