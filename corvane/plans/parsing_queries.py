@@ -224,3 +224,41 @@ def t15_file_slugs(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, right(array_to_string(ps[greatest(len(ps) - 1, 1):], '. '), 200) AS tail FROM p""")
 def t22_last_sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.last_sentences(F.col("text")).alias("tail"))
+
+
+@query("""SELECT log_seq, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(relative_path, ''), '^.*[/\\\\]', ''), '\\.[^.]*$', ''), '[_-]+', ' ', 'g')), ' '), lambda w: upper(substring(w, 1, 1)) || lower(substring(w, 2))), ' ') AS title FROM asset_index_log""")
+def s11_default_titles(spark: SparkSession, d: str) -> DataFrame:
+    from corvane.sources import sniff
+
+    return table(spark, d, "asset_index_log").select("log_seq", T.default_title(sniff.stem(F.coalesce("relative_path", F.lit("")))).alias("title"))
+
+
+@query("""SELECT task_seq, array_to_string(list_filter(s, lambda x, i: x <> '' AND list_position(s, x) = i), '|') AS ids FROM (SELECT task_seq, list_transform(coalesce(uploaded_files, []), lambda x: lower(regexp_replace(trim(x), '_[0-9a-f]{8}$', ''))) AS s FROM task_records)""")
+def e22_distinct_ids(spark: SparkSession, d: str) -> DataFrame:
+    names = F.transform(F.coalesce("uploaded_files", F.array().cast("array<string>")), lambda x: F.lower(T.strip_hash(F.trim(x))))
+    return table(spark, d, "task_records").select("task_seq", F.array_join(F.array_distinct(F.filter(names, lambda x: x != "")), "|").alias("ids"))
+
+
+@query("""SELECT log_seq, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(tags, []), lambda x: trim(x)), lambda x: x <> ''))), '|') AS tags FROM asset_index_log""")
+def x39_manifest_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of a manifest, written as JSON by every other row and delimited by the rest."""
+    raw = F.when(F.col("log_seq") % 2 == 0, F.to_json(F.coalesce("tags", F.array().cast("array<string>")))).otherwise(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ", "))
+    rows = table(spark, d, "asset_index_log").select("log_seq", raw.alias("raw"))
+    tags = F.when(F.col("raw").startswith("["), T.clean_list(F.from_json("raw", "array<string>"))).otherwise(T.split_tags(F.col("raw")))
+    return rows.select("log_seq", F.array_join(F.array_sort(tags), "|").alias("tags"))
+
+
+@query("""SELECT task_seq, task_id, status, total, array_to_string(uploaded_files, '|') AS files FROM task_records""")
+def x31_decoded_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Task rows written as JSON and decoded with the fixed schema; unknown fields are ignored."""
+    from corvane.sources import jsonl
+
+    raw = table(spark, d, "task_records").select("task_seq", F.to_json(F.struct("*", F.lit(1).alias("unknown"))).alias("doc"))
+    return raw.select("task_seq", F.from_json("doc", jsonl.TASK).alias("t")).select("task_seq", "t.task_id", "t.status", "t.total", F.array_join("t.uploaded_files", "|").alias("files"))
+
+
+@query("""SELECT i.path AS path, arg_max(i.figure_id, chunk_id) FILTER (i.figure_id IS NOT NULL) AS figure_id FROM (SELECT chunk_id, unnest(metadata.images) AS i FROM parsed_chunks) GROUP BY 1 HAVING figure_id IS NOT NULL""")
+def x21_cached_captions(spark: SparkSession, d: str) -> DataFrame:
+    """The last entry that says something, for each image."""
+    rows = table(spark, d, "parsed_chunks").select("chunk_id", F.explode("metadata.images").alias("i")).select("chunk_id", "i.path", "i.figure_id").where("figure_id is not null")
+    return state.latest(rows, ["path"], "chunk_id").select("path", "figure_id")
