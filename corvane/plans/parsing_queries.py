@@ -158,11 +158,11 @@ def e18_evaluation_run(spark: SparkSession, d: str) -> DataFrame:
     return engine.evaluate(results, cases).select("k", "grp", "n", "hit_rate", "recall", "ndcg", "rr")
 
 
-@query("""SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 2) AND vec_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0)""")
+@query("""SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label >= 5)""")
 def i3_image_index(spark: SparkSession, d: str) -> DataFrame:
-    """New image points of the assets at hand: stored ones (a third) and rows without a vector are skipped."""
+    """New image points: those that are stored, here labels from 5 on, and rows without a vector are skipped."""
     pts = SQ.points(spark, d)
-    return state.new_points(pts.where("label in (1, 2) and vec is not null"), pts.where("id % 3 = 0")).select("id", "label")
+    return state.new_points(pts.where("vec is not null"), pts.where("label >= 5")).select("id", "label")
 
 
 @query("""SELECT 'chunks' AS source, count(*) AS n FROM parsed_chunks WHERE metadata.asset_id IS NULL OR metadata.asset_id NOT IN (SELECT asset_id FROM asset_index_log WHERE deleted) UNION ALL SELECT 'blocks', count(*) FROM ir_blocks WHERE asset_id IS NULL OR asset_id NOT IN (SELECT asset_id FROM asset_index_log WHERE deleted)""")

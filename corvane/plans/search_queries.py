@@ -128,7 +128,7 @@ def r1_reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT s.task_seq AS query_id, s.ix::INT AS "index", coalesce(a.score, 0e0) AS score FROM (SELECT task_seq, unnest(range(0, len(uploaded_files))) AS ix FROM task_records WHERE len(uploaded_files) > 0) s
-LEFT JOIN (SELECT task_seq, generate_subscripts(uploaded_files, 1) - 1 AS ix, length(unnest(uploaded_files))::DOUBLE AS score FROM task_records) a ON s.task_seq = a.task_seq AND s.ix = a.ix AND a.ix % 2 = 0""")
+LEFT JOIN (SELECT task_seq, generate_subscripts(uploaded_files, 1) - 1 AS ix, length(unnest(uploaded_files))::DOUBLE AS score, unnest(uploaded_files) AS file FROM task_records) a ON s.task_seq = a.task_seq AND s.ix = a.ix AND a.file LIKE '%.pdf'""")
 def r3_aligned_scores(spark: SparkSession, d: str) -> DataFrame:
     tasks = table(spark, d, "task_records").where("size(uploaded_files) > 0").select(F.col("task_seq").alias("query_id"), F.posexplode("uploaded_files").alias("index", "file"))
-    return fusion.align_scores(tasks.select("query_id", "index"), tasks.where("index % 2 = 0").select("query_id", "index", F.length("file").cast("double").alias("score")))
+    return fusion.align_scores(tasks.select("query_id", "index"), tasks.where("file like '%.pdf'").select("query_id", "index", F.length("file").cast("double").alias("score")))

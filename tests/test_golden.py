@@ -270,3 +270,36 @@ def test_chunks_are_numbered_through_the_asset(spark, monkeypatch):
     a = sorted((r["chunk_index"], r["page"]) for r in got if r["asset_id"] == "a")
     assert [i for i, _ in a] == list(range(len(a))) and [p for _, p in a] == sorted(p for _, p in a) and len(a) > 4
     assert [(r["chunk_index"], r["section"], r["text"]) for r in got if r["asset_id"] == "b"] == [(0, "H", "x")]
+
+
+def test_parsing_helpers(spark):
+    from corvane.operators import parsing
+
+    one = spark.range(1)
+    html = "<html><style>x{}</style><h2>Head &amp; more</h2><p>One<br>two</p><script>bad()</script></html>"
+    assert one.select(parsing.html_text(F.lit(html))).first()[0] == "## Head & more\n\n\n\nOne\n\ntwo"
+    assert one.select(parsing.html_text(F.lit(None).cast("string"))).first()[0] == ""
+    assert one.select(parsing.data_url(F.lit(b"ab"), F.lit("JPG"))).first()[0] == "data:image/jpeg;base64,YWI="
+    md = "a ![x](data:image/png;base64,YWI=) b"
+    row = one.select(parsing.data_urls(F.lit(md)).alias("u"), parsing.without_data_urls(F.lit(md)).alias("t")).first()
+    assert [(u["mime"], u["n_bytes"]) for u in row["u"]] == [("png", 2)] and "base64" not in row["t"]
+    urls = {"https://a.files.example/x": True, "http://files.example": True, "https://files.example.evil": False, "https://10.0.0.1/x": False, "ftp://files.example": False, "": False, None: False}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r[0]: r[1] for r in df.select("u", parsing.url_allowed(F.col("u"), ["files.example"])).collect()} == urls
+    assert one.select(parsing.json_object(F.lit('Sure: {"a": 1} ok'), "a int")).first()[0]["a"] == 1
+
+
+def test_engine_modes_and_registry(spark):
+    from corvane.operators import engine
+
+    rows = {"text": hits(spark, [("x", 1, "a", 1, 1.0, [])]).drop("route"), "text-to-image": hits(spark, [("x", 2, "b", 1, 1.0, [])]).drop("route")}
+    assert [r["asset_id"] for r in engine.search("hybrid", rows).orderBy("rank").collect()] == ["a", "b"]
+    assert [r["asset_id"] for r in engine.search("text-to-image", rows).collect()] == ["b"]
+    for bad in (lambda: engine.search("none", rows), lambda: engine.search("image-to-image", rows), lambda: engine.EngineConfig(top_k=0)):
+        with pytest.raises(ValueError):
+            bad()
+    reg = engine.Registry()
+    reg.register("parser", "x", len)
+    assert reg.get("parser", "x") is len and reg.names("parser") == ["x"]
+    with pytest.raises(KeyError, match="there are: x"):
+        reg.get("parser", "y")
