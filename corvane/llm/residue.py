@@ -1,14 +1,15 @@
 """Problem 8: template residue, filler and error pages in place of content.
 
 Method: trusted labels come from documents whose units (lines and sentences) are for the greater part unfilled
-placeholders, filler, error messages or demands for scripts. Near-duplicates are found with partitioned SimHash tables
-over masked text, verified by Hamming distance and by the similarity of their shingles, and the labels spread through
-the connected components to documents that are residue for a third at least.
+placeholders, filler, error messages or demands for scripts. Near-duplicates over masked text are candidates if they
+share a band of minima of their shingles (at the threshold 0.9998 of the pairs do), are verified by the similarity of
+their shingles, and the labels spread from the trusted texts along verified links through whole components, to texts
+without residue of their own too.
 
 Shingles are of five words at a similarity of 0.8 or more; texts of under five words use all their words.
 
 Defined results: null, empty and blank texts are no residue and stay in the clean corpus. Ties (as much residue as
-content) are no residue. Repeated rows share one verdict. Empty tables give no rows. Other columns are passed on as
+content) are no residue unless a link reaches them. Repeated rows share one verdict. Empty tables give no rows. Other columns are passed on as
 they are by :func:`clean`; the verdict itself uses the id and the text alone.
 """
 
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.arrow import map_rows
-from corvane.llm.graph import components
-from corvane.llm.shingles import shingle_sets
+from corvane.llm.shingles import band_keys, set_signature, shingle_sets
 from corvane.session import materialize, spread
 
 MAX_HAMMING = 4
 PARTS = 7
 SIMILARITY = 0.8
+#: A pair is a candidate if it shares one of so many keys, each of so many minima: 0.9998 of the pairs at the threshold do.
+BANDS, ROWS = 16, 4
 
 _ASKS = r"insert|your|insérer|poner|inserir|ihre?n?|hier|enter|add|fill in|votre|su"
 _LATER = r"to be added|to be filled|to come|à compléter|à remplir|por definir|por completar|einfügen|ergänzen|folgt|待补充|待补|此处填写|请输入|请填写|ここに記入|未定|を入力|未記入"
@@ -66,6 +68,7 @@ _TAGS = re.compile(r"</?(?:noscript|h\d|p|div|br|span|b|i|html|body)\b[^<>]*>",
 _UNITS = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 #: Some part of each residue pattern, in lower case; texts without any are no trusted residue.
 HINTS = ("{", "[", "<", "«", "__", "@@", "#", "%", "$", "&lt;", "todo", "fixme", "tbd", "【", "〔", "（", *_LATER.split("|"), "goes here", "comes here", "text here", "content here", "copy here", "sample paragraph", "sample text", "dummy", "placeholder", "type something", "test test", "test. test", "asdf", "foo", "xxx", "factice", "viendra ici", "d'exemple", "d’exemple", "beispiel", "hier steht", "mustertext", "blindtext", "platzhalter", "relleno", "de ejemplo", "aquí va", "テストテスト", "ここに", "仮の文", "ダミー", "占位", "正文正文", "测试测试", "示例", "javascript", " js", "scripts", "skripte", "browser", "loading", "chargement", "geladen", "cargando", "navigateur", "navegador", "脚本", "浏览器", "加载", "スクリプト", "ブラウザ", "読み込み", "cookie", "traceback", 'file "', "error", "exception: ", "not found", "be found", "forbidden", "unavailable", "timeout", "too many requests", "gateway", "status=", "did not answer", "expired", "try again", "went wrong", "quota", "connection ", "timed out", "denied", "no text", "refusé", "introuvable", "répond pas", "expirée", "erreur", "verweigert", "nicht gefunden", "antwortet", "abgelaufen", "fehler", "denegado", "no encontrada", "no responde", "caducad", "expirad", "拒绝", "不存在", "错误", "超时", "无响应", "过期", "请稍后", "拒否", "見つかりません", "応答", "エラー", "再度", "期限", "exit code", "reference: ", *sorted(w for w in _LOREM if len(w) > 4))
 
@@ -127,7 +130,7 @@ def weights(text: str, hinted) -> tuple[int, int]:
 
 def masked(text: str) -> str:
     """The text in lower case with placeholders and numbers made equal."""
-    return re.sub(r"\d+", "0", PLACEHOLDER.sub(" xplace ", text.lower()))
+    return _DIGITS.sub("0", PLACEHOLDER.sub(" xplace ", text.lower()))
 
 
 def simhash(sets: list[np.ndarray]) -> np.ndarray:
@@ -149,28 +152,32 @@ def _sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(id, residue, content, sim, sig)`` of the rows (id, body) with words; one pass over the texts."""
-    from corvane.llm.shingles import set_signature
+    """``(id, residue, content, sig, keys)`` of the rows (id, body) with words; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hinted = _hinted()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
-                marks = [weights(t, hinted) if hinted(t.lower()) else (0, 1) for t in texts]
-                sets = _sets([masked(t) if r else t for t, (r, _) in zip(texts, marks, strict=True)])
+                hints = [hinted(t.lower()) for t in texts]
+                marks = [weights(t, hinted) if h else (0, 1) for t, h in zip(texts, hints, strict=True)]
+                # Without a hint there is no placeholder, so only numbers are masked.
+                sets = _sets([masked(t) if h else _DIGITS.sub("0", t.lower()) for t, h in zip(texts, hints, strict=True)])
                 kept = [k for k, s in enumerate(sets) if len(s)]
-                sims = simhash([sets[k] for k in kept]) if kept else np.zeros(0, np.int64)
+                keys = np.concatenate([band_keys(sets[k], BANDS, ROWS) for k in kept]).view(np.int64) if kept else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k] for k in kept], pa.int64()), pa.array([marks[k][0] for k in kept], pa.int32()), pa.array([marks[k][1] for k in kept], pa.int32()), pa.array(sims), pa.array([set_signature(sets[k]) for k in kept], pa.int64())],
-                    names=["id", "residue", "content", "sim", "sig"],
+                    [pa.array([ids[k] for k in kept], pa.int64()), pa.array([marks[k][0] for k in kept], pa.int32()), pa.array([marks[k][1] for k in kept], pa.int32()), pa.array([set_signature(sets[k]) for k in kept], pa.int64()), pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
+                    names=["id", "residue", "content", "sig", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, residue int, content int, sim long, sig long")
+    return docs.mapInArrow(run, "id long, residue int, content int, sig long, keys array<long>")
 
 
 def simhash_pairs(prints: DataFrame) -> DataFrame:
-    """``(a, b, sim_a, sim_b)`` of representatives within the Hamming distance, through the partitioned tables.
+    """``(sim_a, sim_b)`` of fingerprints within the Hamming distance, through the partitioned tables.
+
+    :func:`found` does not use them: most texts at a similarity of 0.8 lie farther apart than any radius that tables
+    of this sort can hold.
 
     The 64 bits are cut into ``PARTS`` blocks; within ``MAX_HAMMING`` differences at least ``PARTS - MAX_HAMMING`` blocks
     are whole, so each choice of that many blocks is one table, with keys of 27 bits or so. Equal fingerprints are one
@@ -191,21 +198,20 @@ def found(docs: DataFrame) -> DataFrame:
     """``(id)`` of the rows (id, body) that are residue."""
     texts = docs.where("body is not null and trim(body) <> ''")
     prints = materialize(fingerprints(spread(texts)), "residue-prints")
-    trusted = prints.where("residue > content")
-    # Texts with the same set share a verdict; tables and links are built over one entry of each fingerprint.
-    entries = prints.groupBy("sim").agg(F.min("id").alias("hub"), F.max(F.col("residue") > F.col("content")).alias("seed"))
-    links = simhash_pairs(prints)
-    links = links.join(entries.select(F.col("sim").alias("sim_a"), F.col("hub").alias("a")), "sim_a").join(entries.select(F.col("sim").alias("sim_b"), F.col("hub").alias("b")), "sim_b").select("a", "b")
-    within = prints.groupBy("sim", "sig").agg(F.min("id").alias("b")).join(entries.select("sim", F.col("hub").alias("a")), "sim").where("a <> b").select("a", "b")
-    pairs = materialize(links.union(within).distinct(), "residue-links")
-    sure = verify(pairs, texts)
-    comp = components(sure.toDF("id_1", "id_2"))
-    reps = prints.groupBy("sim", "sig").agg(F.min("id").alias("rep"), F.max(F.col("residue") > F.col("content")).alias("seed"))
-    marked = reps.where("seed").join(comp.withColumnRenamed("id", "rep"), "rep").select("component").distinct()
-    spread_reps = comp.join(marked, "component", "left_semi").select(F.col("id").alias("rep")).join(reps, "rep").select("sim", "sig")
-    # A label spreads only to texts that show residue themselves, for a third at least.
-    reached = prints.where("residue > 0 and residue * 2 >= content").join(spread_reps, ["sim", "sig"], "left_semi")
-    return trusted.select("id").union(reached.select("id")).distinct()
+    # Texts with the same set share a verdict; links are sought over one entry of each set.
+    reps = prints.groupBy("sig").agg(F.min("id").alias("rep"), F.max(F.col("residue") > F.col("content")).alias("seed"), F.min("keys").alias("keys"))
+    reps = materialize(reps, "residue-sets")
+    labelled = fresh = reps.where("seed").select("rep")
+    # Labels spread from the trusted texts outwards, so only links of labelled texts are verified.
+    while True:
+        known = reps.join(fresh, "rep", "left_semi").select(F.col("rep").alias("a"), F.explode_outer("keys").alias("key"))
+        open_ = reps.join(labelled, "rep", "left_anti").select(F.col("rep").alias("b"), F.explode_outer("keys").alias("key"))
+        pairs = materialize(known.join(open_, "key").select("a", "b").distinct(), "residue-links")
+        fresh = materialize(verify(pairs, texts).select(F.col("b").alias("rep")).distinct(), "residue-reached")
+        if fresh.isEmpty():
+            break
+        labelled = materialize(labelled.union(fresh), "residue-labelled")
+    return prints.join(reps.join(labelled, "rep", "left_semi").select("sig"), "sig", "left_semi").select("id").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:

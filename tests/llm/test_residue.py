@@ -41,3 +41,26 @@ def test_simhash_tables_find_all_pairs_within_the_distance(spark):
     got = {(r["sim_a"], r["sim_b"]) for r in R.simhash_pairs(spark.createDataFrame([(s,) for s in sims], "sim long")).collect()}
     want = {(a, b) for a in sims for b in sims if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= R.MAX_HAMMING}
     assert got == want
+
+
+def test_candidates_hold_nearly_all_pairs_at_the_threshold():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    met = 0
+    for n in (45, 90, 180, 360):
+        for _ in range(100):
+            pool = rng.integers(0, 2**63, n + n // 9, dtype=np.int64).astype(np.uint64)
+            a, b = np.sort(pool[:n]), np.sort(pool[n // 9 :])
+            assert len(np.intersect1d(a, b)) >= R.SIMILARITY * len(np.union1d(a, b))
+            met += bool(np.intersect1d(R.band_keys(a, R.BANDS, R.ROWS), R.band_keys(b, R.BANDS, R.ROWS)).size)
+    assert met >= 399
+
+
+def test_verified_links_carry_the_label(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re", "so", "ti", "vu", "xa", "zo") for b in ("bar", "den", "fil", "gor", "hem", "jal", "kur")]
+    # The second text is near the first, the third near the second alone; neither shows a listed phrase.
+    texts = [" ".join(words) + ".\n" + "404 Not Found\n" * 80, " ".join(words) + ".", " ".join(words[:-12]) + ".", " ".join(words[:30]) + ".", REAL]
+    assert [bad > good for bad, good in (R.weights(t, HINTED) for t in texts)] == [True, False, False, False, False]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    assert {r["id"] for r in R.found(docs).collect()} == {0, 1, 2}
