@@ -1,13 +1,14 @@
 """Problem 4: checking new batches against everything accepted before.
 
-Method: segment index for edit distance. Every accepted string is cut into ``tau + 1`` segments whose places depend
-on its length alone; the index holds (length, segment number, segment). Two strings within ``tau`` edits agree
-in one segment, shifted by at most ``tau``, so a new string probes the index with a few of its substrings for each
-length within ``tau`` of its own, candidates are verified with a bounded edit distance, and its own segments are
-appended. A batch costs its own probes; the history is only looked up by key, never worked through.
+Method: names are reduced to a key (letter case, separators, folders, escapes, added hashes and copy marks go), and equal
+keys are the same name in another writing. Key equality alone decides :func:`found`; a writing that the key does not
+reduce, such as other copy marks, accents or Unicode forms, is another name.
 
-Names are reduced to a key before they enter the index (letter case, separators, folders, escapes, added hashes and
-copy marks go), so the same name in another writing is at distance 0, and distance 1..tau is a typing difference.
+Typing differences (:func:`lookup`) are found by a segment index for edit distance: every string is cut into ``tau + 1``
+segments whose places depend on its length alone; the index holds (length, segment number, segment). Two strings within
+``tau`` edits agree in one segment, shifted by at most ``tau``, so a string probes the index with a few of its
+substrings for each length within ``tau`` of its own, and candidates are verified with a bounded edit distance. The
+index is built in the query and is neither stored nor appended to.
 
 Defined results: null and empty strings are neither indexed nor found. Repeated strings are indexed once. Ties
 between earlier rows do not matter: a row is reported once, with the strongest kind. Empty tables give no rows.
@@ -102,13 +103,10 @@ def dead_from(log: DataFrame) -> DataFrame:
     return found.withColumn("dead_at", F.coalesce(-F.col("next_grave"), F.lit(2**62))).drop("back", "grave", "next_grave")
 
 
-def same_names(names: DataFrame, col: str, tau: int = TAU) -> DataFrame:
-    """``(key, cls)``: the class of each name key, from the verified pairs of the segment index.
-
-    A class is what the index returns at distance 0: the same name in other writings.
-    """
-    keys = names.select(col).where(F.col(col).isNotNull()).distinct()
-    return lookup(segments(keys, col, tau), keys, col, tau).where("distance = 0").groupBy(F.col("probe").alias("key")).agg(F.min("name").alias("cls"))
+def same_names(names: DataFrame, col: str) -> DataFrame:
+    """``(key, cls)``: the class of each name key, which is the key itself."""
+    keys = names.select(F.col(col).alias("key")).where("key is not null and key <> ''").distinct()
+    return keys.withColumn("cls", F.col("key"))
 
 
 def asset_rows(log: DataFrame) -> DataFrame:

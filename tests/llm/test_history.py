@@ -71,3 +71,14 @@ def test_tasks(spark):
     rows = [(1, "t1", None, ["a_k_log.pdf", "b.pdf", "a_k_log.pdf", None, ""], "x"), (2, "t2", "t1", ["b.pdf"], "x"), (3, "t3", None, ["x/A-K-LOG.pdf", "c.pdf"], "x"), (4, "t3", None, ["c.pdf"], "x"), (5, "t5", None, None, "x"), (6, "t6", None, ["x/A-K-LOG.pdf", "%zz.pdf"], None)]
     got = {tuple(r) for r in history.found(spark.createDataFrame([], LOG), spark.createDataFrame(rows, TASKS)).collect()}
     assert got == {("task", 1, 2, "exact"), ("task", 3, 0, "near"), ("task", 6, 0, "exact")}
+
+
+def test_key_equality_alone_decides(spark, monkeypatch):
+    def unused(*_, **__):
+        raise AssertionError("the segment index decides nothing here")
+
+    for name in ("segments", "probes", "lookup"):
+        monkeypatch.setattr(history, name, unused)
+    rows = [(1, "a_k_log", None, False, "x"), (2, "A-K-LOG", None, False, "x"), (3, "a_k_lag", None, False, "x")]
+    got = {tuple(r) for r in history.found(spark.createDataFrame(rows, LOG), spark.createDataFrame([], TASKS)).collect()}
+    assert got == {("asset", 2, 0, "near")}
