@@ -16,6 +16,9 @@ between earlier rows do not matter: a row is reported once, with the strongest k
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,13 +95,19 @@ def running_max_before(df: DataFrame, key: list[str], order: str, value: str, ou
     per = rows.groupBy(*key, "blk").agg(F.max(value).alias("top"))
     before = per.withColumn("prior", F.max("top").over(Window.partitionBy(*key).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
     inside = Window.partitionBy(*key, "blk").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
-    joined = rows.withColumn("inner_top", F.max(value).over(inside)).join(before, [*key, "blk"])
+    # Null keys are a key like others; an inner join on equality would lose their rows.
+    before = before.select(*(F.col(c).alias(f"{c}__b") for c in (*key, "blk")), "prior")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}__b")) for c in (*key, "blk")))
+    joined = rows.withColumn("inner_top", F.max(value).over(inside)).join(before, same).drop(*(f"{c}__b" for c in (*key, "blk")))
     return joined.withColumn(out, F.greatest("inner_top", "prior")).drop("inner_top", "prior", "blk")
 
 
 def dead_from(log: DataFrame) -> DataFrame:
-    """Adds ``dead_at``: the next tombstone of the row's own asset after the row (a very late number if none)."""
-    flipped = log.withColumn("back", -F.col("log_seq")).withColumn("grave", F.when(F.col("deleted"), -F.col("log_seq")))
+    """Adds ``dead_at``: the next tombstone of the row's own asset after the row (a very late number if none).
+
+    A row without an asset_id has no tombstone, and a tombstone without one ends no row.
+    """
+    flipped = log.withColumn("back", -F.col("log_seq")).withColumn("grave", F.when(F.col("deleted") & F.col("asset_id").isNotNull(), -F.col("log_seq")))
     found = running_max_before(flipped, ["asset_id"], "back", "grave", "next_grave")
     return found.withColumn("dead_at", F.coalesce(-F.col("next_grave"), F.lit(2**62))).drop("back", "grave", "next_grave")
 

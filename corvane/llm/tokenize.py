@@ -80,7 +80,10 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     # An id may repeat, so long rows are told apart by a hash of their text as well.
     big = base.where(long).withColumn("key", F.sha2("body", 256))
     spans = _spans(big.dropDuplicates(["rid", "key"]), chunk_chars, overlap_chars)
-    pieces = big.groupBy("rid", "key").agg(F.first("body").alias("body"), F.count("*").alias("copies")).join(spans, ["rid", "key"])
+    pieces = big.groupBy("rid", "key").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+    # An id may be null.
+    spans = spans.withColumnsRenamed({"rid": "rid_s", "key": "key_s"})
+    pieces = pieces.join(spans, F.col("rid").eqNullSafe(F.col("rid_s")) & (F.col("key") == F.col("key_s")))
     pieces = pieces.select("rid", "key", "copies", "span", F.expr("substring(body, lo + 1, hi - lo)").alias("body")).repartition("rid", "key", "span")
     encoded = map_rows(pieces, lambda rows: ((r["rid"], r["key"], r["copies"], r["span"], encoder(directory).encode_ordinary(r["body"])) for r in rows), f"rid {base.schema['rid'].dataType.simpleString()}, key string, copies long, span int, ids array<int>", 64)
     joined = encoded.groupBy("rid", "key", "copies").agg(F.array_sort(F.collect_list(F.struct("span", "ids"))).alias("parts"))

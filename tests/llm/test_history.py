@@ -82,3 +82,9 @@ def test_key_equality_alone_decides(spark, monkeypatch):
     rows = [(1, "a_k_log", None, False, "x"), (2, "A-K-LOG", None, False, "x"), (3, "a_k_lag", None, False, "x")]
     got = {tuple(r) for r in history.found(spark.createDataFrame(rows, LOG), spark.createDataFrame([], TASKS)).collect()}
     assert got == {("asset", 2, 0, "near")}
+
+
+def test_rows_without_an_asset_id_stay(spark):
+    rows = [(1, None, "H1", False, "x"), (2, None, None, True, "x"), (3, None, "H1", False, "x"), (4, "a_k_log", "H1", False, "x"), (5, None, None, False, "x")]
+    got = {tuple(r) for r in history.found(spark.createDataFrame(rows, LOG), spark.createDataFrame([], TASKS)).collect()}
+    assert got == {("asset", 3, 0, "exact"), ("asset", 4, 0, "exact")}

@@ -61,3 +61,10 @@ def test_packing_edges(spark):
     assert [(r["pack_id"], r["piece_tokens"]) for r in packed(spark, [0], [(1, 4)])] == [(1, 0)]
     items = spark.createDataFrame([], "doc_id long, n_tokens long")
     assert packing.pack(items, spark.createDataFrame([(1, 10)], "pack_id int, capacity_tokens int")).count() == 0
+
+
+def test_long_texts_without_an_id(spark):
+    df = spark.createDataFrame([(None, "word " * 100), (None, "word " * 100), (1, "other " * 90)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, len(r["ids"])) for r in tokenize.token_ids(df, chunk_chars=100, overlap_chars=20).collect())
+    whole = sorted((r["doc_id"] or 0, len(r["ids"])) for r in tokenize.token_ids(df).collect())
+    assert len(got) == 3 and got == whole
