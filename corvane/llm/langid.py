@@ -240,19 +240,21 @@ def label_lang(label: Column) -> Column:
     return out
 
 
-def detect(rows: DataFrame, model: Model) -> DataFrame:
+def detect(rows: DataFrame, model: Model, every: bool = False) -> DataFrame:
     """``(kind, rec_id, named, lang, confidence, mixed)`` of the rows (kind, rec_id, body, named).
 
-    ``named`` is passed through: the language that the declared label names.
+    ``named`` is passed through: the language that the declared label names. With ``every``, a row without a verdict
+    has a null language with confidence 0.
     """
+    none = [(None, 0.0)] if every else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 kinds, ids, bodies, named = (c.to_pylist() for c in batch.slice(at, 400).columns)
-                found = verdicts(bodies, [k == "query" for k in kinds], scorer)
-                out = [(k, i, n, lang, conf, len(f) > 1) for k, i, n, f in zip(kinds, ids, named, found, strict=True) for lang, conf in f]
+                found = verdicts([b or "" for b in bodies], [k == "query" for k in kinds], scorer)
+                out = [(k, i, n, lang, conf, len(f) > 1) for k, i, n, f in zip(kinds, ids, named, found, strict=True) for lang, conf in f or none]
                 if out:
                     cols = list(zip(*out, strict=True))
                     kinds_of = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_())
@@ -261,21 +263,22 @@ def detect(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "kind string, rec_id long, named string, lang string, confidence double, mixed boolean")
 
 
-def records(chunks: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(kind, rec_id, body, named) of the three tables."""
+def records(chunks: DataFrame, queries: DataFrame, documents: DataFrame, every: bool = False) -> DataFrame:
+    """(kind, rec_id, body, named) of the three tables; null texts only with ``every``."""
     parts = []
     for kind, df, key, text in (("chunk", chunks, "chunk_id", "text"), ("query", queries, "query_id", "raw"), ("document", documents, "doc_id", "text")):
-        parts.append(spread(df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("rec_id"), F.col(text).alias("body"), label_lang(F.col("lang")).alias("named")).where("body is not null")))
+        parts.append(spread(df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("rec_id"), F.col(text).alias("body"), label_lang(F.col("lang")).alias("named")).where(F.lit(every) | F.col("body").isNotNull())))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def labels(chunks: DataFrame, queries: DataFrame, documents: DataFrame, samples: DataFrame) -> DataFrame:
-    return detect(records(chunks, queries, documents), fit(samples))
+    """p5_labels: every record; null texts and those without a verdict have a null language with confidence 0."""
+    return detect(records(chunks, queries, documents, every=True), fit(samples), every=True)
 
 
 def found(chunks: DataFrame, queries: DataFrame, documents: DataFrame, samples: DataFrame, residue: DataFrame) -> DataFrame:
     """p5_found: records whose label is missing or wrong, and every language of mixed ones. ``residue`` (id) is left out."""
-    rows = labels(chunks, queries, documents, samples).where("mixed or named is null or named <> lang")
+    rows = detect(records(chunks, queries, documents), fit(samples)).where("mixed or named is null or named <> lang")
     bad = residue.select(F.lit("document").alias("kind"), F.col("id").alias("rec_id"))
     return rows.join(bad, ["kind", "rec_id"], "left_anti").select("kind", "rec_id", "lang").distinct()
 

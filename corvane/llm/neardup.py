@@ -170,6 +170,12 @@ def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
 
 
+def every_class(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of :func:`classes`, and for each other id one row with its own id as class and no links."""
+    rest = ids.distinct().join(found.select(F.col("id").alias("seen")), F.col("id").eqNullSafe(F.col("seen")), "left_anti")
+    return found.unionByName(rest.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("links")))
+
+
 def chunk_records(chunks: DataFrame) -> DataFrame:
     return chunks.where("text is not null and text <> ''").select(F.col("chunk_id").alias("id"), F.col("text").alias("body"))
 

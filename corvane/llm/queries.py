@@ -18,9 +18,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each chunk with its class and number of links, at the usual 0.8 on five words."""
-    pairs, members = neardup.verified_pairs(neardup.chunk_records(table(spark, d, "parsed_chunks")), neardup.Likeness(least_tokens=5), "p1-groups")
-    return neardup.classes(pairs, members)
+    """One row for each chunk with its class and number of links, at the usual 0.8 on five words.
+
+    A null, empty or short chunk is a class of its own without links.
+    """
+    chunks = table(spark, d, "parsed_chunks")
+    pairs, members = neardup.verified_pairs(neardup.chunk_records(chunks), neardup.Likeness(least_tokens=5), "p1-groups")
+    return neardup.every_class(chunks.select(F.col("chunk_id").alias("id")), neardup.classes(pairs, members))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -67,3 +67,14 @@ def test_tables(spark, samples):
     assert L.found(chunks.where("false"), queries.where("false"), docs.where("false"), s, bad).count() == 0
     segs = L.segments(L.records(chunks.where("chunk_id = 5"), queries.where("false"), docs.where("false")), L.fit(s)).orderBy("seg").collect()
     assert [r["lang"] for r in segs] == ["en", "zh"] and "".join(r["piece"] for r in segs) == f"{en} {zh}"
+
+
+def test_labels_have_a_row_for_each_record(spark, samples):
+    s = spark.createDataFrame([(t, lang) for lang, t in samples], "text string, lang string")
+    chunks = spark.createDataFrame([(1, None, "en"), (2, "ab", None), (3, samples[0][1], None)], "chunk_id long, text string, lang string")
+    queries = spark.createDataFrame([], "query_id long, raw string, lang string")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    got = {r["rec_id"]: (r["lang"], r["confidence"]) for r in L.labels(chunks, queries, docs, s).collect()}
+    assert got[1] == got[2] == (None, 0.0) and got[3][0] == samples[0][0]
+    residue = spark.createDataFrame([], "id long")
+    assert not {r["rec_id"] for r in L.found(chunks, queries, docs, s, residue).collect()} & {1, 2}

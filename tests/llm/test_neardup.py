@@ -78,3 +78,11 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "id_1 long, id_2 long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "id_1 long, id_2 long")).where(F.lit(True)).count() == 0
+
+
+def test_every_chunk_has_a_class(spark):
+    from corvane.llm import neardup
+
+    found = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "id long, class_id long, links long")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    assert sorted(map(tuple, neardup.every_class(ids, found).collect())) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
