@@ -1,23 +1,29 @@
 """Problem 8: template residue, filler and error pages in place of content.
 
-Method: trusted labels come from documents whose units (lines and sentences) are for the greater part unfilled
-placeholders, filler, error messages or demands for scripts. Near-duplicates over masked text are candidates if they
-share a band of minima of their shingles (at the threshold 0.9998 of the pairs do), are verified by the similarity of
-their shingles, and the labels spread from the trusted texts along verified links through whole components, to texts
-without residue of their own too.
+Method: trusted labels spread through the connected components of a graph of documents and their units (lines and
+sentences, with placeholders and numbers made equal). Trusted are units of a few general forms: placeholder syntax, the
+classic filler passage, a word or unit said over and over, status lines and dumps of programs, demands for scripts,
+apologies. Links are
 
-Shingles are of five words at a similarity of 0.8 or more; texts of under five words use all their words.
+* units that stand in two or more different documents: such a unit takes the label if most of the documents that can tell
+  show residue beside it (labelled units that outweigh what is the document's own);
+* near-duplicate documents: candidates share a band of minima of their shingles (at the threshold 0.9998 of the pairs do)
+  and are verified by the similarity of their shingles.
+
+Labels spread until nothing changes. A document is residue if its labelled units outweigh all others, or if a verified link
+ties it to residue. Shingles are of five words at a similarity of 0.8 or more; texts of under five words use all their words.
 
 Defined results: null, empty and blank texts are no residue and stay in the clean corpus. Ties (as much residue as
-content) are no residue unless a link reaches them. Repeated rows share one verdict. Empty tables give no rows. Other columns are passed on as
-they are by :func:`clean`; the verdict itself uses the id and the text alone.
+content) are no residue unless a link reaches them. Repeated rows share one verdict. Empty tables give no rows. Other
+columns are passed on as they are by :func:`clean`; the verdict itself uses the id and the text alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,52 +31,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.arrow import map_rows
-from corvane.llm.shingles import band_keys, set_signature, shingle_sets
+from corvane.llm.shingles import band_keys, sequence_hashes, set_signature, token_hashes, windows
 from corvane.session import materialize, spread
 
-MAX_HAMMING = 4
-PARTS = 7
 SIMILARITY = 0.8
 #: A pair is a candidate if it shares one of so many keys, each of so many minima: 0.9998 of the pairs at the threshold do.
 BANDS, ROWS = 16, 4
+#: A unit said so often in one document, and making up most of it, is filler.
+REPEATS = 3
+#: Labelled units of a document make up one part in so many before its other units can take the label from them.
+LEAST_SHARE = 5
 
+#: The syntax of placeholders, and in brackets what asks for a text.
 _ASKS = r"insert|your|insérer|poner|inserir|ihre?n?|hier|enter|add|fill in|votre|su"
-_LATER = r"to be added|to be filled|to come|à compléter|à remplir|por definir|por completar|einfügen|ergänzen|folgt|待补充|待补|此处填写|请输入|请填写|ここに記入|未定|を入力|未記入"
+_LATER = r"goes (?:here|in)|to be added|to be filled|to come|à compléter|à remplir|por definir|por completar|einfügen|ergänzen|folgt|待补充|待补|此处填写|请输入|请填写|ここに記入|未定|を入力|未記入"
 PLACEHOLDER = re.compile(
     r"\{\{\{?\s*[A-Za-z0-9_.]+\s*\}\}\}?|\$\{[A-Za-z0-9_.]+\}|(?<![A-Za-z0-9_\\}])\{[A-Za-z][A-Za-z0-9_.]+\}|<%.{0,60}?%>|\{%.{0,60}?%\}|&lt;[A-Za-z0-9_.]+&gt;|(?<![A-Za-z0-9])__[A-Za-z][A-Za-z0-9_.]*?__(?![A-Za-z0-9])|@@[A-Za-z0-9_.]+@@|(?<![A-Za-z0-9_#])#[A-Za-z][A-Za-z0-9_.]+#"
     r"|(?<![A-Za-z0-9_$])\$[A-Za-z][A-Za-z0-9_.]{2,}\$|(?<![A-Za-z0-9])%[A-Za-z][A-Za-z0-9_.]{2,}%|«\s?[A-Za-z0-9_.]+\s?»|<(?!/?(?:h\d|noscript|br|p|div|span|s|b|i|a|u|ul|li|table|tr|td)\b)(?:(?:" + _ASKS + r") )?[A-Za-z][A-Za-z0-9_.]{2,}>"
     r"|\[(?:" + _ASKS + r")\b[^\]\n]{0,60}\]|\[(?!mask\b|sep\b|cls\b|unk\b|pad\b)[A-Za-z_.]{4,}\d?[A-Za-z0-9_]*\]|[【〔（(\[<][^】〕）)\]>\n]{0,40}(?:" + _LATER + r")[^】〕）)\]>\n]{0,40}[】〕）)\]>]|(?<![A-Za-z])TODO:? ?[A-Za-z0-9_]+|(?<![A-Za-z])FIXME:? ?[A-Za-z0-9_]+|\bT\.?B\.?D\.?\b",
     re.I,
 )
-#: Words of the usual filler text.
-_LOREM = frozenset("lorem orem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt labore dolore magna aliqua ante arcu augue diam felis justo ligula lectus mauris metus morbi neque nulla nunc odio porta purus quam risus sapien tempus urna velit vitae vivamus".split())
-FILLER = (
-    r"(?:your |the )?(?:content|text|copy|description) (?:goes |comes )?here|sample (?:paragraph|text)(?:, to be replaced)?|this is (?:dummy|sample|placeholder) (?:copy|text)|type something|(?:heading|title|text) placeholder|placeholder (?:text|heading)|(?:\btest\b[ .,]*){2,}|(?:\basdf\b[ .,]*){2,}|(?:\bfoo|\bbar|\bxxx+)(?:[ .,]+(?:foo|bar|baz|xxx+))+"
-    r"|paragraphe factice|le texte viendra ici|texte d['’]exemple(?: à remplacer)?|texte factice|beispiel(?:absatz|text)|hier steht (?:später )?(?:der|ein) text|mustertext(?:, bitte ersetzen)?|(?:blindtext ?)+|platzhaltertext|texto de (?:relleno|ejemplo)|aquí va el texto|párrafo de ejemplo(?: para sustituir)?"
-    r"|(?:テスト){2,}|ここに本文が入ります|仮の文(?:、後で差し替え)?|ダミーの?(?:文章|テキスト)(?:です)?|内容待补|此处为占位内容(?:，请替换)?|(?:正文){2,}|(?:测试){2,}|这里是示例文字|示例文本|占位(?:文字|文本)"
-)
-SCRIPTS = (
-    r"please (?:enable|turn on|activate|allow) (?:javascript|js|scripts|cookies)[^.。\n]{0,60}|(?:javascript|js|scripts?) (?:is|are) (?:disabled|blocked|turned off|required)[^.。\n]{0,40}|this (?:viewer|page|site|app) (?:needs|requires) (?:scripts|javascript|js)[^.。\n]{0,30}|you need to (?:allow|enable) [^.。\n]{0,20}(?:cookies|scripts|javascript)[^.。\n]{0,60}|if you are not redirected, turn on js and reload|turn on (?:js|javascript) and reload|checking your browser[^.。\n]{0,50}|your browser is too old[^.。\n]{0,40}|\bloading ?(?:…|\.\.\.)"
-    r"|(?:veuillez )?activ(?:er|ez) javascript[^.。\n]{0,60}|cette (?:visionneuse|page) a besoin de scripts|votre navigateur (?:bloque|a désactivé)[^.。\n]{0,40}|javascript est désactivé[^.。\n]{0,40}|chargement ?(?:…|\.\.\.)|bitte aktivieren sie javascript[^.。\n]{0,60}|diese (?:anzeige|seite) benötigt skripte|ihr browser blockiert skripte|javascript ist (?:deaktiviert|ausgeschaltet)[^.。\n]{0,40}|wird geladen ?(?:…|\.\.\.)|(?:por favor,? )?activ[ea] javascript[^.。\n]{0,60}|este visor necesita scripts|su navegador (?:bloquea|tiene)[^.。\n]{0,40}|javascript está desactivado[^.。\n]{0,40}|cargando ?(?:…|\.\.\.)"
-    r"|(?:请|您需要|需要)(?:先)?(?:启用|开启|打开|允许)[^。\n]{0,8}(?:javascript|脚本|cookie)[^。\n]{0,20}|请允许运行脚本[^。\n]{0,20}|您的浏览器(?:已禁用|不支持|禁用了|版本过低)[^。\n]{0,15}|正在加载(?:…+|\.{3})?|(?:ブラウザの)?スクリプトが無効です|この[^。\n]{0,12}(?:を表示するには|には)[^。\n]{0,6}(?:javascript|スクリプト)[^。\n]{0,15}|javascript を有効にしてください|読み込み中(?:…+|\.{3})?|お使いのブラウザ[^。\n]{0,25}"
+#: Words of the classic filler passage.
+_LOREM = frozenset(
+    "lorem orem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
+    "ac ante arcu augue bibendum blandit condimentum cras curabitur cursus dapibus diam dictum egestas eget eleifend elementum erat eros facilisi facilisis fames faucibus felis fermentum feugiat fringilla fusce gravida habitant hendrerit iaculis imperdiet integer interdum justo lacinia lacus laoreet lectus leo libero ligula lobortis luctus maecenas malesuada massa mattis mauris metus mi molestie morbi nam nec neque netus nibh nisl nullam nunc odio orci ornare pellentesque pharetra phasellus placerat porta porttitor posuere praesent pretium proin pulvinar purus quam quisque rhoncus risus rutrum sagittis sapien scelerisque sem semper senectus sodales sollicitudin suscipit suspendisse tellus tempus tincidunt tortor tristique turpis ultrices ultricies urna varius vehicula vel vestibulum vitae vivamus viverra volutpat vulputate".split()
 )
-ERRORS = (
-    r"traceback \(most recent call last\):?|file \"[^\"\n]+\", line \d+(?:, in \w+)?|\b\w+(?:error|exception): [^\n]{0,80}|(?:http )?error (?:code )?\d{3}\b|^\W*\d{3} (?:not found|forbidden|service unavailable|gateway timeout|too many requests|bad gateway|internal server error|unauthorized|bad request|gone)|^\W*(?:not found|forbidden|service unavailable|gateway timeout|too many requests|bad gateway|internal server error|unauthorized|bad request)\W*$|\bstatus=\d+"
-    r"|\{\"ok\": ?false[^\n]*|\"(?:code|detail|error)\": ?[^\n]*|upstream \w+ did not answer|the asset you asked for could not be found|session expired(?:, sign in again)?|please try again later[^.\n]{0,50}|something went wrong[^.\n]{0,50}|quota exceeded[^.\n]{0,40}|connection (?:reset|refused|closed)[^.\n]{0,20}|ocr worker returned no text(?: \(exit code \d+\))?|the request timed out[^.\n]{0,40}|access to this \w+ is denied|access denied|page not found|reference: \d+-\d+|exit code \d+"
-    r"|accès refusé|page introuvable|le serveur ne répond pas|session expirée|erreur interne[^.\n]{0,60}|zugriff verweigert|seite nicht gefunden|der server antwortet nicht|sitzung abgelaufen|interner fehler[^.\n]{0,60}|acceso denegado|página no encontrada|el servidor no responde|(?:la )?sesión (?:ha )?(?:caducad[ao]|expirad[ao])|error interno[^.\n]{0,60}"
-    r"|访问被拒绝|页面不存在(?:或已被删除)?|服务器内部错误(?:，错误码\d+)?|请求超时(?:，请稍后重试)?|解析服务无响应|会话已过期(?:，请重新登录)?|请稍后重试|アクセスが拒否されました|ページが見つかりません|サーバーが応答しません|内部エラー ?\d* ?が発生しました|時間をおいて再度お試しください|セッションの?(?:有効)?期限が?切れ(?:ました)?"
+#: Words of the passage that are words of living languages too; they count only beside others.
+_COMMON = frozenset("do et ut ad ex in non id est qui sit sed ac sem mi leo nec nam vel ea eu sunt esse porta massa nulla integer cursus libero nunc".split())
+FILLER = re.compile(r"placeholder|dummy|lorem ipsum|factice|relleno|platzhalter|blindtext|ダミー|占位", re.I)
+#: A word said again at once, two or more times in a row.
+AGAIN = re.compile(r"(\w{2,12}?)(?:[ .,、。]*\1)+(?!\w*[a-z])", re.I)
+#: Reason phrases of status codes.
+_REASONS = r"bad request|unauthorized|forbidden|not found|method not allowed|request timeout|conflict|gone|too many requests|internal server error|bad gateway|service unavailable|gateway timeout"
+STATUS = re.compile(
+    rf"^\W*(?:(?:http|error|status|code|erreur|fehler)[ :=/]*){{1,3}}[45]\d\d\b|^\W*[45]\d\d(?:\W+(?:{_REASONS}))?\W*$|^\W*(?:{_REASONS})\W*$|^\{{?\"?(?:ok|code|error|status)\"?: ?[\d\"{{fn]|^traceback \(most recent call last\)|^file \"[^\"\n]+\", line \d+|^\w+(?:error|exception): ",
+    re.I,
 )
-PHRASES = re.compile(f"{FILLER}|{SCRIPTS}|{ERRORS}", re.I)
-#: Sentences that speak of such things: a teller, a time, or a change makes them content.
-TELLS = re.compile(r"旧版页面|的服务返回|模板变量|\bthat sees\b|\basks? for the asset again\b|\bold viewer\b|\btold people\b|\bthe template field\b|\bis filled when\b|を返すと|ancien(?:ne)? (?:page|visionneuse|lecteur)|alte[rn]? (?:anzeige|seite|betrachter)|visor antiguo|página antigua|以前の|古いビューア|テンプレートの?変数|le champ|das feld|el campo|quand |cuando |wenn |とき|\bwhen\b|返回 ?\d+ ?时|なると", re.I)
-NEUTRAL = re.compile(r"^\W*(?:menu|home(?: \| \w+)*|首页(?: / \w+)*|摘要|summary|résumé|resumen|zusammenfassung|要約|« back|back|© [\w ]+|v?\d+(?:\.\d+)*|</?\w+>)\W*$", re.I)
+_DEMAND = r"(?:enabl|activ|aktivier|turn(?:ed)? o|allow|disabl|désactiv|desactiv|deaktivier|block|bloqu|requir|need|启用|开启|允许|禁用|有効|無効)"
+_SCRIPT = r"(?:javascript|\bjs\b|\bscripts?\b|脚本|スクリプト)"
+SCRIPTS = re.compile(rf"{_DEMAND}.{{0,30}}{_SCRIPT}|{_SCRIPT}.{{0,30}}{_DEMAND}", re.I)
+SORRY = re.compile(r"^\W*(?:sorry|oops|we (?:could not|couldn['’]t|cannot|are unable to)|unable to|failed to|could not|cannot)\b", re.I)
+#: Some part of each trusted form, in lower case; units without any are not looked at.
+HINTS = ("{", "[", "<", "«", "__", "@@", "#", "%", "$", "&lt;", "todo", "fixme", "tbd", "t.b.d", "【", "〔", "（", "(", "placeholder", "dummy", "factice", "relleno", "platzhalter", "blindtext", "ダミー", "占位", "javascript", "script", "js", "脚本", "スクリプト", "http", "error", "exception: ", "status", "code", "erreur", "fehler", "traceback", 'file "', '"ok', "sorry", "oops", "we ", "unable to", "failed to", "could not", "cannot", *_REASONS.split("|"), *sorted(w for w in _LOREM if len(w) > 4 and w not in _COMMON))
+_CODE_LINE = re.compile(r"^\W*[45]\d\d\W*$")
 _TAGS = re.compile(r"</?(?:noscript|h\d|p|div|br|span|b|i|html|body)\b[^<>]*>", re.I)
 _UNITS = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
-#: Some part of each residue pattern, in lower case; texts without any are no trusted residue.
-HINTS = ("{", "[", "<", "«", "__", "@@", "#", "%", "$", "&lt;", "todo", "fixme", "tbd", "【", "〔", "（", *_LATER.split("|"), "goes here", "comes here", "text here", "content here", "copy here", "sample paragraph", "sample text", "dummy", "placeholder", "type something", "test test", "test. test", "asdf", "foo", "xxx", "factice", "viendra ici", "d'exemple", "d’exemple", "beispiel", "hier steht", "mustertext", "blindtext", "platzhalter", "relleno", "de ejemplo", "aquí va", "テストテスト", "ここに", "仮の文", "ダミー", "占位", "正文正文", "测试测试", "示例", "javascript", " js", "scripts", "skripte", "browser", "loading", "chargement", "geladen", "cargando", "navigateur", "navegador", "脚本", "浏览器", "加载", "スクリプト", "ブラウザ", "読み込み", "cookie", "traceback", 'file "', "error", "exception: ", "not found", "be found", "forbidden", "unavailable", "timeout", "too many requests", "gateway", "status=", "did not answer", "expired", "try again", "went wrong", "quota", "connection ", "timed out", "denied", "no text", "refusé", "introuvable", "répond pas", "expirée", "erreur", "verweigert", "nicht gefunden", "antwortet", "abgelaufen", "fehler", "denegado", "no encontrada", "no responde", "caducad", "expirad", "拒绝", "不存在", "错误", "超时", "无响应", "过期", "请稍后", "拒否", "見つかりません", "応答", "エラー", "再度", "期限", "exit code", "reference: ", *sorted(w for w in _LOREM if len(w) > 4))
 
 
 def _hinted():
@@ -95,37 +103,37 @@ def _words(text: str) -> float:
     return len(_WORD.findall(_CJK.sub(" ", text) if cjk else text)) + cjk / 2
 
 
-def unit_weights(unit: str) -> tuple[int, int]:
-    """(residue, content) of a unit with a hint, in characters without blanks; neutral ones have neither."""
+def trusted(unit: str) -> bool:
+    """Whether a unit is residue by its form alone."""
     size = _size(unit)
-    spots = list(PLACEHOLDER.finditer(unit))
+    spots = PLACEHOLDER.findall(unit)
     if spots:
         rest = PLACEHOLDER.sub(" ", unit)
         left = _size(rest)
-        if len(spots) >= 2 or (not TELLS.search(unit) and (left <= 6 or _words(rest) <= 3)) or size - left >= left:
-            return size, 0
-        return 0, size
+        if len(spots) >= 2 or left <= 6 or _words(rest) <= 3 or size - left >= left:
+            return True
     words = [w.lower() for w in _WORD.findall(unit)]
-    if sum(w in _LOREM for w in words) * 2 >= len(words) > 1:
-        return size, 0
-    if TELLS.search(unit) and len(unit) > 30 and not unit.lower().startswith(("please", "请")):
-        return 0, size
-    hit = sum(_size(m.group()) for m in PHRASES.finditer(unit))
-    return (size, 0) if hit * 2 >= size else (hit, size - hit)
-
-
-def weights(text: str, hinted) -> tuple[int, int]:
-    """Residue and content of a text; menus, headings and stray words are neither."""
-    residue = content = 0
-    for unit in _UNITS.split(_TAGS.sub(" ", text) if "<" in text else text):
-        unit = unit.strip()
-        if not unit or (len(unit) < 60 and NEUTRAL.match(unit)):
-            continue
-        bad, good = unit_weights(unit) if hinted(unit.lower()) else (0, _size(unit))
-        if good and good < 20 and _words(unit) < 3:
-            good = 0
-        residue, content = residue + bad, content + good
-    return residue, content
+    filler = [w for w in words if w in _LOREM]
+    if len(filler) * 2 >= len(words) > 1 and not _COMMON.issuperset(filler):
+        return True
+    if STATUS.search(unit) or SORRY.search(unit):
+        return True
+    few = _words(unit)
+    return few <= 14 and bool(SCRIPTS.search(unit)) or few <= 8 and bool(FILLER.search(unit))
+
+
+def stutters(unit: str) -> bool:
+    """Whether a unit says a word three times in a row, or is for the greater part words said again at once."""
+    return _THRICE.search(unit) is not None or sum(_size(m[0]) for m in AGAIN.finditer(unit)) * 2 > _size(unit)
+
+
+_THRICE = re.compile(r"(?<!\w)([a-zß-öø-ÿ]{3,12})(?:[ .,]+\1){2}(?!\w)|([぀-ヿ一-鿿]{2,4})\2\2", re.I)
+_TWICE = re.compile(r"(?<!\w)(\w{3,12})[ .,]+\1(?!\w)|([぀-ヿ一-鿿]{2,4})\2", re.I)
+
+
+def units(low: str) -> list[str]:
+    """The lines and sentences of a text."""
+    return [u for x in _UNITS.split(_TAGS.sub(" ", low) if "<" in low else low) if (u := x.strip())]
 
 
 def masked(text: str) -> str:
@@ -133,100 +141,170 @@ def masked(text: str) -> str:
     return _DIGITS.sub("0", PLACEHOLDER.sub(" xplace ", text.lower()))
 
 
-def simhash(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit SimHash of each non-empty set of hashes."""
-    flat = np.concatenate(sets)
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1)
-    begins = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > np.array([len(s) for s in sets])[:, None], axis=1).view(np.uint64).ravel().astype(np.uint64).view(np.int64)
-
-
-def _sets(texts: list[str]) -> list[np.ndarray]:
-    """Shingles of five words; of one word where there are under five."""
-    five = shingle_sets(texts, 5)
-    short = [i for i, s in enumerate(five) if not len(s)]
-    for i, s in zip(short, shingle_sets([texts[i] for i in short], 1), strict=True):
-        five[i] = s
-    return five
+def _read(texts: list[str], hinted) -> list[tuple[np.ndarray, int, list[tuple[int, int, bool]]]]:
+    """For each text its shingles, its size and its units (sequence hash, size, trusted), each once."""
+    flat: list[str] = []
+    marks: list[bool] = []
+    ends = [0]
+    for text in texts:
+        low = text.lower()
+        if hinted(low) or _TWICE.search(low):
+            for u in units(low):
+                flat.append(masked(u))
+                marks.append(bool(_CODE_LINE.match(u)) or (hinted(u) and trusted(u)) or (_TWICE.search(u) is not None and stutters(u)))
+        else:
+            own = units(_DIGITS.sub("0", low))
+            flat += own
+            marks += [bool(_CODE_LINE.match(u)) for u in units(low)] if any(u == "0" for u in own) else [False] * len(own)
+        ends.append(len(flat))
+    tokens, begins = token_hashes(flat)
+    sigs = sequence_hashes(tokens, begins)
+    edges = begins[ends]
+    sets = windows(tokens, edges, 5)
+    counts = np.diff(begins)
+    out = []
+    for k in range(len(texts)):
+        if not len(sets[k]):
+            sets[k] = np.unique(tokens[edges[k] : edges[k + 1]])
+        lo, hi = ends[k], ends[k + 1]
+        total, own, times = 0, {}, Counter()
+        for u in range(lo, hi):
+            size = _size(flat[u])
+            if counts[u]:
+                sig = int(sigs[u])
+                before = own.get(sig, (0, False))
+                own[sig] = (before[0] + size, before[1] or marks[u])
+                times[sig] += 1
+                total += size
+            elif any(map(str.isalpha, flat[u])):
+                total += size
+        if hi - lo > len(own) and own:
+            again = [s for s, n in times.items() if n >= REPEATS]
+            if sum(own[s][0] for s in again) * 2 > total:
+                own |= {s: (own[s][0], True) for s in again}
+        out.append((sets[k], total, [(s, n, m) for s, (n, m) in own.items()]))
+    return out
+
+
+def _raw(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(id, residue, content, sig, keys)`` of the rows (id, body) with words; one pass over the texts."""
+    """``(id, sig, raw, total, units, keys)`` of the rows (id, body) with words; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hinted = _hinted()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
-                hints = [hinted(t.lower()) for t in texts]
-                marks = [weights(t, hinted) if h else (0, 1) for t, h in zip(texts, hints, strict=True)]
-                # Without a hint there is no placeholder, so only numbers are masked.
-                sets = _sets([masked(t) if h else _DIGITS.sub("0", t.lower()) for t, h in zip(texts, hints, strict=True)])
-                kept = [k for k, s in enumerate(sets) if len(s)]
-                keys = np.concatenate([band_keys(sets[k], BANDS, ROWS) for k in kept]).view(np.int64) if kept else np.zeros(0, np.int64)
+                rows = [(i, *r, _raw(t)) for i, t, r in zip(ids, texts, _read(texts, hinted), strict=True) if len(r[0])]
+                keys = np.concatenate([band_keys(r[1], BANDS, ROWS) for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+                flat = [u for r in rows for u in r[3]]
+                parts = pa.StructArray.from_arrays([pa.array([u[0] for u in flat], pa.int64()), pa.array([u[1] for u in flat], pa.int32()), pa.array([u[2] for u in flat], pa.bool_())], ["unit", "size", "trusted"])
+                ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[k] for k in kept], pa.int64()), pa.array([marks[k][0] for k in kept], pa.int32()), pa.array([marks[k][1] for k in kept], pa.int32()), pa.array([set_signature(sets[k]) for k in kept], pa.int64()), pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
-                    names=["id", "residue", "content", "sig", "keys"],
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([set_signature(r[1]) for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), parts), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
+                    names=["id", "sig", "raw", "total", "units", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, residue int, content int, sig long, keys array<long>")
-
+    return docs.mapInArrow(run, "id long, sig long, raw long, total int, units array<struct<unit:long,size:int,trusted:boolean>>, keys array<long>")
 
-def simhash_pairs(prints: DataFrame) -> DataFrame:
-    """``(sim_a, sim_b)`` of fingerprints within the Hamming distance, through the partitioned tables.
 
-    :func:`found` does not use them: most texts at a similarity of 0.8 lie farther apart than any radius that tables
-    of this sort can hold.
+def found(docs: DataFrame) -> DataFrame:
+    """``(id)`` of the rows (id, body) that are residue."""
+    return verdicts(docs).select("id")
 
-    The 64 bits are cut into ``PARTS`` blocks; within ``MAX_HAMMING`` differences at least ``PARTS - MAX_HAMMING`` blocks
-    are whole, so each choice of that many blocks is one table, with keys of 27 bits or so. Equal fingerprints are one
-    entry, so a hot group of copies is one row.
-    """
-    edges = [round(64 * k / PARTS) for k in range(PARTS + 1)]
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    masks = [sum(chosen) for chosen in combinations(blocks, PARTS - MAX_HAMMING)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = ", ".join(f"struct({k} as t, sim & {f'{m}L' if m > -(1 << 63) else 'bigint(-9223372036854775808)'} as u)" for k, m in enumerate(signed))
-    entry = prints.select("sim").distinct().select("sim", F.explode(F.expr(f"array({tables})")).alias("e")).select("sim", "e.t", "e.u")
-    other = entry.withColumnRenamed("sim", "sim_b")
-    met = entry.withColumnRenamed("sim", "sim_a").join(other, ["t", "u"]).where("sim_a < sim_b")
-    return met.select("sim_a", "sim_b").where(F.expr(f"bit_count(sim_a ^ sim_b) <= {MAX_HAMMING}")).distinct()
 
+def verdicts(docs: DataFrame) -> DataFrame:
+    """``(id, how)`` of the residue among the rows (id, body).
 
-def found(docs: DataFrame) -> DataFrame:
-    """``(id)`` of the rows (id, body) that are residue."""
+    ``how`` is 'form' where units trusted by their form outweigh the rest, 'units' where units that took the label from
+    others do, and 'copy' where a verified near-duplicate carries it.
+    """
     texts = docs.where("body is not null and trim(body) <> ''")
     prints = materialize(fingerprints(spread(texts)), "residue-prints")
-    # Texts with the same set share a verdict; links are sought over one entry of each set.
-    reps = prints.groupBy("sig").agg(F.min("id").alias("rep"), F.max(F.col("residue") > F.col("content")).alias("seed"), F.min("keys").alias("keys"))
-    reps = materialize(reps, "residue-sets")
-    labelled = fresh = reps.where("seed").select("rep")
-    # Labels spread from the trusted texts outwards, so only links of labelled texts are verified.
+    # Texts with the same set share a verdict: one of them stands for all, so a hot text counts once, or as two where
+    # texts that differ (in numbers or placeholders) have the same set.
+    again = prints.groupBy("sig").agg(F.count("*").alias("n"), F.when(F.min("raw") < F.max("raw"), 2).otherwise(1).alias("texts"))
+    again = materialize(again.where("n > 1").select("sig", "texts"), "residue-copies")
+    single = prints.join(again, "sig", "left_anti").withColumn("texts", F.lit(1)).unionByName(prints.join(again, "sig").dropDuplicates(["sig"]))
+    flat = single.select("sig", "texts", "total", F.explode_outer("units").alias("u")).select("sig", "texts", "total", "u.*")
+    shared = flat.groupBy("unit").agg(F.sum("texts").alias("n"), F.max("trusted").alias("trusted")).where("n > 1 or trusted")
+    shared = materialize(shared.select("unit", "trusted"), "residue-units")
+    # What is left has only units that stand in several documents or are trusted.
+    graph = materialize(flat.drop("trusted", "texts").join(shared, "unit"), "residue-graph")
+    formal = outweighed(graph.withColumn("labelled", F.col("trusted")))
+    labelled, reached, probed = shared.where("trusted").select("unit"), None, None
     while True:
-        known = reps.join(fresh, "rep", "left_semi").select(F.col("rep").alias("a"), F.explode_outer("keys").alias("key"))
-        open_ = reps.join(labelled, "rep", "left_anti").select(F.col("rep").alias("b"), F.explode_outer("keys").alias("key"))
-        pairs = materialize(known.join(open_, "key").select("a", "b").distinct(), "residue-links")
-        fresh = materialize(verify(pairs, texts).select(F.col("b").alias("rep")).distinct(), "residue-reached")
-        if fresh.isEmpty():
+        labelled = spread_labels(graph, labelled, reached)
+        bad = outweighed(_marked(graph, labelled))
+        known = materialize(bad if reached is None else bad.union(reached).distinct(), "residue-known")
+        fresh = known if probed is None else known.join(probed, "sig", "left_anti")
+        near = materialize(near_copies(single, texts, known, fresh), "residue-near")
+        if near.isEmpty():
             break
-        labelled = materialize(labelled.union(fresh), "residue-labelled")
-    return prints.join(reps.join(labelled, "rep", "left_semi").select("sig"), "sig", "left_semi").select("id").distinct()
+        reached, probed = near if reached is None else near.union(reached), known
+    how = F.when(F.col("form"), "form").when(F.col("unit"), "units").otherwise("copy")
+    out = known.join(formal.withColumn("form", F.lit(True)), "sig", "left").join(bad.withColumn("unit", F.lit(True)), "sig", "left").select("sig", how.alias("how"))
+    # Back from the text that stands for all to every row with the same set.
+    return prints.select("id", "sig").join(out, "sig").select("id", "how").distinct()
+
+
+def _marked(graph: DataFrame, labelled: DataFrame) -> DataFrame:
+    return graph.join(labelled.withColumn("labelled", F.lit(True)), "unit", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
+
+
+def outweighed(marked: DataFrame) -> DataFrame:
+    """``(sig)`` of the documents whose labelled units outweigh all others."""
+    sums = marked.groupBy("sig").agg(F.first("total").alias("total"), F.sum(F.when(F.col("labelled"), F.col("size")).otherwise(0)).alias("bad"))
+    return sums.where("bad * 2 > total").select("sig")
+
+
+def spread_labels(graph: DataFrame, labelled: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """The labelled units with all that take the label from the documents they stand in.
+
+    A document shows residue if its labelled units outweigh what is its own (units of no other document) and make up a
+    fifth of it, or if it was reached by a link; it shows content if something is its own; else it tells nothing. A unit takes the label if more of
+    its documents show residue than content. Each round is one sum by document and one by unit, both with partial sums.
+    """
+    while True:
+        marked = _marked(graph, labelled)
+        docs = marked.groupBy("sig").agg(F.sum(F.when(F.col("labelled"), F.col("size")).otherwise(0)).alias("bad"), F.first("total").alias("total"), (F.first("total") - F.sum("size")).alias("own"), F.max(~F.col("labelled")).alias("open")).where("open")
+        if reached is not None:
+            docs = docs.join(reached.withColumn("linked", F.lit(True)), "sig", "left")
+        else:
+            docs = docs.withColumn("linked", F.lit(None).cast("boolean"))
+        tells = docs.select("sig", F.when(F.col("linked") | ((F.col("bad") > F.col("own")) & (F.col("bad") * LEAST_SHARE >= F.col("total"))), 1).when(F.col("own") > 0, -1).otherwise(0).alias("tells")).where("tells <> 0")
+        votes = marked.where("not labelled").select("unit", "sig").join(tells, "sig").groupBy("unit").agg(F.sum("tells").alias("votes"))
+        fresh = materialize(votes.where("votes > 0").select("unit"), "residue-fresh")
+        if fresh.isEmpty():
+            return labelled
+        labelled = labelled.union(fresh)
+
+
+def near_copies(single: DataFrame, texts: DataFrame, known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``(sig)`` of the texts outside ``known`` that are near-duplicates of a text of ``fresh``."""
+    from_ = single.join(fresh, "sig", "left_semi").select(F.col("id").alias("a"), F.explode_outer("keys").alias("key"))
+    to = single.join(known, "sig", "left_anti").select(F.col("id").alias("b"), "sig", F.explode_outer("keys").alias("key"))
+    pairs = materialize(from_.join(to, "key").select("a", "b", "sig").distinct(), "residue-links")
+    return verify(pairs, texts).distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingles are similar enough."""
+    """``(sig)`` of the pairs (a, b, sig) whose shingles are similar enough."""
     need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     body = materialize(texts.join(need, "id", "left_semi").dropDuplicates(["id"]), "residue-texts")
     both = pairs.join(body.toDF("a", "body_a"), "a").join(body.toDF("b", "body_b"), "b")
 
     def run(rows: Iterable[dict]) -> Iterator[tuple]:
+        hinted = _hinted()
         for r in rows:
-            x, y = (frozenset(s.tolist()) for s in _sets([masked(r["body_a"]), masked(r["body_b"])]))
+            x, y = (frozenset(s.tolist()) for s, _, _ in _read([r["body_a"], r["body_b"]], hinted))
             if x and len(x & y) >= SIMILARITY * len(x | y):
-                yield r["a"], r["b"]
+                yield (r["sig"],)
 
-    return map_rows(both, run, "a long, b long")
+    return map_rows(both, run, "sig long")
 
 
 def records(documents: DataFrame) -> DataFrame:

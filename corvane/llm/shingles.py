@@ -55,16 +55,27 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: list[str], width: int = 4, least_tokens: int = 0) -> list[np.ndarray | None]:
     """Sorted distinct hashes of ``width`` adjacent tokens of each text; None below ``least_tokens``."""
     tokens, begins = token_hashes([t.lower() for t in texts])
-    return _windows(tokens, begins, width, least_tokens)
+    return windows(tokens, begins, width, least_tokens)
 
 
 def gram_sets(texts: list[str], width: int = 3) -> list[np.ndarray | None]:
     """Sorted distinct hashes of the substrings of ``width`` characters of each text."""
     data, begins = codes(texts)
-    return _windows(mix(data.astype(np.uint64) + np.uint64(1)), begins, width, 0)
+    return windows(mix(data.astype(np.uint64) + np.uint64(1)), begins, width, 0)
 
 
-def _windows(units: np.ndarray, begins: np.ndarray, width: int, least: int) -> list[np.ndarray | None]:
+def sequence_hashes(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """One signed 64-bit number for each stretch of tokens between ``begins``; those of equal stretches are equal."""
+    out = np.zeros(len(begins) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(begins))
+    if len(full):
+        place = np.arange(len(tokens)) - np.repeat(begins[:-1], np.diff(begins))
+        out[full] = np.add.reduceat(mix(tokens + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begins[:-1][full])
+    return mix(out).view(np.int64)
+
+
+def windows(units: np.ndarray, begins: np.ndarray, width: int, least: int = 0) -> list[np.ndarray | None]:
+    """Sorted distinct hashes of ``width`` adjacent units of each stretch between ``begins``."""
     if len(units) >= width:
         h = np.zeros(len(units) - width + 1, np.uint64)
         for k in range(width):

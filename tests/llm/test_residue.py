@@ -6,41 +6,40 @@ REAL = "In practice, the printed catalogue lists the harbour map on the last shi
 HINTED = R._hinted()
 
 
-@pytest.mark.parametrize("text", ["Lorem ipsum dolor sit amet. Felis ante lectus velit.", "{{ title }}\n\nSection ${body} of <%= date %>", "404 Not Found", "Please enable JavaScript to view this page.", "请启用 JavaScript 以查看本页。", "您的浏览器已禁用脚本。\n正在加载……", "服务器内部错误，错误码65288。", "Heading placeholder test test test", "ZUGRIFF VERWEIGERT.\nSEITE NICHT GEFUNDEN.", "作者：【此处填写date】，日期：（请输入body）", 'Traceback (most recent call last):\n  File "/srv/x.py", line 8, in run\nValueError: empty page', "ここに本文が入ります。テストテスト。", f"{REAL}\n" + "Lorem ipsum dolor sit amet velit porta. " * 9])
-def test_residue(text):
-    bad, good = R.weights(text, HINTED)
-    assert bad > good
+def by_form(text):
+    """Whether the units trusted by their form outweigh the others."""
+    ((_, total, units),) = R._read([text], HINTED)
+    return sum(n for _, n, mark in units if mark) * 2 > total
 
 
-@pytest.mark.parametrize("text", [REAL, f"The template field {{{{ asset_title }}}} is filled when the card is printed. {REAL}", "A client that sees 404 Not Found asks for the asset again after 5 seconds.", "旧版页面会提示启用 JavaScript，新版已经取消。", "模板变量 {{ title }} 在打印目录时才会被替换。", "snake_case__x [MASK] <s> </s>", f"Lorem ipsum was removed from the page. {REAL}", "Use ${HOME}/assets as the root folder of the archive.", "", " \n "])
+@pytest.mark.parametrize("text", ["Lorem ipsum dolor sit amet. Felis ante lectus velit.", "Nulla facilisi. Pellentesque habitant morbi tristique senectus et netus.", "{{ title }}\n\nSection ${body} of <%= date %>", "404 Not Found", "status=503", "Please enable JavaScript to view this page.", "请启用 JavaScript 以查看本页。", "Heading placeholder test test test", "作者：【此处填写date】，日期：（请输入body）", 'Traceback (most recent call last):\n  File "/srv/x.py", line 8, in run\nValueError: empty page', "テストテスト。", "Qux here.\nQux here.\nQux here.", "We could not load your report. Refresh the page in a moment.", "Sorry, this document could not be rendered because the converter crashed.", "[Company tagline goes in this spot]", f"{REAL}\n" + "Lorem ipsum dolor sit amet velit porta. " * 9])
+def test_trusted_by_form(text):
+    assert by_form(text)
+
+
+@pytest.mark.parametrize("text", [REAL, f"The template field {{{{ asset_title }}}} is filled when the card is printed. {REAL}", "A client that sees 404 Not Found asks for the asset again after 5 seconds.", "模板变量 {{ title }} 在打印目录时才会被替换。", "snake_case__x [MASK] <s> </s>", f"Lorem ipsum was removed from the page. {REAL}", "Use ${HOME}/assets as the root folder of the archive.", "The porta of the house is in the non-est corner.", "", " \n "])
 def test_content(text):
-    bad, good = R.weights(text, HINTED)
-    assert bad <= good
+    assert not by_form(text)
 
 
-def test_near_copies_share_the_label_and_rows_pass(spark):
-    rows = [(1, REAL, "k"), (2, "404 Not Found", "k"), (3, "404 not found", "k"), (4, None, "k"), (5, "", "k"), (6, "Error 500\nReference: 1-1", "k"), (7, "Error 503\nReference: 9-9", "k"), (2, "404 Not Found", "k"), (8, "x" * 200_000, "k")]
+def test_copies_share_the_verdict_and_rows_pass(spark):
+    rows = [(1, REAL, "k"), (2, "404 Not Found", "k"), (3, "404 not found", "k"), (4, None, "k"), (5, "", "k"), (6, "Error 500\nReference: 1-1", "k"), (7, "Error 503\nReference: 9-9", "k"), (2, "404 Not Found", "k"), (8, "x" * 200_000, "k"), (None, "502 Bad Gateway", "k"), (9, "Привет мир", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
-    assert {r["id"] for r in R.found(R.records(docs)).collect()} == {2, 3, 6, 7}
-    assert sorted(r["doc_id"] for r in R.clean(docs).collect()) == [1, 4, 5, 8]
+    assert {r["id"] for r in R.found(R.records(docs)).collect()} == {2, 3, 6, 7, None}
+    assert sorted(r["doc_id"] or 0 for r in R.clean(docs).collect()) == [0, 1, 4, 5, 8, 9]
     assert R.found(R.records(docs.where("false"))).count() == 0
 
 
-def test_simhash_tables_find_all_pairs_within_the_distance(spark):
-    import random
-
-    rng = random.Random(2)
-    base = [rng.getrandbits(64) - 2**63 for _ in range(20)]
-    sims = set(base)
-    for b in base:
-        for k in range(1, 7):
-            x = b
-            for bit in rng.sample(range(64), k):
-                x ^= 1 << bit if bit < 63 else -(2**63)
-            sims.add(x)
-    got = {(r["sim_a"], r["sim_b"]) for r in R.simhash_pairs(spark.createDataFrame([(s,) for s in sims], "sim long")).collect()}
-    want = {(a, b) for a in sims for b in sims if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= R.MAX_HAMMING}
-    assert got == want
+def test_labels_spread_through_shared_units(spark):
+    texts = [
+        "Error 503\nThe clerk is away.", "Error 500\nThe clerk is away.\nRing the bell.",  # the clerk and the bell stand beside trusted units
+        "The clerk is away.\nRing the bell.", "Ring the bell.\nDoor closed.", "Door closed.",  # no trusted form: two and three links away
+        f"Ring the bell. {REAL}", f"{REAL} Ring the harbour master at noon, he knows the tide tables by heart.",
+        "Clerks of the archive keep the old ledgers.\nThe tide was low.", "The tide was low.\nThe ledgers were read again in the spring.",  # shared, but beside content
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    got = {r["id"]: r["how"] for r in R.verdicts(docs).collect()}
+    assert got == {0: "units", 1: "units", 2: "units", 3: "units", 4: "units"}
 
 
 def test_candidates_hold_nearly_all_pairs_at_the_threshold():
@@ -59,8 +58,8 @@ def test_candidates_hold_nearly_all_pairs_at_the_threshold():
 
 def test_verified_links_carry_the_label(spark):
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re", "so", "ti", "vu", "xa", "zo") for b in ("bar", "den", "fil", "gor", "hem", "jal", "kur")]
-    # The second text is near the first, the third near the second alone; neither shows a listed phrase.
-    texts = [" ".join(words) + ".\n" + "404 Not Found\n" * 80, " ".join(words) + ".", " ".join(words[:-12]) + ".", " ".join(words[:30]) + ".", REAL]
-    assert [bad > good for bad, good in (R.weights(t, HINTED) for t in texts)] == [True, False, False, False, False]
+    # The second text is near the first, the third near the second alone; neither shows a trusted form.
+    texts = [" ".join(words) + ".\n" + "404 Not Found\n" * 80, " ".join(words[:-1]) + ".", " ".join(words[:-12]) + ".", " ".join(words[:30]) + ".", REAL]
+    assert [by_form(t) for t in texts] == [True, False, False, False, False]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
-    assert {r["id"] for r in R.found(docs).collect()} == {0, 1, 2}
+    assert {r["id"]: r["how"] for r in R.verdicts(docs).collect()} == {0: "form", 1: "copy", 2: "copy"}
