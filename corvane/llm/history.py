@@ -1,33 +1,45 @@
-"""Problem 4: checking new batches against everything accepted before.
-
-Method: names are reduced to a key (letter case, separators, folders, escapes, added hashes and copy marks go), and equal
-keys are the same name in another writing. Key equality alone decides :func:`found`; a writing that the key does not
-reduce, such as other copy marks, accents or Unicode forms, is another name.
-
-Typing differences (:func:`lookup`) are found by a segment index for edit distance: every string is cut into ``tau + 1``
-segments whose places depend on its length alone; the index holds (length, segment number, segment). Two strings within
-``tau`` edits agree in one segment, shifted by at most ``tau``, so a string probes the index with a few of its
-substrings for each length within ``tau`` of its own, and candidates are verified with a bounded edit distance. The
-index is built in the query and is neither stored nor appended to.
-
-Defined results: null and empty strings are neither indexed nor found. Repeated strings are indexed once. Ties
-between earlier rows do not matter: a row is reported once, with the strongest kind. Empty tables give no rows.
+"""Problem 4: checking new batches against everything accepted before, without working through the history again.
+
+Method: a stored segment index for edit distance. Names are written plainly (letter case, folders, escapes, added hashes
+and copy marks go, separators become one blank); every new name is cut into ``SEGMENTS`` pieces whose places depend on its
+length alone, and its ``tau + 1`` rarest pieces are stored by (length, piece number, piece). ``tau`` edits cannot touch all of
+them, so a batch probes the index with a few substrings of its own names, by length and position, and finds every stored
+name within ``tau`` edits; candidates are verified with a bounded edit distance, and the exact check that follows keeps
+those with the same letters and digits (accents and separators aside). New names append their pieces. Pieces that many
+names share are not the ones stored, so a common prefix makes no hot key.
+
+Beside the index :class:`History` keeps logs of counts: how many accepted rows with a hash or a name are still live, and what
+each asset owns, so that a tombstone can take it back. All tables are appended to, turn by turn, in parts by the hash of
+their key, and a batch reads only the parts its own keys fall into. Within a batch the order of arrival decides.
+
+Defined results: null and empty strings are neither stored nor found. A null asset_id is no name and has no tombstone.
+Repeated strings are stored once. Ties between earlier rows do not matter: a row is reported once, with the strongest
+kind. A repeated log_seq counts once. Empty batches give no rows. Batches come in their order of arrival. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.session import materialize
+from corvane.session import materialize, shared_dir
 
 TAU = 1
+#: Pieces a name is cut into; any ``tau + 1`` of them would do, the rarest are stored.
+SEGMENTS = 6
 #: Rows of one key that are worked on together; a hot key becomes many blocks.
 BLOCK = 4096
-
+#: Parts of each stored table; a batch reads only the parts of its keys.
+PARTS = 16
+#: Turns in which :func:`found` replays the history.
+TURNS = 2
+_LATE = 2**62
+_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿœ", "aaaaaaceeeeiiiinooooouuuuyyo")
 
 def name_key(name: Column, path: bool = False) -> Column:
     """The same value for every writing of one name."""
@@ -51,34 +63,63 @@ def hash_key(sha: Column) -> Column:
     return F.when(text != "", text)
 
 
-def segments(strings: DataFrame, col: str = "name", tau: int = TAU) -> DataFrame:
-    """The index: one row (len, seg, piece, name) for each of the ``tau + 1`` segments of each string."""
-    parts = tau + 1
-    s = strings.select(F.col(col).alias("name")).where("name is not null and name <> ''").distinct().withColumn("len", F.length("name"))
-    s = s.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(tau))))
-    return s.select("len", "seg", F.expr(f"substring(name, {_begin('len', 'seg', parts)} + 1, {_begin('len', 'seg + 1', parts)} - {_begin('len', 'seg', parts)})").alias("piece"), "name")
+def letters(name: Column) -> Column:
+    """Letters and digits alone, without accents: equal for writings of one name."""
+    return F.regexp_replace(F.translate(F.lower(name), *_ACCENTS), r"[\s_.\-\u0300-\u036f]+", "")
+
+
+def segments(strings: DataFrame, by: tuple[str, ...] = (), pieces: int = SEGMENTS) -> DataFrame:
+    """``(*by, len, seg, piece, name)``: all pieces of the distinct strings (*by, name)."""
+    s = strings.select(*by, "name").where("name is not null and name <> ''").distinct().withColumn("len", F.length("name"))
+    s = s.withColumn("seg", F.explode_outer(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return s.select(*by, "len", "seg", F.expr(f"substring(name, {_begin('len', 'seg', pieces)} + 1, {_begin('len', 'seg + 1', pieces)} - {_begin('len', 'seg', pieces)})").alias("piece"), "name")
+
+
+def rarest(parts: DataFrame, known: DataFrame | None, by: tuple[str, ...] = (), tau: int = TAU) -> DataFrame:
+    """The ``tau + 1`` rarest of each name's pieces; ``known`` (*by, len, seg, piece, n) adds earlier counts.
+
+    Empty pieces (of names shorter than the number of pieces) cannot be told from untouched ones, so they come last.
+    """
+    token = [*by, "len", "seg", "piece"]
+    counts = parts.groupBy(*token).agg(F.count("*").alias("n"))
+    if known is not None:
+        counts = counts.unionByName(known.select(*token, "n")).groupBy(*token).agg(F.sum("n").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((F.col("piece") == "").alias("empty"), "n", "seg", "piece")))
+    best = parts.join(counts, token).groupBy(*by, "name", "len").agg(F.slice(order, 1, tau + 1).alias("best"))
+    return best.select(*by, "len", "name", F.explode_outer("best").alias("b")).select(*by, "len", "b.seg", "b.piece", "name")
 
 
 def _begin(length: str, seg: str, parts: int) -> str:
     return f"cast(floor(({seg}) * {length} / {parts}) as int)"
 
 
-def probes(strings: DataFrame, col: str = "name", tau: int = TAU) -> DataFrame:
-    """The substrings (len, seg, piece, probe) with which each new string asks the index."""
-    parts = tau + 1
-    s = strings.select(F.col(col).alias("probe")).where("probe is not null and probe <> ''").distinct()
-    s = s.withColumn("len", F.explode(F.expr(f"sequence(greatest(1, length(probe) - {tau}), length(probe) + {tau})")))
-    s = s.withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(tau)))).withColumn("shift", F.explode(F.sequence(F.lit(-tau), F.lit(tau))))
-    start = f"({_begin('len', 'seg', parts)} + shift)"
-    size = f"({_begin('len', 'seg + 1', parts)} - {_begin('len', 'seg', parts)})"
+def probes(strings: DataFrame, by: tuple[str, ...] = (), tau: int = TAU, pieces: int = SEGMENTS) -> DataFrame:
+    """The substrings (*by, len, seg, piece, probe) with which each new string (*by, name) asks the index.
+
+    A piece that stands ``d`` places further in the probe, which is ``gap`` characters longer, costs at least |d| edits before it
+    and |gap - d| after it, so only shifts with |d| + |gap - d| <= tau are asked for.
+    """
+    s = strings.select(*by, F.col("name").alias("probe")).where("probe is not null and probe <> ''").distinct()
+    ways = [(gap, d) for gap in range(-tau, tau + 1) for d in range(-tau, tau + 1) if abs(d) + abs(gap - d) <= tau]
+    s = s.withColumn("way", F.explode_outer(F.expr("array(" + ", ".join(f"struct({g} as gap, {d} as d)" for g, d in ways) + ")")))
+    s = s.withColumn("len", F.length("probe") - F.col("way.gap")).where("len > 0").withColumn("seg", F.explode_outer(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    start = f"({_begin('len', 'seg', pieces)} + way.d)"
+    size = f"({_begin('len', 'seg + 1', pieces)} - {_begin('len', 'seg', pieces)})"
     s = s.where(f"{start} >= 0 and {start} + {size} <= length(probe)")
-    return s.select("len", "seg", F.expr(f"substring(probe, {start} + 1, {size})").alias("piece"), "probe").distinct()
+    return s.select(*by, "len", "seg", F.expr(f"substring(probe, {start} + 1, {size})").alias("piece"), "probe").distinct()
+
 
+def verified(asked: DataFrame, index: DataFrame, by: tuple[str, ...] = (), tau: int = TAU) -> DataFrame:
+    """``(*by, probe, name, distance)``: the stored names that share a piece with a probe and lie within ``tau`` edits."""
+    met = asked.join(index, [*by, "len", "seg", "piece"]).select(*by, "probe", "name").distinct()
+    return met.withColumn("distance", F.levenshtein("probe", "name", tau)).where("distance >= 0")
 
-def lookup(index: DataFrame, strings: DataFrame, col: str = "name", tau: int = TAU) -> DataFrame:
-    """``(probe, name, distance)`` of every indexed string within ``tau`` edits of a new one."""
-    near = probes(strings, col, tau).join(index, ["len", "seg", "piece"]).select("probe", "name").distinct()
-    return near.withColumn("distance", F.levenshtein("probe", "name", tau)).where("distance >= 0")
+
+def lookup(names: DataFrame, strings: DataFrame, tau: int = TAU) -> DataFrame:
+    """``(probe, name, distance)`` of every one of ``names`` (name) within ``tau`` edits of one of ``strings`` (name)."""
+    pieces = max(SEGMENTS, tau + 1)
+    parts = segments(names, pieces=pieces)
+    return verified(probes(strings, tau=tau, pieces=pieces), rarest(parts, None, tau=tau), tau=tau)
 
 
 def _blocks(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -112,52 +153,164 @@ def dead_from(log: DataFrame) -> DataFrame:
     return found.withColumn("dead_at", F.coalesce(-F.col("next_grave"), F.lit(2**62))).drop("back", "grave", "next_grave")
 
 
-def same_names(names: DataFrame, col: str) -> DataFrame:
-    """``(key, cls)``: the class of each name key, which is the key itself."""
-    keys = names.select(F.col(col).alias("key")).where("key is not null and key <> ''").distinct()
-    return keys.withColumn("cls", F.col("key"))
-
+_TABLES = {
+    "segments": ("kind string, len int, seg int, piece string, name string", ("kind", "len", "seg", "piece")),
+    "pieces": ("kind string, len int, seg int, piece string, n long", ("kind", "len", "seg", "piece")),
+    "counts": ("rank int, val string, n long", ("rank", "val")),
+    "owned": ("asset_id string, rank int, val string, n long", ("asset_id",)),
+}
 
-def asset_rows(log: DataFrame) -> DataFrame:
-    """The live rows of the log with their hash, name key and the next tombstone of their asset."""
-    rows = log.select("log_seq", "asset_id", F.coalesce("deleted", F.lit(False)).alias("deleted"), hash_key(F.col("sha256")).alias("sha"), name_key(F.col("asset_id")).alias("key"))
-    return dead_from(rows.dropDuplicates(["log_seq"])).where("not deleted").select("log_seq", "sha", "key", "dead_at")
 
+class History:
+    """What has been accepted: stored tables in ``folder`` that each accepted batch adds a turn to.
 
-def task_rows(tasks: DataFrame) -> DataFrame:
-    """The uploaded files of each task once, without retries, with their order of arrival and name key."""
-    first = tasks.select("task_seq", "task_id", "origin_task_id", "uploaded_files").groupBy("task_id").agg(F.min_by(F.struct("task_seq", "origin_task_id", "uploaded_files"), "task_seq").alias("t")).select("t.*")
-    files = first.where("origin_task_id is null").select("task_seq", F.posexplode("uploaded_files").alias("item_ix", "file")).where("file is not null and file <> ''")
-    # (task, position): the order of arrival
-    files = files.withColumn("ord", F.struct("task_seq", "item_ix"))
-    return files.withColumn("key", F.coalesce(name_key(F.col("file"), path=True), "file"))
-
-
-def asset_arrivals(live: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(rec_id, item_ix, how)`` of every live row; ``how`` is null for what is new.
-
-    A row is known by its hash or its name if a row before it with the same one lives until it, that is, if the
-    largest ``dead_at`` so far lies after it; hashes and names go through one pass.
+    A turn is written to folders of its own, so a batch that failed half-way can be accepted again. Opened anew on a folder, it goes
+    on after the last finished turn.
     """
-    by_sha = live.where("sha is not null").select("log_seq", F.lit(1).alias("rank"), F.col("sha").alias("val"), "dead_at")
-    by_name = live.join(classes, "key").select("log_seq", F.lit(2).alias("rank"), F.col("cls").alias("val"), "dead_at")
-    best = running_max_before(by_sha.union(by_name), ["rank", "val"], "log_seq", "dead_at", "best")
-    known = best.groupBy("log_seq").agg(F.min(F.when(F.col("best") > F.col("log_seq"), F.col("rank"))).alias("rank"))
-    return known.select(F.col("log_seq").alias("rec_id"), F.lit(0).alias("item_ix"), F.when(F.col("rank") == 1, "exact").when(F.col("rank") == 2, "near").alias("how"))
-
-
-def task_arrivals(files: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same for the uploaded files of tasks, position by position."""
-    named = files.join(classes, "key", "left")
-    same = files.groupBy("file").agg(F.min("ord").alias("first_same"))
-    alike = named.groupBy("cls").agg(F.min("ord").alias("first_alike"))
-    out = named.join(same, "file").join(alike, "cls", "left")
-    return out.select(F.col("task_seq").alias("rec_id"), "item_ix", F.when(F.col("first_same") < F.col("ord"), "exact").when(F.col("first_alike") < F.col("ord"), "near").alias("how"))
-
-
-def found(log: DataFrame, tasks: DataFrame) -> DataFrame:
-    """p4_found: arrivals known exactly or nearly."""
-    live, files = materialize(asset_rows(log), "history-live"), materialize(task_rows(tasks), "history-files")
-    classes = materialize(same_names(live.select("key").union(files.select("key")), "key"), "history-names")
-    parts = [asset_arrivals(live, classes).withColumn("kind", F.lit("asset")), task_arrivals(files, classes).withColumn("kind", F.lit("task"))]
-    return parts[0].unionByName(parts[1]).where("how is not null").select("kind", F.col("rec_id").cast("long").alias("rec_id"), F.col("item_ix").cast("int").alias("item_ix"), "how")
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, turn: int = 0, parts: int = PARTS, tau: int = TAU) -> None:
+        self.spark, self.turn, self.parts, self.tau = spark, turn, parts, tau
+        self.folder = folder or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+
+    def _part(self, df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("part", F.pmod(F.xxhash64(*_TABLES[name][1]), F.lit(self.parts)).cast("int"))
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows to a table in the current turn."""
+        rows = self._part(df.select(*(f.split()[0] for f in _TABLES[name][0].split(", "))), name).repartition("part")
+        rows.write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{self.folder}/{name}/turn={self.turn:06d}")
+
+    def stored(self, name: str, keys: DataFrame) -> DataFrame | None:
+        """The rows of earlier turns in the parts that ``keys`` fall into; None in the first turn."""
+        if not self.turn:
+            return None
+        wanted = [r[0] for r in self._part(keys, name).select("part").distinct().collect()]
+        table = self.spark.read.schema(f"{_TABLES[name][0]}, turn int, part int").parquet(f"{self.folder}/{name}")
+        return table.where((F.col("turn") < self.turn) & F.col("part").isin(wanted)).drop("turn", "part")
+
+    def same_names(self, names: DataFrame) -> DataFrame:
+        """``(kind, probe, name)``: for each of the batch's ``names`` (kind, name) the names, stored or of the batch, it may be.
+
+        Names that are not stored yet are added to the index.
+        """
+        names = materialize(names.where("name is not null and name <> ''").distinct(), "history-names")
+        asked = materialize(probes(names, ("kind",), self.tau), "history-probes")
+        index = self.stored("segments", asked)
+        before = None if index is None else materialize(verified(asked, index, ("kind",), self.tau), "history-met")
+        fresh = names if before is None else names.join(before.where("distance = 0").select("kind", "name"), ["kind", "name"], "left_anti")
+        parts = materialize(segments(fresh, ("kind",)), "history-pieces")
+        known = self.stored("pieces", parts)
+        if known is not None:
+            known = known.join(parts.select("kind", "len", "seg", "piece").distinct(), ["kind", "len", "seg", "piece"], "left_semi")
+        self.append("segments", rarest(parts, known, ("kind",), self.tau))
+        self.append("pieces", parts.groupBy("kind", "len", "seg", "piece").agg(F.count("*").alias("n")))
+        own = self.spark.read.schema(f"{_TABLES['segments'][0]}, part int").parquet(f"{self.folder}/segments/turn={self.turn:06d}").drop("part")
+        met = verified(asked, own, ("kind",), self.tau)
+        both = met if before is None else before.unionByName(met)
+        return materialize(both.where(letters(F.col("probe")) == letters(F.col("name"))).select("kind", "probe", "name").distinct(), "history-same")
+
+    def _witnesses(self, asks: DataFrame, graves: DataFrame | None) -> DataFrame | None:
+        """``(rank, val, log_seq, dead_at)``: what earlier turns know of the batch's keys, as rows before all others.
+
+        ``graves`` (asset_id, dead_at): the batch's first tombstone of each asset.
+        """
+        keys = asks.select("rank", "val").distinct()
+        counts = self.stored("counts", keys)
+        if counts is None:
+            return None
+        live = counts.join(keys, ["rank", "val"], "left_semi").groupBy("rank", "val").agg(F.sum("n").alias("n"))
+        if graves is None:
+            return live.where("n > 0").select("rank", "val", F.lit(-1).cast("long").alias("log_seq"), F.lit(_LATE).alias("dead_at"))
+        ending = self.owned(graves).join(keys, ["rank", "val"], "left_semi")
+        lost = ending.groupBy("rank", "val").agg(F.sum("n").alias("lost"), F.max("dead_at").alias("ends"))
+        both = live.where("n > 0").join(lost, ["rank", "val"], "left")
+        stays = F.col("n") > F.coalesce("lost", F.lit(0))
+        return both.select("rank", "val", F.lit(-1).cast("long").alias("log_seq"), F.when(stays, F.lit(_LATE)).otherwise(F.col("ends")).alias("dead_at"))
+
+    def owned(self, graves: DataFrame) -> DataFrame:
+        """``(asset_id, rank, val, n, dead_at)``: the live keys of assets that end in the batch."""
+        return self.stored("owned", graves).join(graves, "asset_id").groupBy("asset_id", "rank", "val", "dead_at").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def accept_assets(self, batch: DataFrame) -> DataFrame:
+        """Arrivals ``(rec_id, item_ix, how)`` of rows of the log, which are accepted; ``how`` is null for what is new."""
+        rows = batch.select("log_seq", "asset_id", F.coalesce("deleted", F.lit(False)).alias("deleted"), hash_key(F.col("sha256")).alias("sha"), name_key(F.col("asset_id")).alias("name")).dropDuplicates(["log_seq"])
+        rows = materialize(dead_from(rows), "history-rows")
+        graves = rows.where("deleted and asset_id is not null").groupBy("asset_id").agg(F.min("log_seq").alias("dead_at"))
+        live = rows.where("not deleted")
+        same = self.same_names(live.select(F.lit("asset").alias("kind"), "name"))
+        facts = live.where("sha is not null").select("log_seq", "asset_id", F.lit(1).alias("rank"), F.col("sha").alias("val"), "dead_at")
+        facts = materialize(facts.union(live.where("name is not null").select("log_seq", "asset_id", F.lit(2).alias("rank"), F.col("name").alias("val"), "dead_at")), "history-facts")
+        other = same.where("probe <> name").select(F.col("probe").alias("val"), F.col("name").alias("as"))
+        asks = facts.where("rank = 2").join(other, "val").select("rank", F.col("as").alias("val"), "log_seq", F.lit(None).cast("long").alias("dead_at"))
+        asks = materialize(facts.select("rank", "val", "log_seq", "dead_at").union(asks), "history-asks")
+        before = self._witnesses(asks, graves)
+        best = running_max_before(asks if before is None else asks.union(before), ["rank", "val"], "log_seq", "dead_at", "best").where("log_seq >= 0")
+        known = best.groupBy("log_seq").agg(F.min(F.when(F.col("best") > F.col("log_seq"), F.col("rank"))).alias("rank"))
+        out = live.select("log_seq").join(known, "log_seq", "left")
+        out = materialize(out.select(F.col("log_seq").alias("rec_id"), F.lit(0).alias("item_ix"), _how(1)), "history-arrivals")
+        kept = facts.where(F.col("dead_at") == _LATE).groupBy("asset_id", "rank", "val").agg(F.count("*").alias("n"))
+        gone = self.owned(graves).select("asset_id", "rank", "val", (-F.col("n")).alias("n")) if self.turn else None
+        self._count(kept if gone is None else kept.unionByName(gone), owned=True)
+        return out
+
+    def accept_tasks(self, batch: DataFrame) -> DataFrame:
+        """The same for the uploaded files of tasks, position by position; the rows of a batch come after all earlier ones."""
+        first = batch.select("task_seq", "task_id", "origin_task_id", "uploaded_files").groupBy("task_id").agg(F.min_by(F.struct("task_seq", "origin_task_id", "uploaded_files"), "task_seq").alias("t")).select("task_id", "t.*")
+        ids = first.where("task_id is not null").select(F.lit(5).alias("rank"), F.col("task_id").alias("val"))
+        seen = self.stored("counts", ids)
+        if seen is not None:
+            first = first.join(seen.where("rank = 5").select(F.col("val").alias("task_id")).distinct(), "task_id", "left_anti")
+        first = materialize(first, "history-tasks")
+        files = first.where("origin_task_id is null").select("task_seq", F.posexplode("uploaded_files").alias("item_ix", "file")).where("file is not null and file <> ''")
+        files = files.withColumn("ord", F.struct("task_seq", "item_ix")).withColumn("name", F.coalesce(name_key(F.col("file"), path=True), "file"))
+        files = materialize(files, "history-files")
+        same = self.same_names(files.select(F.lit("task").alias("kind"), "name"))
+        facts = materialize(files.select(F.lit(3).alias("rank"), F.col("file").alias("val"), "ord").union(files.select(F.lit(4), "name", "ord")).groupBy("rank", "val").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "history-facts")
+        names = same.select("probe", F.lit(4).alias("rank"), F.col("name").alias("val"))
+        asks = files.select(F.lit(3).alias("rank"), F.col("file").alias("val")).union(names.select("rank", "val")).distinct()
+        before = self._witnesses(asks, None)
+        known = facts.select("rank", "val", "first", F.lit(False).alias("stored"))
+        if before is not None:
+            known = known.unionByName(before.select("rank", "val", F.lit(None).cast("struct<task_seq:bigint,item_ix:int>").alias("first"), F.lit(True).alias("stored")))
+        known = known.groupBy("rank", "val").agg(F.min("first").alias("first"), F.max("stored").alias("stored"))
+        alike = names.join(known, ["rank", "val"]).groupBy("probe").agg(F.min("first").alias("first_alike"), F.max("stored").alias("stored_alike")).withColumnRenamed("probe", "name")
+        exact = known.where("rank = 3").select(F.col("val").alias("file"), F.col("first").alias("first_same"), F.col("stored").alias("stored_same"))
+        out = files.join(exact, "file", "left").join(alike, "name", "left")
+        rank = F.when(F.col("stored_same") | (F.col("first_same") < F.col("ord")), 1).when(F.col("stored_alike") | (F.col("first_alike") < F.col("ord")), 2)
+        out = materialize(out.withColumn("rank", rank).select(F.col("task_seq").alias("rec_id"), "item_ix", _how(1)), "history-arrivals")
+        kept = facts.select("rank", "val", "n").unionByName(first.where("task_id is not null").select(F.lit(5).alias("rank"), F.col("task_id").alias("val"), F.lit(1).cast("long").alias("n")))
+        self._count(kept, owned=False)
+        return out
+
+    def _count(self, rows: DataFrame, owned: bool) -> None:
+        if owned:
+            rows = materialize(rows, "history-kept")
+            self.append("owned", rows.where("asset_id is not null"))
+        self.append("counts", rows.groupBy("rank", "val").agg(F.sum("n").alias("n")))
+        self.turn += 1
+
+
+def _how(exact: int) -> Column:
+    return F.when(F.col("rank") == exact, "exact").when(F.col("rank").isNotNull(), "near").alias("how")
+
+
+def turns(df: DataFrame, order: str, n: int = TURNS) -> list[DataFrame]:
+    """``df`` in ``n`` stretches of ``order``: the ends are a few numbers, not rows."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return []
+    edges = sorted({lo + (hi - lo + 1) * k // n for k in range(n)} | {hi + 1})
+    return [df.where((F.col(order) >= a) & (F.col(order) < b)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def found(log: DataFrame, tasks: DataFrame, n: int = TURNS) -> DataFrame:
+    """p4_found: arrivals known exactly or nearly; the log is replayed in turns of whole batches, the tasks in turns of their order."""
+    spark, out = log.sparkSession, []
+    for kind, table, order, take in (("asset", log, "batch_id" if "batch_id" in log.columns else "log_seq", History.accept_assets), ("task", tasks, "task_seq", History.accept_tasks)):
+        history = History(spark)
+        for batch in turns(table, order, n):
+            out.append(take(history, batch).withColumn("kind", F.lit(kind)))
+    if not out:
+        return spark.createDataFrame([], "kind string, rec_id long, item_ix int, how string")
+    whole = reduce(DataFrame.unionByName, out)
+    return whole.where("how is not null").select("kind", F.col("rec_id").cast("long").alias("rec_id"), F.col("item_ix").cast("int").alias("item_ix"), "how")

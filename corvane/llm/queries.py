@@ -50,9 +50,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_typing(spark: SparkSession, d: str) -> DataFrame:
-    """Name keys of assets that differ from another by one edit, from the segment index."""
-    keys = table(spark, d, "asset_index_log").select(history.name_key(F.col("asset_id")).alias("name")).distinct()
-    return history.lookup(history.segments(keys), keys).where("distance > 0 and probe < name").select("probe", "name", "distance")
+    """Titles of assets (lower case, single blanks) that differ by one or two edits, from the segment index."""
+    plain = F.trim(F.regexp_replace(F.lower("asset_title"), r"\s+", " "))
+    titles = table(spark, d, "asset_index_log").select(plain.alias("name")).distinct()
+    return history.lookup(titles, titles, tau=2).where("probe < name").select("probe", "name", "distance")
 
 
 def _p5_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:

@@ -25,15 +25,13 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 4096), (2, 4), (3, 2)])
-def test_assets_equal_the_definition(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize(("seed", "block", "turns"), [(1, 4096, 1), (2, 4, 3), (3, 2, 6)])
+def test_assets_equal_the_definition(spark, monkeypatch, seed, block, turns):
     monkeypatch.setattr(history, "BLOCK", block)
     rng = random.Random(seed)
     rows = [(i, f"name_{rng.randrange(6)}_abc", rng.choice([None, "", "H1", "H2", "H3", "H4"]), rng.random() < 0.25) for i in range(60)]
     log = spark.createDataFrame([(*r, "clash") for r in rows], LOG)
-    live, files = history.asset_rows(log), history.task_rows(spark.createDataFrame([], TASKS))
-    classes = history.same_names(live.select("key").union(files.select("key")), "key")
-    got = {r["rec_id"]: r["how"] for r in history.asset_arrivals(live, classes).where("how is not null").collect()}
+    got = {r["rec_id"]: r["how"] for r in history.found(log, spark.createDataFrame([], TASKS), turns).collect()}
     assert got == brute([(*r, r[1]) for r in rows])
 
 
@@ -62,26 +60,54 @@ def test_segment_index_equals_brute_force(spark, tau):
         return row[-1]
 
     old, new = words[::2], words[1::2]
-    index = history.segments(spark.createDataFrame([(w,) for w in old] + [(None,), ("",)], "name string"), tau=tau)
-    got = {(r["probe"], r["name"], r["distance"]) for r in history.lookup(index, spark.createDataFrame([(w,) for w in new] + [(None,)], "name string"), tau=tau).collect()}
+    got = {(r["probe"], r["name"], r["distance"]) for r in history.lookup(spark.createDataFrame([(w,) for w in old] + [(None,), ("",)], "name string"), spark.createDataFrame([(w,) for w in new] + [(None,)], "name string"), tau=tau).collect()}
     assert got == {(a, b, k) for a in new for b in old if (k := distance(a, b)) <= tau}
 
 
-def test_tasks(spark):
-    rows = [(1, "t1", None, ["a_k_log.pdf", "b.pdf", "a_k_log.pdf", None, ""], "x"), (2, "t2", "t1", ["b.pdf"], "x"), (3, "t3", None, ["x/A-K-LOG.pdf", "c.pdf"], "x"), (4, "t3", None, ["c.pdf"], "x"), (5, "t5", None, None, "x"), (6, "t6", None, ["x/A-K-LOG.pdf", "%zz.pdf"], None)]
-    got = {tuple(r) for r in history.found(spark.createDataFrame([], LOG), spark.createDataFrame(rows, TASKS)).collect()}
-    assert got == {("task", 1, 2, "exact"), ("task", 3, 0, "near"), ("task", 6, 0, "exact")}
-
+def test_a_common_prefix_is_not_what_is_stored(spark):
+    rng = random.Random(5)
+    names = sorted({"annual report of the archive " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300)})
+    index = history.rarest(history.segments(spark.createDataFrame([(n,) for n in names], "name string")), None)
+    assert index.groupBy("len", "seg", "piece").count().agg(F.max("count")).first()[0] <= 3
+    assert index.count() == 2 * len(names)
 
-def test_key_equality_alone_decides(spark, monkeypatch):
-    def unused(*_, **__):
-        raise AssertionError("the segment index decides nothing here")
 
-    for name in ("segments", "probes", "lookup"):
-        monkeypatch.setattr(history, name, unused)
-    rows = [(1, "a_k_log", None, False, "x"), (2, "A-K-LOG", None, False, "x"), (3, "a_k_lag", None, False, "x")]
-    got = {tuple(r) for r in history.found(spark.createDataFrame(rows, LOG), spark.createDataFrame([], TASKS)).collect()}
-    assert got == {("asset", 2, 0, "near")}
+def test_tasks(spark):
+    rows = [(1, "t1", None, ["a_k_log.pdf", "b.pdf", "a_k_log.pdf", None, ""], "x"), (2, "t2", "t1", ["b.pdf"], "x"), (3, "t3", None, ["x/A-K-LOG.pdf", "c.pdf"], "x"), (4, "t3", None, ["c.pdf"], "x"), (5, "t5", None, None, "x"), (6, "t6", None, ["x/A-K-LOG.pdf", "%zz.pdf"], None)]
+    for turns in (1, 2, 6):
+        got = {tuple(r) for r in history.found(spark.createDataFrame([], LOG), spark.createDataFrame(rows, TASKS), turns).collect()}
+        assert got == {("task", 1, 2, "exact"), ("task", 3, 0, "near"), ("task", 6, 0, "exact")}
+
+
+def test_the_index_finds_writings_that_the_plain_form_keeps_apart(spark):
+    rows = [(1, "a_k1b2_log", None, False, "x"), (2, "A-K1B2LOG", None, False, "x"), (3, "a_k1b2_lag", None, False, "x"), (4, "résumé_x7", None, False, "x"), (5, "resumé_x7", None, False, "x"), (6, "a_k1b2_log", None, True, "x"), (7, "a_k1b2_log", None, False, "x"), (8, None, None, False, "x")]
+    for turns in (1, 4, 8):
+        got = {tuple(r) for r in history.found(spark.createDataFrame(rows, LOG), spark.createDataFrame([], TASKS), turns).collect()}
+        assert got == {("asset", 2, 0, "near"), ("asset", 5, 0, "near"), ("asset", 7, 0, "near")}
+
+
+def test_a_batch_reads_only_the_parts_of_its_keys(spark, tmp_path):
+    """The second batch gets the right answers though every part that its keys do not fall into is gone."""
+    import shutil
+
+    first = [(i, f"name_{i}_{'abcdefghij'[i % 10] * 5}", f"h{i}", False, "x") for i in range(200)]
+    store = history.History(spark, str(tmp_path / "h"), parts=64)
+    assert store.accept_assets(spark.createDataFrame(first, LOG)).where("how is not null").count() == 0
+    batch = spark.createDataFrame([(900, "name-7-hhhhh", None, False, "x"), (901, "other", "SHA256:h9", False, "x")], LOG)
+    names = batch.select(F.lit("asset").alias("kind"), history.name_key(F.col("asset_id")).alias("name"))
+    keys = {"segments": history.probes(names, ("kind",)), "pieces": history.segments(names, ("kind",)), "counts": spark.createDataFrame([(2, "name 7 hhhhh"), (2, "other"), (1, "h9")], "rank int, val string"), "owned": spark.createDataFrame([], "asset_id string")}
+    left = 0
+    for name, wanted in keys.items():
+        parts = {r[0] for r in store._part(wanted, name).select("part").distinct().collect()}
+        for folder in (tmp_path / "h" / name / "turn=000000").glob("part=*"):
+            if int(folder.name[5:]) in parts:
+                left += 1
+            else:
+                shutil.rmtree(folder)
+    assert left < 100
+    reopened = history.History(spark, str(tmp_path / "h"), turn=1, parts=64)
+    assert {tuple(r) for r in reopened.accept_assets(batch).collect()} == {(900, 0, "near"), (901, 0, "exact")}
+    assert history.History(spark, str(tmp_path / "h"), turn=2, parts=64).accept_assets(batch.where("false")).count() == 0
 
 
 def test_rows_without_an_asset_id_stay(spark):
