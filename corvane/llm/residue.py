@@ -21,8 +21,8 @@ columns are passed on as they are by :func:`clean`; the verdict itself uses the
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.arrow import map_rows
-from corvane.llm.shingles import band_keys, sequence_hashes, set_signature, token_hashes, windows
+from corvane.llm.shingles import band_keys, codes, sequence_hashes, set_signature, token_hashes, windows
 from corvane.session import materialize, spread
 
 SIMILARITY = 0.8
@@ -72,7 +72,7 @@ _SCRIPT = r"(?:javascript|\bjs\b|\bscripts?\b|脚本|スクリプト)"
 SCRIPTS = re.compile(rf"{_DEMAND}.{{0,30}}{_SCRIPT}|{_SCRIPT}.{{0,30}}{_DEMAND}", re.I)
 SORRY = re.compile(r"^\W*(?:sorry|oops|we (?:could not|couldn['’]t|cannot|are unable to)|unable to|failed to|could not|cannot)\b", re.I)
 #: Some part of each trusted form, in lower case; units without any are not looked at.
-HINTS = ("{", "[", "<", "«", "__", "@@", "#", "%", "$", "&lt;", "todo", "fixme", "tbd", "t.b.d", "【", "〔", "（", "(", "placeholder", "dummy", "factice", "relleno", "platzhalter", "blindtext", "ダミー", "占位", "javascript", "script", "js", "脚本", "スクリプト", "http", "error", "exception: ", "status", "code", "erreur", "fehler", "traceback", 'file "', '"ok', "sorry", "oops", "we ", "unable to", "failed to", "could not", "cannot", *_REASONS.split("|"), *sorted(w for w in _LOREM if len(w) > 4 and w not in _COMMON))
+HINTS = ("{", "[", "<", "«", "__", "@@", "#", "%", "$", "&lt;", "todo", "fixme", "tbd", "t.b.d", *re.sub(r"\(\?:here\|in\)", "", _LATER).split("|"), "placeholder", "dummy", "factice", "relleno", "platzhalter", "blindtext", "ダミー", "占位", "javascript", "script", " js", "js ", "脚本", "スクリプト", "http", "error", "exception: ", "status", "code=", "code:", 'code"', "code 4", "code 5", "erreur", "fehler", "traceback", 'file "', '"ok', "sorry", "oops", "we could", "we cannot", "we are", "unable to", "failed to", "could not", "cannot", *_REASONS.split("|"), *sorted(w for w in _LOREM if len(w) > 4 and w not in _COMMON))
 _CODE_LINE = re.compile(r"^\W*[45]\d\d\W*$")
 _TAGS = re.compile(r"</?(?:noscript|h\d|p|div|br|span|b|i|html|body)\b[^<>]*>", re.I)
 _UNITS = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])")
@@ -128,8 +128,6 @@ def stutters(unit: str) -> bool:
 
 
 _THRICE = re.compile(r"(?<!\w)([a-zß-öø-ÿ]{3,12})(?:[ .,]+\1){2}(?!\w)|([぀-ヿ一-鿿]{2,4})\2\2", re.I)
-_TWICE = re.compile(r"(?<!\w)(\w{3,12})[ .,]+\1(?!\w)|([぀-ヿ一-鿿]{2,4})\2", re.I)
-
 
 def units(low: str) -> list[str]:
     """The lines and sentences of a text."""
@@ -141,49 +139,79 @@ def masked(text: str) -> str:
     return _DIGITS.sub("0", PLACEHOLDER.sub(" xplace ", text.lower()))
 
 
-def _read(texts: list[str], hinted) -> list[tuple[np.ndarray, int, list[tuple[int, int, bool]]]]:
-    """For each text its shingles, its size and its units (sequence hash, size, trusted), each once."""
+def _repeating(tokens: np.ndarray, begins: np.ndarray) -> list[int]:
+    """The stretches in which a token, or a pair or more of them, comes again at once; masked numbers do not count."""
+    out = [np.zeros(0, np.int64)]
+    number = token_hashes(["0"])[0]
+    for width in (1, 2, 3, 4):
+        if len(tokens) >= 2 * width:
+            same = (tokens[:-width] == tokens[width:]) & (tokens[:-width] != number)
+            run = np.flatnonzero(np.logical_and.reduce([same[k : len(same) - width + 1 + k] for k in range(width)]))
+            at = np.searchsorted(begins, run, "right") - 1
+            out.append(at[run + 2 * width <= begins[at + 1]])
+    return np.unique(np.concatenate(out)).tolist()
+
+
+@dataclass
+class Read:
+    """What a batch of texts holds: for each text its shingles, its size and where its units begin (with the end as the
+    last); for each unit, once in a text, its hash, its size and whether it is trusted."""
+
+    sets: list[np.ndarray]
+    totals: np.ndarray
+    begins: np.ndarray
+    units: np.ndarray
+    sizes: np.ndarray
+    trusted: np.ndarray
+
+
+def read(texts: list[str], hinted) -> Read:
     flat: list[str] = []
     marks: list[bool] = []
     ends = [0]
     for text in texts:
         low = text.lower()
-        if hinted(low) or _TWICE.search(low):
-            for u in units(low):
-                flat.append(masked(u))
-                marks.append(bool(_CODE_LINE.match(u)) or (hinted(u) and trusted(u)) or (_TWICE.search(u) is not None and stutters(u)))
+        own = units(_DIGITS.sub("0", low))
+        if hinted(low) or "0" in own:
+            # Masked numbers change no end of a unit, so both lists run side by side.
+            for k, u in enumerate(units(low)):
+                mark = False
+                if hinted(u):
+                    mark, own[k] = trusted(u), masked(u)
+                marks.append(mark or (own[k] == "0" and _CODE_LINE.match(u) is not None))
         else:
-            own = units(_DIGITS.sub("0", low))
-            flat += own
-            marks += [bool(_CODE_LINE.match(u)) for u in units(low)] if any(u == "0" for u in own) else [False] * len(own)
+            marks += [False] * len(own)
+        flat += own
         ends.append(len(flat))
     tokens, begins = token_hashes(flat)
-    sigs = sequence_hashes(tokens, begins)
+    for u in _repeating(tokens, begins):
+        marks[u] = marks[u] or stutters(flat[u])
     edges = begins[ends]
     sets = windows(tokens, edges, 5)
-    counts = np.diff(begins)
-    out = []
     for k in range(len(texts)):
         if not len(sets[k]):
             sets[k] = np.unique(tokens[edges[k] : edges[k + 1]])
-        lo, hi = ends[k], ends[k + 1]
-        total, own, times = 0, {}, Counter()
-        for u in range(lo, hi):
-            size = _size(flat[u])
-            if counts[u]:
-                sig = int(sigs[u])
-                before = own.get(sig, (0, False))
-                own[sig] = (before[0] + size, before[1] or marks[u])
-                times[sig] += 1
-                total += size
-            elif any(map(str.isalpha, flat[u])):
-                total += size
-        if hi - lo > len(own) and own:
-            again = [s for s, n in times.items() if n >= REPEATS]
-            if sum(own[s][0] for s in again) * 2 > total:
-                own |= {s: (own[s][0], True) for s in again}
-        out.append((sets[k], total, [(s, n, m) for s, (n, m) in own.items()]))
-    return out
+    data, at = codes(flat)
+    sizes = np.diff(at) - np.diff(np.concatenate(([0], np.cumsum(data == 32)))[at])
+    counts = np.diff(begins)
+    text_of = np.repeat(np.arange(len(texts)), np.diff(ends))
+    # Units without a token (of other scripts) are content of their text, rules and bullets are nothing.
+    weighty = counts > 0
+    for u in np.flatnonzero(~weighty):
+        weighty[u] = any(map(str.isalpha, flat[u]))
+    totals = np.bincount(text_of[weighty], sizes[weighty], len(texts)).astype(np.int64)
+    kept = np.flatnonzero(counts)
+    sigs = sequence_hashes(tokens, begins)[kept]
+    order = np.lexsort((sigs, text_of[kept]))
+    sigs, owner, size, mark = sigs[order], text_of[kept][order], sizes[kept][order], np.array(marks, bool)[kept][order]
+    if len(sigs):
+        first = np.flatnonzero(np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (owner[1:] != owner[:-1]))))
+        times = np.diff(np.concatenate((first, [len(sigs)])))
+        size, mark = np.add.reduceat(size, first), np.logical_or.reduceat(mark, first)
+        sigs, owner = sigs[first], owner[first]
+        again = times >= REPEATS
+        mark |= again & (np.bincount(owner[again], size[again], len(texts)) * 2 > totals)[owner]
+    return Read(sets, totals, np.searchsorted(owner, np.arange(len(texts) + 1)), sigs, size, mark)
 
 
 def _raw(text: str) -> int:
@@ -198,13 +226,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
-                rows = [(i, *r, _raw(t)) for i, t, r in zip(ids, texts, _read(texts, hinted), strict=True) if len(r[0])]
-                keys = np.concatenate([band_keys(r[1], BANDS, ROWS) for r in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
-                flat = [u for r in rows for u in r[3]]
-                parts = pa.StructArray.from_arrays([pa.array([u[0] for u in flat], pa.int64()), pa.array([u[1] for u in flat], pa.int32()), pa.array([u[2] for u in flat], pa.bool_())], ["unit", "size", "trusted"])
-                ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+                r = read(texts, hinted)
+                rows = [k for k, s in enumerate(r.sets) if len(s)]
+                keys = np.concatenate([band_keys(r.sets[k], BANDS, ROWS) for k in rows]).view(np.int64) if rows else np.zeros(0, np.int64)
+                # Texts without shingles have no units, so the units of the others stand in a row.
+                parts = pa.StructArray.from_arrays([pa.array(r.units), pa.array(r.sizes.astype(np.int32)), pa.array(r.trusted)], ["unit", "size", "trusted"])
+                ends = r.begins[[*rows, len(texts)]].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([set_signature(r[1]) for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), parts), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
+                    [pa.array([ids[k] for k in rows], pa.int64()), pa.array([set_signature(r.sets[k]) for k in rows], pa.int64()), pa.array([_raw(texts[k]) for k in rows], pa.int64()), pa.array(r.totals[rows].astype(np.int32) if rows else [], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), parts), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
                     names=["id", "sig", "raw", "total", "units", "keys"],
                 )
 
@@ -300,7 +329,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(rows: Iterable[dict]) -> Iterator[tuple]:
         hinted = _hinted()
         for r in rows:
-            x, y = (frozenset(s.tolist()) for s, _, _ in _read([r["body_a"], r["body_b"]], hinted))
+            x, y = (frozenset(s.tolist()) for s in read([r["body_a"], r["body_b"]], hinted).sets)
             if x and len(x & y) >= SIMILARITY * len(x | y):
                 yield (r["sig"],)
 

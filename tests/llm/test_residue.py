@@ -8,8 +8,8 @@ HINTED = R._hinted()
 
 def by_form(text):
     """Whether the units trusted by their form outweigh the others."""
-    ((_, total, units),) = R._read([text], HINTED)
-    return sum(n for _, n, mark in units if mark) * 2 > total
+    r = R.read([text], HINTED)
+    return r.sizes[r.trusted].sum() * 2 > r.totals[0]
 
 
 @pytest.mark.parametrize("text", ["Lorem ipsum dolor sit amet. Felis ante lectus velit.", "Nulla facilisi. Pellentesque habitant morbi tristique senectus et netus.", "{{ title }}\n\nSection ${body} of <%= date %>", "404 Not Found", "status=503", "Please enable JavaScript to view this page.", "请启用 JavaScript 以查看本页。", "Heading placeholder test test test", "作者：【此处填写date】，日期：（请输入body）", 'Traceback (most recent call last):\n  File "/srv/x.py", line 8, in run\nValueError: empty page', "テストテスト。", "Qux here.\nQux here.\nQux here.", "We could not load your report. Refresh the page in a moment.", "Sorry, this document could not be rendered because the converter crashed.", "[Company tagline goes in this spot]", f"{REAL}\n" + "Lorem ipsum dolor sit amet velit porta. " * 9])
