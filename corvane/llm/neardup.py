@@ -4,14 +4,16 @@ Method: token-group matrix. Records with equal token sets are one record. The ot
 similar ones; the matrix says which group holds which token; a query's overlap with the union of a group bounds its
 similarity with any member, and only groups whose bound reaches the threshold are opened and verified exactly.
 
-Two matrices are used. The first has as tokens the band keys of a record (each a hash of several minima of its
-shingles): single shingles are far too common in large corpora to be joined on. A pair that reaches the threshold shares
-less than ``least_keys`` keys with a probability of under 0.0015 at the threshold itself and of under 0.0001 a
-twentieth above it. The second holds whole shingles: the union of each group bounds |Q and S| <= |Q and U|.
-Verification uses the sets of all shingles of whole texts, and opened groups verify every member.
+The tokens of the stored matrix are the band keys of a record (each a hash of several minima of its shingles): single
+shingles are far too common in large corpora to be joined on. The overlap of a record with the union of a group's keys bounds
+that with each member, and it decides which groups are opened before any text moves. A pair that reaches the threshold
+shares less than ``least_keys`` keys with a probability of under 0.0015 at the threshold itself and of under 0.0001 a
+twentieth above it. In an opened group the union of whole shingles bounds once more, |Q and S| <= |Q and U|. Verification
+uses the sets of all shingles of whole texts, and opened groups verify every member.
 
-Hot keys: copies collapse first; rows of a bucket are spread over blocks of bounded size, and blocks meet in pairs;
-groups above ``GROUP`` members are split, and queries go to each part. Nothing is dropped or capped.
+Hot keys: copies collapse first; a bucket meets groups, so records that are alike count once; the groups of one key are
+spread over blocks of bounded size; groups above ``GROUP`` members are split, and queries go to each part. Nothing is
+dropped or capped.
 
 Defined results: null, empty and short texts (under the least number of tokens) have no class. Ties in leaders take the
 least id. Repeated rows of one id count once. Empty tables give no rows. Other columns are ignored.
@@ -32,7 +34,7 @@ from corvane.llm.graph import components
 from corvane.llm.shingles import band_keys, gram_sets, set_signature, shingle_sets
 from corvane.session import materialize, spread
 
-#: Members of a group, and rows of a bucket's block, that are held together.
+#: Members of a part of a group, and groups of a bucket's block, that are held together.
 GROUP = 256
 BLOCK = 512
 
@@ -74,17 +76,31 @@ def signatures(rows: DataFrame, like: Likeness) -> DataFrame:
     return rows.mapInArrow(run, "id long, n int, sig long, keys array<long>")
 
 
-def candidate_pairs(reps: DataFrame, like: Likeness) -> DataFrame:
-    """``(a, b, x)``, a < b: records that share x >= least_keys band keys."""
+def group_matrix(reps: DataFrame, like: Likeness, name: str) -> tuple[DataFrame, DataFrame]:
+    """The groups ``(id, g)`` of the records that share a band key with another, and what is opened ``(id, g)``.
+
+    A record joins the least record of the bucket that it shares most keys with, a quarter of all at least; else it is a group of
+    its own. The matrix has the union of the keys of each group. A record that shares ``least_keys`` keys with a member shares as
+    many with the union, so only groups whose overlap with the record reaches that are opened; of two groups the later
+    record asks the earlier group. Buckets hold groups here, never pairs of records.
+    """
     flat = reps.select("id", F.explode("keys").alias("key"))
-    counted = flat.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    # Keys of two or more rows are few; writing them keeps both sides of the next join from repeating this one.
-    rows = materialize(flat.join(counted, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "shared-keys")
-    left = rows.select("key", "id", F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.col("blocks") - 1)).alias("j"))
-    right = rows.select("key", F.col("id").alias("other"), F.col("blk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"))
-    met = left.join(right, ["key", "i", "j"]).where("(i < j and id <> other) or (i = j and id < other)")
-    pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("x")).where(F.col("x") >= like.least_keys)
+    counted = flat.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1").select("key", "lead")
+    # Keys of two or more rows are few; writing them keeps the next steps from repeating this join.
+    shared = materialize(flat.join(counted, "key"), f"{name}-shared")
+    near = shared.where("id > lead").groupBy("id", "lead").agg(F.count("*").alias("x")).where(F.col("x") * 4 >= like.bands)
+    leader = near.groupBy("id").agg(F.max_by("lead", F.struct("x", -F.col("lead"))).alias("g"))
+    group = materialize(shared.select("id").distinct().join(leader, "id", "left").select("id", F.coalesce("g", "id").alias("g")), f"{name}-groups")
+    owned = materialize(shared.select("id", "key").join(group, "id"), f"{name}-owned")
+    matrix = owned.select("key", "g").distinct()
+    # A key of many groups is spread over blocks of them.
+    blocks = matrix.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").select("key", "blocks")
+    matrix = materialize(matrix.join(blocks, "key").withColumn("blk", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int")), f"{name}-matrix")
+    asked = owned.withColumnRenamed("g", "own").join(matrix.select("key", "blocks").distinct(), "key")
+    asked = asked.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    met = asked.join(matrix.select("key", "blk", "g"), ["key", "blk"]).where("g < own")
+    opens = met.groupBy("id", "g").agg(F.count("*").alias("x")).where(F.col("x") >= like.least_keys)
+    return group, materialize(opens.select("id", "g"), f"{name}-opens")
 
 
 def verified_pairs(records: DataFrame, like: Likeness, name: str) -> tuple[DataFrame, DataFrame]:
@@ -97,19 +113,16 @@ def verified_pairs(records: DataFrame, like: Likeness, name: str) -> tuple[DataF
     members = sigs.select("id", "sig", "n").join(firsts, ["sig", "n"]).select("id", "rep")
     # Copies leave before their keys are spread; the keys stay in the one table that holds them.
     reps = sigs.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
-    pairs = materialize(candidate_pairs(reps, like), f"{name}-pairs")
-    strong = pairs.where(F.col("x") * 4 >= like.bands)
-    leader = strong.select(F.col("b").alias("id"), F.col("a").alias("g")).groupBy("id").agg(F.min("g").alias("g"))
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    group = materialize(ends.join(leader, "id", "left").select("id", F.coalesce("g", "id").alias("g")), f"{name}-groups")
-    sizes = group.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    member = group.join(sizes, "g").select("g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.lit(True).alias("own"))
-    directed = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).toDF("id", "other")
-    opens = directed.join(group.withColumnRenamed("id", "other"), "other").select("id", "g").distinct().join(sizes, "g")
-    opens = opens.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("own"))
-    # A row that is a member of the part needs no second row as a query.
-    matrix = member.union(opens).groupBy("g", "part", "id").agg(F.max("own").alias("own"))
-    texts = records.join(group.select("id"), "id", "left_semi")
+    group, opens = group_matrix(reps, like, name)
+    sizes = group.groupBy("g").agg(F.count("*").alias("n"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    member = group.join(sizes, "g").select("g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.lit(True).alias("own"), "parts", "n")
+    asking = opens.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("own"))
+    # Members of a group in several parts ask the later parts too.
+    inner = member.where("part + 1 < parts").select("g", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("own"))
+    # A group of one that nobody opens has nothing to verify.
+    alone = member.join(opens.select("g").distinct().withColumn("asked", F.lit(True)), "g", "left").where("n > 1 or asked").select("g", "part", "id", "own")
+    matrix = materialize(alone.union(asking).union(inner), f"{name}-open")
+    texts = records.join(matrix.select("id").distinct(), "id", "left_semi")
     opened = matrix.join(texts, "id").repartition("g", "part").sortWithinPartitions("g", "part", F.desc("own"), "id")
     found = map_rows(opened.select("g", "part", "own", "id", "body"), lambda rows: _open_groups(rows, like), "a long, b long, similarity double")
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), members

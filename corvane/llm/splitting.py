@@ -1,13 +1,14 @@
 """Problem 2: splitting oversized texts at natural boundaries, with overlap.
 
 Method: lexical-cohesion segmentation. The similarity of the blocks of text on both sides of every possible cut is
-taken while a window slides over the text; valleys mark topic boundaries. Within each size window the coarsest sort of
-boundary that occurs is used, and of those the cut with the deepest valley. Each further piece then begins with the
+taken while a window slides over the text; valleys mark topic boundaries. Within each size window (from a third of the
+room to all of it) the end of a paragraph, line or sentence with the deepest valley is the cut; where there is none, the last
+end of a word. Each further piece then begins with the
 last ``overlap`` characters of the body before it, and pieces with their overlap stay within the limit.
 
 Defined results: texts within the limit, null and empty texts give no pieces. A null or non-positive limit switches
 the kind off; an overlap that leaves less than half of the limit for new text is reduced to half. Where there is no
-natural boundary the cut falls at the limit. Ties take the later cut. Repeated rows give repeated pieces. Columns
+natural boundary the cut falls at the limit. Of equal valleys the end of a paragraph goes first, then the later cut. Repeated rows give repeated pieces. Columns
 other than the id and the text are ignored. Lengths are Unicode characters.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -123,10 +125,10 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]
     para, sent, word = cut_points(text)
     natural = sorted({*para, *sent})
     depth = dict(zip(natural, valleys(bags(text, natural)), strict=True))
+    sort = dict.fromkeys(sent, "sentence") | dict.fromkeys(para, "paragraph")
     pieces: list[tuple[int, int, int, str]] = []
     begin, n = 0, len(text)
-    at = [0, 0, 0]
-    lists = (para, sent, word)
+    at = [0, 0]
     while begin < n:
         start = max(0, begin - overlap) if pieces else begin
         most = start + limit
@@ -135,19 +137,13 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]
             break
         least = begin + max(1, (most - begin) // 3)
         end, how = most, "none"
-        for level, cuts in enumerate(lists):
-            k = at[level]
-            while k < len(cuts) and cuts[k] < least:
-                k += 1
-            at[level] = k
-            best = None
-            while k < len(cuts) and cuts[k] <= most:
-                score = depth.get(cuts[k], 0.0)
-                if best is None or score >= best[0]:
-                    best = (score, cuts[k])
-                k += 1
-            if best:
-                end, how = best[1], LEVELS[level]
+        for level, cuts in enumerate((natural, word)):
+            k = at[level] = bisect_left(cuts, least, at[level])
+            stop = bisect_right(cuts, most, k)
+            if stop > k:
+                # The deepest valley; of equal ones the coarser boundary, then the later cut. Words have no valleys.
+                end = max(cuts[k:stop], key=lambda c: (depth[c], sort[c] == "paragraph", c)) if level == 0 else cuts[stop - 1]
+                how = sort.get(end, "word")
                 break
         pieces.append((start, begin, end, how))
         begin = end

@@ -1,9 +1,9 @@
 """Problem 6: encoding of the whole corpus with a public byte-level BPE tokenizer.
 
-Method: overlapping chunk encoding. A text longer than ``chunk_chars`` is cut into chunks that overlap; each
-chunk is pre-tokenised on its own; where the pre-token boundaries of two neighbours meet in their overlap
-both agree from there on, so the chunks are stitched at that place and the pieces between stitches are encoded
-in parallel. Decoding joins raw bytes.
+Method: overlapping chunk encoding. Every text is read in chunks of ``chunk_chars`` that overlap (a shorter one is one
+chunk); each chunk is pre-tokenised on its own; where the pre-token boundaries of two neighbours meet in their
+overlap both agree from there on, so the chunks are stitched at that place, and the pieces between stitches are encoded
+one by one. Rows are encoded in parallel, a text within its own task. Decoding joins raw bytes.
 
 Defined results: null and empty texts have an empty list of ids. Repeated rows give repeated rows. An empty
 table gives no rows. Input columns other than the id and the text are ignored, so their names cannot clash.
@@ -12,7 +12,7 @@ table gives no rows. Input columns other than the id and the text are ignored, s
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -24,8 +24,8 @@ from corvane.llm.arrow import map_rows
 from corvane.session import spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
-CHUNK_CHARS = 65_536
-OVERLAP_CHARS = 4_096
+CHUNK_CHARS = 1_024
+OVERLAP_CHARS = 128
 #: Fixed value: the pre-tokenisation pattern of byte_bpe_50k.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -55,75 +55,45 @@ def boundaries(text: str, at: int = 0) -> list[int]:
     return [at + m.end() for m in _pattern().finditer(text) if not text[m.end() - 1].isspace()]
 
 
-def stitch(chunks: list[tuple[int, int, list[int], list[int]]]) -> list[tuple[int, int]]:
-    """Spans to encode from chunks ``(start, end, boundaries near the start, boundaries near the end)``.
+def pieces(text: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> list[str]:
+    """The pieces of a text between the stitches of its overlapping chunks.
 
-    A boundary of the left chunk counts only if its pre-token did not touch the chunk's end, since more text
-    could have lengthened it. Where no boundary is common the two chunks stay in one span, which is exact too.
+    Every chunk is pre-tokenised on its own. A boundary that two neighbours share in their overlap is the stitch: the left
+    chunk's boundaries are right from its own stitch on, except those of a pre-token that touches the chunk's end, since more
+    text could lengthen it. Where no boundary is common the left chunk is read on over twice its length.
     """
-    spans, begin = [], chunks[0][0]
-    for left, right in zip(chunks, chunks[1:], strict=False):
-        sure = {b for b in left[3] if right[0] < b < left[1] - 2}
-        common = [b for b in right[2] if b in sure]
-        if common:
-            spans.append((begin, common[0]))
-            begin = common[0]
-    spans.append((begin, chunks[-1][1]))
-    return spans
+    n = len(text)
+    if n <= chunk_chars:
+        return [text]
+    cuts, begin, end = [0], 0, min(n, chunk_chars + overlap_chars)
+    left = boundaries(text[:end])
+    while end < n:
+        start, stop = end - overlap_chars, min(n, end + chunk_chars)
+        right = boundaries(text[start:stop], start)
+        sure = {b for b in left if start < b < end - 2}
+        common = next((b for b in right if b in sure), None)
+        if common is None:
+            end = min(n, end + max(chunk_chars, end - begin))
+            left = boundaries(text[begin:end], begin)
+        else:
+            cuts.append(common)
+            begin, end, left = common, stop, [b for b in right if b >= common]
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, directory: str = TOKENIZER_DIR) -> DataFrame:
-    """``(id_col, ids ARRAY<INT>)`` of every row."""
-    base = docs.select(F.col(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    long = F.length("body") > chunk_chars
-    short = _encode(spread(base.where(~long)), directory)
-    # An id may repeat, so long rows are told apart by a hash of their text as well.
-    big = base.where(long).withColumn("key", F.sha2("body", 256))
-    spans = _spans(big.dropDuplicates(["rid", "key"]), chunk_chars, overlap_chars)
-    pieces = big.groupBy("rid", "key").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    # An id may be null.
-    spans = spans.withColumnsRenamed({"rid": "rid_s", "key": "key_s"})
-    pieces = pieces.join(spans, F.col("rid").eqNullSafe(F.col("rid_s")) & (F.col("key") == F.col("key_s")))
-    pieces = pieces.select("rid", "key", "copies", "span", F.expr("substring(body, lo + 1, hi - lo)").alias("body")).repartition("rid", "key", "span")
-    encoded = map_rows(pieces, lambda rows: ((r["rid"], r["key"], r["copies"], r["span"], encoder(directory).encode_ordinary(r["body"])) for r in rows), f"rid {base.schema['rid'].dataType.simpleString()}, key string, copies long, span int, ids array<int>", 64)
-    joined = encoded.groupBy("rid", "key", "copies").agg(F.array_sort(F.collect_list(F.struct("span", "ids"))).alias("parts"))
-    whole = joined.select("rid", F.flatten("parts.ids").alias("ids"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("rid", "ids")
-    return short.unionByName(whole).withColumnRenamed("rid", id_col)
-
-
-def _encode(df: DataFrame, directory: str) -> DataFrame:
+    """``(id_col, ids ARRAY<INT>)`` of every row: the ids of its pieces, one after the other. No row is shuffled by its text."""
+    src = spread(docs.select(F.col(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("body")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(directory)
+        encode = encoder(directory).encode_ordinary
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [enc.encode_ordinary(t) for t in part.column(1).to_pylist()]
+                ids = [[x for piece in pieces(t, chunk_chars, overlap_chars) for x in encode(piece)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["rid", "ids"])
 
-    return df.mapInArrow(run, f"rid {df.schema['rid'].dataType.simpleString()}, ids array<int>")
-
-
-def _spans(big: DataFrame, chunk_chars: int, overlap_chars: int) -> DataFrame:
-    kind = big.schema["rid"].dataType.simpleString()
-    cut = big.select("rid", "key", F.length("body").alias("n"), "body", F.explode(F.expr(f"sequence(0, length(body) - 1, {chunk_chars})")).alias("start"))
-    cut = cut.select("rid", "key", "start", "n", F.expr(f"substring(body, start + 1, {chunk_chars + overlap_chars})").alias("body")).repartition("rid", "key", "start")
-
-    def bound(rows: Iterable[dict]) -> Iterable[tuple]:
-        for r in rows:
-            ends, stop = boundaries(r["body"], r["start"]), r["start"] + len(r["body"])
-            head = [b for b in ends if b <= r["start"] + overlap_chars]
-            tail = [b for b in ends if b > r["start"] + chunk_chars]
-            yield r["rid"], r["key"], r["start"], stop, head, tail
-
-    bounds = map_rows(cut, bound, f"rid {kind}, key string, start int, stop int, head array<int>, tail array<int>", 64)
-    grouped = bounds.groupBy("rid", "key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "head", "tail"))).alias("chunks"))
-
-    def join(rows: Iterable[dict]) -> Iterable[tuple]:
-        for r in rows:
-            for k, (lo, hi) in enumerate(stitch([(c["start"], c["stop"], c["head"], c["tail"]) for c in r["chunks"]])):
-                yield r["rid"], r["key"], k, lo, hi
-
-    return map_rows(grouped, join, f"rid {kind}, key string, span int, lo int, hi int")
+    return src.mapInArrow(run, f"rid {src.schema['rid'].dataType.simpleString()}, ids array<int>").withColumnRenamed("rid", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", directory: str = TOKENIZER_DIR) -> DataFrame:

@@ -52,3 +52,29 @@ def test_tables(spark):
     blocks = spark.createDataFrame([(1, "b" * 5000)], "block_id long, text string")
     assert {tuple(r) for r in splitting.found(chunks, blocks, limits).collect()} == {("chunk", 1, "word"), ("chunk", 5, "word")}
     assert splitting.found(chunks.where("false"), blocks.where("false"), limits.where("false")).count() == 0
+
+
+def planted(rng, topics=6):
+    """(text, places where the topic changes): paragraphs also end inside topics, and some topics change inside a paragraph."""
+    text, places = "", []
+    for topic in range(topics):
+        words = [f"{a}{b}{topic}" for a in ("kal", "mor", "tes", "vin", "zor") for b in ("ada", "eni", "ofi", "una")]
+        while len(text) - (places[-1] if places else 0) < rng.randrange(500, 900):
+            text += " ".join(rng.choice(words) for _ in range(rng.randrange(6, 14))).capitalize() + "." + rng.choice([" ", " ", "\n\n"])
+        text = text.rstrip() + rng.choice([" ", "\n\n"])
+        places.append(len(text))
+    return text, places[:-1]
+
+
+def test_most_cuts_fall_where_topics_change():
+    rng = random.Random(8)
+    hits = able = 0
+    for _ in range(60):
+        text, places = planted(rng)
+        for start, begin, end, how in splitting.split(text, 1000, 100):
+            window = range(begin + (start + 1000 - begin) // 3, start + 1001)
+            if how != "end" and any(p in window for p in places):
+                able += 1
+                hits += any(abs(end - p) <= 2 for p in places)
+    assert able > 200
+    assert hits >= 0.9 * able, (hits, able)

@@ -14,7 +14,7 @@ def reference(texts):
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(65_536, 4096), (200, 60), (64, 8)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(tokenize.CHUNK_CHARS, tokenize.OVERLAP_CHARS), (65_536, 4096), (200, 60), (64, 8)])
 def test_ids_equal_the_tokenizer(spark, chunk, overlap):
     rows = [(i, t, "clash") for i, t in enumerate([*TEXTS, None])]
     out = tokenize.token_ids(spark.createDataFrame(rows, "doc_id long, text string, ids string"), chunk_chars=chunk, overlap_chars=overlap)
@@ -24,6 +24,19 @@ def test_ids_equal_the_tokenizer(spark, chunk, overlap):
     assert back == dict(enumerate([*TEXTS, ""]))
 
 
+def test_stitches_hold_for_any_text():
+    rng, enc = random.Random(4), tokenize.encoder()
+    long = 0
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "bc", " ", "  ", "\n", "7", "'s", "水", "é", "!?", "x" * 90]) for _ in range(rng.randrange(0, 400)))
+        for chunk, overlap in ((64, 8), (90, 30), (tokenize.CHUNK_CHARS, tokenize.OVERLAP_CHARS)):
+            parts = tokenize.pieces(text, chunk, overlap)
+            assert "".join(parts) == text
+            assert [x for p in parts for x in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+            long += len(parts) > 1
+    assert long > 600
+
+
 def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "word " * 100), (1, "word " * 100), (1, "other " * 90), (2, None)], "doc_id long, text string")
     got = tokenize.token_counts(df, text_col="text")
