@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -65,51 +67,59 @@ def split_keep(text: Column, sep: str) -> Column:
     return F.filter(F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit(sep))).otherwise(x)), lambda x: x != "")
 
 
-def _tokens(text: str) -> int:
-    return max(1, round(len(text) / CHARS_PER_TOKEN))
+def chars_within(tokens: int) -> int:
+    """The longest text, in characters, that still counts as so many tokens."""
+    return math.ceil((tokens + 0.5) * CHARS_PER_TOKEN) - 1
 
 
-def _cut(text: str, target: int, level: int = 0) -> list[str]:
-    """Pieces of at most ``target`` tokens where some separator allows it."""
-    while level < len(SEPARATORS) and _tokens(text) > target:
-        sep = SEPARATORS[level]
-        level += 1
-        parts = text.split(sep) if sep else [text]
-        pieces = [p for p in [*(x + sep for x in parts[:-1]), parts[-1]] if p]
-        if len(pieces) > 1:
-            return [q for p in pieces for q in ([p] if _tokens(p) <= target else _cut(p, target, level))]
-    return [text]
+def leaf_edges(text: str, room: int) -> list[int]:
+    """Where the smallest units begin, and the end of the text: separators cut level by level, and only what is longer than ``room``."""
+    edges = [0, len(text)]
+    for mark in SEPARATORS[:-1]:
+        ends = re.compile(re.escape(mark))
+        finer = [m.end() for lo, hi in pairwise(edges) if hi - lo > room for m in ends.finditer(text, lo, hi)]
+        edges = sorted({*edges, *finer})
+    return edges
 
 
-def _tail(text: str, overlap: int) -> str:
-    """The end of a piece that the next one repeats, from a separator on if there is one near."""
-    size = int(overlap * CHARS_PER_TOKEN)
-    if len(text) <= size:
-        return text
-    begin = len(text) - size
-    for sep in SEPARATORS[:-1]:
-        at = text.rfind(sep, max(0, begin - size), begin)
-        if at >= 0:
-            return text[at + len(sep) :]
-    return text[begin:]
+def piece_edges(text: str, room: int, most: int) -> list[int]:
+    """Edges of the pieces: units are taken together while they fit ``room``; a unit above ``most`` characters is cut hard."""
+    kept = [0]
+    edges = leaf_edges(text, room)
+    for before, here in pairwise(edges):
+        if here - kept[-1] > room and before > kept[-1]:
+            kept.append(before)
+    kept.append(len(text))
+    hard = chars_within(most)
+    step = max(1, int(most * CHARS_PER_TOKEN))
+    return sorted({*kept, *(x for lo, hi in pairwise(kept) if hi - lo > hard for x in range(lo, hi, step))})
+
+
+def overlap_begin(text: str, lo: int, hi: int, size: int) -> int:
+    """Where the part of the piece lo..hi begins that the next one repeats: ``size`` characters, or a little more from the coarsest
+    separator in the stretch of the same length before."""
+    if hi - lo <= size:
+        return lo
+    first = max(lo, hi - 2 * size)
+    stretch = text[first : hi - size]
+    cuts = (first + len(head) + len(mark) for head, mark, _ in map(stretch.rpartition, SEPARATORS[:-1]) if mark)
+    return next(cuts, hi - size)
 
 
 def recursive_split(body: str | None, target: int = 500, most: int = 800, overlap: int = 60) -> list[str]:
-    """Chunks of about ``target`` tokens, at most ``most`` before the overlap is put in front."""
-    if not body or not body.strip() or _tokens(body) <= target:
-        return [] if body is None else [body]
-    merged: list[str] = []
-    for piece in _cut(body, target):
-        if merged and _tokens(merged[-1] + piece) <= target:
-            merged[-1] += piece
-        else:
-            merged.append(piece)
-    size = max(1, int(most * CHARS_PER_TOKEN))
-    capped = [c[i : i + size] for c in merged for i in ([0] if _tokens(c) <= most else range(0, len(c), size))] if any(_tokens(c) > most for c in merged) else merged
-    capped = [c if _tokens(c) <= most else c[:size] for c in capped]
-    if overlap <= 0:
-        return capped
-    return [capped[0], *(_tail(a, overlap) + b for a, b in pairwise(capped))]
+    """Chunks of about ``target`` tokens, at most ``most`` before the overlap is put in front.
+
+    Pieces lie side by side, so a piece with its overlap is one slice of the text.
+    """
+    if body is None:
+        return []
+    room = chars_within(target)
+    if len(body) <= room or body.isspace():
+        return [body]
+    edges = piece_edges(body, room, most)
+    size = int(max(overlap, 0) * CHARS_PER_TOKEN)
+    begins = [0, *(overlap_begin(body, lo, hi, size) if size else hi for lo, hi in pairwise(edges[:-1]))]
+    return [body[lo:hi] for lo, hi in zip(begins, edges[1:], strict=True)]
 
 
 def split_bodies(rows: DataFrame, body_col: str = "body", target: int = 500, most: int = 800, overlap: int = 60) -> DataFrame:

@@ -22,14 +22,14 @@ def caption_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.trim(F.coalesce(text, F.lit(""))), CAPTION, 1), F.lit("")).cast("int")
 
 
-def v_distance(a: Column, b: Column) -> Column:
-    """The gap between two boxes, 0 where they overlap, infinite where one is missing."""
-    return F.when(a.isNull() | b.isNull(), F.lit(float("inf"))).when(a.y1 <= b.y0, b.y0 - a.y1).when(b.y1 <= a.y0, a.y0 - b.y1).otherwise(F.lit(0.0))
+def vertical_gap(one: Column, two: Column) -> Column:
+    """The gap between two boxes: 0 where they overlap, infinite where one is missing."""
+    return F.when(one.isNull() | two.isNull(), float("inf")).otherwise(F.greatest(one.y0 - two.y1, two.y0 - one.y1, F.lit(0.0)))
 
 
-def h_overlap(a: Column, b: Column) -> Column:
+def side_by_side(one: Column, two: Column) -> Column:
     """Whether two boxes share a horizontal stretch; a missing box does not rule it out."""
-    return F.coalesce(~((a.x1 <= b.x0) | (b.x1 <= a.x0)), F.lit(True))
+    return F.when(one.isNull() | two.isNull(), True).otherwise(F.least(one.x1, two.x1) > F.greatest(one.x0, two.x0))
 
 
 def captions(lines: DataFrame, images: DataFrame) -> DataFrame:
@@ -39,8 +39,8 @@ def captions(lines: DataFrame, images: DataFrame) -> DataFrame:
     predicate on the boxes; the first image wins a tie, and the last caption of a number on a page wins.
     """
     c = lines.withColumn("number", caption_number(F.col("text"))).where("number is not null")
-    met = c.join(images, ["asset_id", "page"]).where(h_overlap(F.col("image_bbox"), F.col("bbox")))
-    met = met.withColumn("gap", v_distance(F.col("image_bbox"), F.col("bbox"))).where(F.col("gap") < float("inf"))
+    met = c.join(images, ["asset_id", "page"]).where(side_by_side(F.col("image_bbox"), F.col("bbox")))
+    met = met.withColumn("gap", vertical_gap(F.col("image_bbox"), F.col("bbox"))).where(F.col("gap") < float("inf"))
     best = met.groupBy("asset_id", "page", "number", "line_ix").agg(F.min_by(F.struct("path", F.trim("text").alias("caption")), F.struct("gap", "image_ix")).alias("b"))
     return best.groupBy("asset_id", "page", "number").agg(F.max_by("b", "line_ix").alias("b")).select("asset_id", "page", "number", "b.caption", "b.path")
 
@@ -53,7 +53,7 @@ def associate(chunks: DataFrame, images: DataFrame, figures: DataFrame, gap: flo
     named = chunks.select("chunk_id", "asset_id", "page", F.explode(figure_refs(F.col("text"))).alias("number")).join(figures, ["asset_id", "page", "number"])
     named = named.select("chunk_id", "path", F.col("number").alias("figure_id"), "caption", F.lit(0).alias("pass"))
     near = chunks.where("bbox is not null").join(images.where("image_bbox is not null"), ["asset_id", "page"])
-    near = near.where(h_overlap(F.col("image_bbox"), F.col("bbox")) & (v_distance(F.col("image_bbox"), F.col("bbox")) <= gap))
+    near = near.where(side_by_side(F.col("image_bbox"), F.col("bbox")) & (vertical_gap(F.col("image_bbox"), F.col("bbox")) <= gap))
     near = near.select("chunk_id", "path", F.lit(None).cast("int").alias("figure_id"), F.lit("").alias("caption"), F.lit(1).alias("pass"))
     w = Window.partitionBy("chunk_id", "path").orderBy("pass", F.desc("figure_id"))
     return named.union(near).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("chunk_id", "path", "figure_id", "caption")
