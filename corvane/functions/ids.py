@@ -16,6 +16,6 @@ def uuid5(name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def point_id(asset: Column, page: Column, position: Column) -> Column:
-    """The id of a text point."""
-    return uuid5(F.concat(F.lit("text:"), F.coalesce(asset, F.lit("")), F.lit(":"), F.coalesce(page.cast("string"), F.lit("None")), F.lit(":"), position.cast("string")))
+def point_id(asset: Column, page: Column, text: Column) -> Column:
+    """The id of a text point, by its content: it does not shift when rows before it go, and an edited text is another point."""
+    return uuid5(F.concat(F.lit("text:"), F.coalesce(asset, F.lit("")), F.lit(":"), F.coalesce(page.cast("string"), F.lit("None")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))

@@ -101,12 +101,13 @@ def strip_think(col: Column) -> Column:
 
 
 def scrub_error(col: Column, most: int = 240) -> Column:
-    """The first line of a message without URLs, hosts and ports."""
-    line = F.substring_index(F.coalesce(col, F.lit("")), "\n", 1)
-    line = F.regexp_replace(line, r"https?://[^ \t\"')]+", "<url>")
+    """The first line of a message without URLs, hosts and ports; a longer one ends in an ellipsis, an empty one says so."""
+    line = F.regexp_replace(F.coalesce(col, F.lit("")), r"https?://[^ \t\"')]+", "<url>")
     line = F.regexp_replace(line, r"host=['\"]?[A-Za-z0-9_.-]+['\"]?", "host=<host>")
-    line = F.regexp_replace(line, r"\b[A-Za-z0-9.-]+:[0-9]{2,5}\b", "<host>")
-    return F.substring(F.trim(line), 1, most)
+    line = F.regexp_replace(line, r"\b[A-Za-z0-9.-]+:[0-9]{2,5}\b", "<host>:<port>")
+    line = F.regexp_replace(F.regexp_extract(line, r"^[^\n\r]*", 0), r"[\x00-\x08\x0a-\x1f]", "")
+    line = F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
+    return F.when(line == "", "Error: <no message>").otherwise(line)
 
 
 def as_bool(col: Column, default: bool = False) -> Column:

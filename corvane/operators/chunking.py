@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.session import materialize
 
 HEADING_RATIO = 1.4
 MAX_HEADING = 80
@@ -207,5 +208,20 @@ def ocr_blocks(payload: Column) -> Column:
     return F.filter(F.transform(items, lambda x: F.trim(F.coalesce(x.text, x.content, x.value))), lambda x: F.coalesce(x, F.lit("")) != "")
 
 
-def index_footer(text: Column, keywords: Column) -> Column:
-    return T.keyword_footer(text, keywords)
+def enriched_documents(blocks: DataFrame, images: DataFrame, figures: DataFrame, target_chars: int = 1750) -> DataFrame:
+    """(asset_id, chunk_index, page, section, text, images): the whole way from blocks to chunks.
+
+    Blocks are coalesced and split; a chunk takes the images of its page that it names by number or, if the box around its page's
+    blocks is close, that lie next to it; its text ends in its keywords. ``images`` and ``figures`` as for
+    :func:`corvane.operators.figures.associate`.
+    """
+    from corvane.operators import figures as G
+    from corvane.operators import keywords as K
+
+    chunks = materialize(chunk_documents(blocks, target_chars), "document-chunks")
+    named = chunks.select("asset_id", "chunk_index", "page", F.explode(G.figure_refs(F.col("text"))).alias("number")).join(figures, ["asset_id", "page", "number"])
+    found = named.groupBy("asset_id", "chunk_index").agg(F.array_sort(F.collect_set(F.struct(F.col("number").alias("figure_id"), "path", "caption"))).alias("images"))
+    words = K.keywords(chunks.withColumn("id", F.struct("asset_id", "chunk_index")), "id", "text").select("id.asset_id", "id.chunk_index", "keywords")
+    whole = chunks.join(found, ["asset_id", "chunk_index"], "left").join(words, ["asset_id", "chunk_index"], "left")
+    text = F.when(F.size("keywords") > 0, T.keyword_footer(F.col("text"), F.col("keywords"))).otherwise(F.col("text"))
+    return whole.select("asset_id", "chunk_index", "page", "section", text.alias("text"), F.coalesce("images", F.array().cast("array<struct<figure_id:int,path:string,caption:string>>")).alias("images"))

@@ -34,22 +34,28 @@ class EngineConfig:
             raise ValueError("top_k lies between 1 and 200")
 
 
+@dataclass
 class Registry:
-    """Extensions by kind and name: parsers, embedders, readers and backends."""
+    """Extensions by kind (parser, embedder, reader, backend, aggregate) and name."""
 
-    def __init__(self) -> None:
-        self._items: dict[tuple[str, str], Callable] = {}
+    kinds: dict[str, dict[str, Callable]] = field(default_factory=dict)
 
     def register(self, kind: str, name: str, item: Callable) -> None:
-        self._items[kind, name] = item
+        self.kinds.setdefault(kind, {})[name] = item
+
+    def names(self, kind: str) -> list[str]:
+        return sorted(self.kinds.get(kind, ()))
 
     def get(self, kind: str, name: str) -> Callable:
-        if (kind, name) not in self._items:
-            raise KeyError(f"no {kind} named {name}; there are: {', '.join(sorted(n for k, n in self._items if k == kind)) or 'none'}")
-        return self._items[kind, name]
+        found = self.kinds.get(kind, {}).get(name)
+        if found is None:
+            raise KeyError(f"{kind} {name} is not registered; there are: {", ".join(self.names(kind)) or "none"}")
+        return found
 
-    def names(self, kind: str) -> list[str]:
-        return sorted(n for k, n in self._items if k == kind)
+
+#: Aggregates are expressions over partial sums, so they combine before the shuffle.
+registry = Registry()
+registry.register("aggregate", "rms", lambda c: F.sqrt(F.sum(c * c) / F.count(c)))
 
 
 def search(mode: str, routes: dict[str, DataFrame], config: EngineConfig | None = None) -> DataFrame:
@@ -77,3 +83,15 @@ def evaluate(results: DataFrame, cases: DataFrame, k_values: tuple[int, ...] = e
     lists = results.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset_id"))), lambda x: x.asset_id).alias("actual"))
     joined = cases.join(lists, "query_id", "left").select(F.col("query_id").alias("case_id"), "grp", "actual", "expected")
     return evaluation.report(evaluation.at_k(evaluation.prepare(joined), k_values))
+
+
+def run_cases(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """(query_id, grp, returned, rank, passed) of each case (query_id, grp, expected): the rank of its first hit.
+
+    A case of the group 'negative' passes if nothing is returned, any other if there is a hit.
+    """
+    lists = results.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset_id"))), lambda x: x.asset_id).alias("actual"))
+    rows = evaluation.prepare(cases.join(lists, "query_id", "left").select(F.col("query_id").alias("case_id"), "grp", "actual", "expected"))
+    rank = F.nullif(F.array_position("hits", F.lit(1)), F.lit(0)).cast("int")
+    passed = F.when(F.col("grp") == "negative", F.size("acts") == 0).otherwise(rank.isNotNull())
+    return rows.select(F.col("case_id").alias("query_id"), "grp", F.size("acts").alias("returned"), rank.alias("rank"), passed.alias("passed"))

@@ -91,13 +91,12 @@ def report(metrics: DataFrame, digits: int = 6) -> DataFrame:
 def expand_prefixes(prefixes: DataFrame, ids: DataFrame) -> DataFrame:
     """(prefix, id): every known id that starts with the prefix, or the prefix itself.
 
-    Ids meet prefixes by their first three characters; shorter prefixes are looked up by what they have.
+    Ids meet whole prefixes: an id goes out with those of its own beginnings whose length some prefix has, so no two
+    strings are compared that do not match.
     """
-    head = lambda c, n: F.substring(c, 1, n)
-    p = prefixes.withColumn("n", F.least(F.length("prefix"), F.lit(3))).withColumn("head", F.expr("substring(prefix, 1, n)"))
-    i = ids.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), head(F.col("id"), n).alias("head")) for n in (1, 2, 3)])).alias("h")).select("id", "h.n", "h.head")
-    hit = p.join(i, ["n", "head"], "left").where("id is null or startswith(id, prefix)").select("prefix", "id")
-    return prefixes.join(hit.where("id is not null"), "prefix", "left").select("prefix", F.coalesce("id", "prefix").alias("id"))
+    lengths = prefixes.select(F.length("prefix").alias("n")).distinct()
+    i = ids.select("id", F.explode(F.sequence(F.lit(0), F.length("id"))).alias("n")).join(lengths, "n").select("id", F.expr("substring(id, 1, n)").alias("prefix"))
+    return prefixes.join(i, "prefix", "left").select("prefix", F.coalesce("id", "prefix").alias("id"))
 
 
 def nearest_rank(values: Column, q: int) -> Column:
@@ -106,12 +105,20 @@ def nearest_rank(values: Column, q: int) -> Column:
     return F.element_at(ordered, F.greatest(F.floor(F.lit(q) / 100 * F.size(ordered)), F.lit(1)).cast("int"))
 
 
-def stat_block(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
+def stat_block(df: DataFrame, keys: list[str], value: str, digits: int = 6, buckets: int = 1024) -> DataFrame:
     """n, mean, p50, p95, p99, min and max of each group, by nearest rank.
 
-    Ranks come from row numbers and counts, so no group is gathered in one place.
+    Values are counted by bucket between the extremes of their group, and equal ones together; places come from running sums
+    over the buckets and inside each bucket, so no group is gathered in one place.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = df.where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    at = lambda q: F.max(F.when(F.col("rn") == F.greatest(F.floor(F.lit(q) / 100 * F.col("n")), F.lit(1)), F.col(value)))
-    return n.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), digits).alias("mean"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.min(value).alias("min"), F.max(value).alias("max"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("v"), digits).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    span = F.col("max") - F.col("min")
+    at = F.when(span > 0, F.floor((F.col("v") - F.col("min")) / span * (buckets - 1))).otherwise(0).cast("int")
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("c")).join(whole.select(*keys, "min", "max"), keys).withColumn("b", at).select(*keys, "b", "v", "c")
+    sums = counts.groupBy(*keys, "b").agg(F.sum("c").alias("c"))
+    before = sums.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    placed = counts.join(before, [*keys, "b"]).withColumn("place", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "b").orderBy("v")))
+    rank = lambda q: F.greatest(F.floor(F.lit(q) / 100 * F.col("n")), F.lit(1))
+    points = placed.join(whole.select(*keys, "n"), keys).groupBy(*keys).agg(*[F.min(F.when(F.col("place") >= rank(q), F.col("v"))).alias(f"p{q}") for q in (50, 95, 99)])
+    return whole.join(points, keys).select(*keys, "n", "mean", "p50", "p95", "p99", "min", "max")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +35,11 @@ def url_allowed(url: Column, hosts: list[str]) -> Column:
 
 def data_urls(md: Column) -> Column:
     """The embedded images of a Markdown text: (mime, name, n_bytes), named after their content."""
-    found = F.regexp_extract_all(F.coalesce(md, F.lit("")), F.lit(r"!\[[^\]]*\]\((data:image/[a-z+]+;base64,[A-Za-z0-9+/=]+)\)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(md, F.lit("")), F.lit(r"!\[[^\]]*\]\((data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=]+)\)"), F.lit(1))
 
     def one(url: Column) -> Column:
-        mime, data = F.regexp_extract(url, "^data:image/([a-z+]+);", 1), F.unbase64(F.regexp_replace(url, "^[^,]*,", ""))
-        suffix = F.when(mime == "jpeg", "jpg").otherwise(mime)
+        mime, data = F.lower(F.regexp_extract(url, "^data:image/([A-Za-z0-9.+-]+);", 1)), F.unbase64(F.regexp_replace(url, "^[^,]*,", ""))
+        suffix = F.when(mime == "jpeg", "jpg").otherwise(F.regexp_replace(mime, r"\+.*$", ""))
         return F.struct(mime.alias("mime"), F.concat(F.lit("images/"), F.substring(F.md5(data), 1, 12), F.lit("."), suffix).alias("path"), F.octet_length(data).alias("n_bytes"))
 
     return F.transform(found, one)
@@ -45,7 +47,7 @@ def data_urls(md: Column) -> Column:
 
 def without_data_urls(md: Column) -> Column:
     """The text with embedded images taken out of their links."""
-    return F.regexp_replace(F.coalesce(md, F.lit("")), r"!\[([^\]]*)\]\(data:image/[a-z+]+;base64,[A-Za-z0-9+/=]+\)", "![$1](images/embedded)")
+    return F.regexp_replace(F.coalesce(md, F.lit("")), r"!\[([^\]]*)\]\(data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=]+\)", "![$1](images/embedded)")
 
 
 def first_provenance(prov: Column) -> Column:
@@ -95,6 +97,21 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"^\s+|\s+$", "")
 
 
+def register_table_functions(spark) -> None:
+    """Make the parsers that give many rows for one text callable from SQL: ``corvane_blocks(text)``."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="block_ix: int, text: string")
+    class Blocks:
+        """Paragraphs of a text, in order; none for null."""
+
+        def eval(self, text: str):
+            parts = (p.strip() for p in re.split(r"\n{2,}", text or ""))
+            yield from enumerate(p for p in parts if p)
+
+    spark.udtf.register("corvane_blocks", Blocks)
+
+
 def parser_choice(scanned: Column, wanted: Column) -> Column:
     """The parser of a PDF: what was asked for, and OCR for scans where the choice is automatic."""
     return F.when(wanted != "auto", wanted).when(scanned, "page-ocr").otherwise("pymupdf")

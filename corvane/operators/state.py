@@ -52,11 +52,20 @@ def schema_difference(expected: list[str], df: DataFrame) -> tuple[list[str], li
     return sorted(set(expected) - set(df.columns)), sorted(set(df.columns) - set(expected))
 
 
-def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """``target``: the name, with _2, _3 ... before its suffix for further rows of one name."""
-    rn = F.row_number().over(Window.partitionBy(name).orderBy(order))
+def unique_names(rows: DataFrame, name: str, order: list[str], block: int = 4096) -> DataFrame:
+    """``target``: the name, with _2, _3 ... before its suffix for further rows of one name.
+
+    Rows are numbered inside blocks of the first order column, and blocks by running sums, so a name that many rows bear is
+    spread over many tasks.
+    """
+    rows = rows.withColumn("blk", F.floor(F.col(order[0]) / block))
+    per = rows.groupBy(name, "blk").agg(F.count("*").alias("n"))
+    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(name).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(F.col(name).alias("of"), F.col("blk").alias("in"), "before")
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(name, "blk").orderBy(*order)))
+    rows = rows.join(before, F.col(name).eqNullSafe(F.col("of")) & (F.col("blk") == F.col("in"))).withColumn("rn", F.col("rn") + F.col("before")).drop("of", "in", "before", "blk")
     numbered = F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), F.col("rn").cast("string"), F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return rows.withColumn("rn", rn).withColumn("target", F.when(F.col("rn") > 1, numbered).otherwise(F.col(name))).drop("rn")
+    return rows.withColumn("target", F.when(F.col("rn") > 1, numbered).otherwise(F.col(name))).drop("rn")
 
 
 def task_overlay(stored: DataFrame, memory: DataFrame, cols: list[str]) -> DataFrame:

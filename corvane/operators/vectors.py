@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go out together; more make more blocks.
-QUERY_BLOCK = 4096
+#: Bytes of one block of queries, which goes out to the executors, and of one matrix of scores there.
+QUERY_BYTES, SCORE_BYTES = 16 << 20, 64 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -34,7 +34,8 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, parts: int = 0, digits:
     tokens, of the best dot product with a token of the point. Null vectors are left out; ties go to the lower id.
     """
     asked = queries.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), "vec")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    blocks = max(1, -(-n * dim * 8 // QUERY_BYTES))
     out = None
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
@@ -44,23 +45,38 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, parts: int = 0, digits:
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best of each row, ties by the lower name: only what reaches the k-th score is sorted."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((names[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(scores.shape[0]))
+    kept = np.arange(len(row)) - first[row] < k
+    return row[kept], col[kept]
+
+
 def _block(points: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int, parts: int, digits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(ids):
             return
         q = asked.reshape(len(ids), parts, -1) if parts else unit(asked)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1))
-            if parts:
-                m = m.reshape(len(names), parts, -1)
-                scores = np.einsum("qad,nbd->qnab", q, m).max(axis=3).sum(axis=2)
-            else:
-                scores = q @ unit(m).T
-            scores = np.round(scores, digits)
-            order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(names[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], names=["query_id", "id", "score"])
+        step = max(1, SCORE_BYTES // (8 * len(ids) * max(1, parts * parts)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                names, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1))
+                if parts:
+                    m = m.reshape(len(names), parts, -1)
+                    scores = np.einsum("qad,nbd->qnab", q, m).max(axis=3).sum(axis=2)
+                else:
+                    scores = q @ unit(m).T
+                scores = np.round(scores, digits)
+                row, col = _best(scores, names, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(names[col]), pa.array(scores[row, col])], names=["query_id", "id", "score"])
 
     return points.where("vec is not null").select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "query_id long, id long, score double")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import answers as A
 from corvane.operators import chunking as C
 from corvane.operators import figures as G
+from corvane.plans import lexical_queries as X
+from corvane.plans import search_queries as SQ
 from corvane.plans.registry import query
 from corvane.session import table
 
@@ -44,11 +47,20 @@ def c9_recursive_pieces(spark: SparkSession, d: str) -> DataFrame:
     return C.split_bodies(table(spark, d, "parsed_chunks").where("text is not null").select("chunk_id", F.col("text").alias("body"))).drop("body")
 
 
-@query("""SELECT chunk_id, greatest(1, round(length(text) / 35e-1)::INT) AS tokens, right(text, 210) AS tail FROM parsed_chunks WHERE text IS NOT NULL""")
+_WINDOW = "substring(text, greatest(length(text) - 419, 1), least(210, length(text) - 210))"
+_TAILS = "CASE WHEN length(text) <= 210 THEN 0 " + " ".join(f"WHEN contains({_WINDOW}, {mark}) THEN greatest(length(text) - 420, 0) + length({_WINDOW}) - position({back} IN reverse({_WINDOW})) + 1" for mark, back in (("chr(10) || chr(10)", "chr(10) || chr(10)"), ("chr(10)", "chr(10)"), *((f"'{c}'", f"'{c}'") for c in C.SEPARATORS[2:-1]))) + " ELSE length(text) - 210 END"
+
+
+@query(f"SELECT chunk_id, greatest(1, round(length(text) / 35e-1)::INT) AS tokens, ({_TAILS})::INT AS tail_begin FROM parsed_chunks WHERE text IS NOT NULL")
 def c10_tokens_and_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each text, and where the part begins that a next piece would repeat."""
     from corvane.functions import text as T
 
-    return table(spark, d, "parsed_chunks").where("text is not null").select("chunk_id", T.approx_tokens(F.col("text")).alias("tokens"), F.right("text", F.lit(210)).alias("tail"))
+    @F.pandas_udf("int")
+    def begin(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: C.overlap_begin(t, 0, len(t), int(60 * C.CHARS_PER_TOKEN)))
+
+    return table(spark, d, "parsed_chunks").where("text is not null").select("chunk_id", T.approx_tokens(F.col("text")).alias("tokens"), begin("text").alias("tail_begin"))
 
 
 @query("""SELECT id, block_ix::INT AS block_ix, level::INT AS level, md5(text) AS text_md5 FROM (SELECT id, generate_subscripts(bs, 1) - 1 AS block_ix, unnest(bs) AS text, length(regexp_extract(unnest(bs), '^(#{1,6})\\s+[^\\n]+$', 1)) AS level FROM
@@ -94,6 +106,13 @@ def parse_chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_documents(_blocks(spark, d))
 
 
+@query()
+def parse_enriched_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with the figures they name or lie close to, and with a footer of keywords; its sequential part has no SQL."""
+    lines, images = _boxes(spark, d)
+    return C.enriched_documents(_blocks(spark, d), images, G.captions(lines, images))
+
+
 _REFS = "list_sort(list_distinct(list_transform(list_concat(" + ", ".join(f"regexp_extract_all(coalesce(text, ''), '{p.replace(chr(92), chr(92))}', 1)" for p in G.REFERENCES) + "), lambda x: x::INT)))"
 
 
@@ -159,28 +178,28 @@ def parse_image_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best chunks of each query from the fused lexical channels."""
     m = F.col("metadata")
-    rows = table(spark, d, "parsed_chunks").where("metadata.chunk_index is not null and metadata.asset_id is not null")
-    rows = rows.select(m.asset_id.alias("query_id"), m.asset_id.alias("asset_id"), F.coalesce(m.asset_title, F.lit("")).alias("title"), m.page.alias("page"), F.coalesce("text", F.lit("")).alias("evidence"), m.images.alias("images"), m.chunk_index.alias("chunk_index"), "chunk_id")
-    first = rows.groupBy("asset_id", "chunk_index").agg(F.min_by(F.struct("query_id", "title", "page", "evidence", "images", "chunk_id"), "chunk_id").alias("h")).where("chunk_index < 8")
-    return first.select("h.*", "asset_id", (F.col("chunk_index") + 1).alias("rank"))
+    ranked = SQ.fused(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 10")
+    rows = table(spark, d, "parsed_chunks").join(ranked.select("query_id", "rank", "chunk_id"), "chunk_id")
+    return rows.select("query_id", "rank", "chunk_id", F.coalesce(m.asset_id, F.lit("")).alias("asset_id"), F.coalesce(m.asset_title, F.lit("")).alias("title"), m.page.alias("page"), F.coalesce("text", F.lit("")).alias("evidence"), m.images.alias("images"))
 
 
-_HITS = """hits AS (SELECT * FROM (SELECT metadata.asset_id AS asset_id, coalesce(metadata.asset_title, '') AS title, metadata.page AS page, coalesce(text, '') AS evidence, metadata.images AS images, metadata.chunk_index + 1 AS rank, row_number() OVER (PARTITION BY metadata.asset_id, metadata.chunk_index ORDER BY chunk_id) AS rn FROM parsed_chunks WHERE metadata.chunk_index < 8 AND metadata.asset_id IS NOT NULL) WHERE rn = 1)"""
+_HITS = f"""{X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN}, {SQ._FUSED}, hits AS (SELECT query_id, rank, coalesce(metadata.asset_id, '') AS asset_id, coalesce(metadata.asset_title, '') AS title, metadata.page AS page, coalesce(text, '') AS evidence, metadata.images AS images FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu) f JOIN parsed_chunks p ON p.chunk_id = f.id WHERE rank <= 10)"""
 
 
-@query(f"""WITH {_HITS}, b AS (SELECT asset_id, rank, concat_ws(chr(10), '[' || rank || '] asset_id=' || asset_id || ' title=' || title || ' page=' || coalesce(page::VARCHAR, 'None'), substring(evidence, 1, 1200),
+@query(f"""WITH {_HITS}, b AS (SELECT query_id, rank, concat_ws(chr(10), '[' || rank || '] asset_id=' || asset_id || ' title=' || title || ' page=' || coalesce(page::VARCHAR, 'None'), substring(evidence, 1, 1200),
   CASE WHEN len(images) > 0 THEN '关联图片: ' || array_to_string(list_transform(images, lambda i: CASE WHEN i.figure_id <> 0 THEN '图' || i.figure_id ELSE '图' END || CASE WHEN trim(coalesce(i.caption, '')) <> '' THEN ': ' || trim(i.caption) ELSE '' END || ' (/parsed-image/' || asset_id || '/' || coalesce(i.path, '') || ')'), '; ') END) AS b FROM hits)
-SELECT asset_id AS query_id, md5(string_agg(b, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM b GROUP BY asset_id""")
+SELECT query_id, md5(string_agg(b, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM b GROUP BY query_id""")
 def a2_evidence_context(spark: SparkSession, d: str) -> DataFrame:
     return A.evidence_context(_hits(spark, d)).select("query_id", F.md5("context").alias("context_md5"))
 
 
-@query(f"WITH {_HITS} SELECT asset_id AS query_id, coalesce(string_agg(trim(substring(evidence, 1, 300)), chr(10) || chr(10) ORDER BY rank) FILTER (trim(substring(evidence, 1, 300)) <> ''), '') AS answer FROM hits WHERE rank <= 3 GROUP BY asset_id")
+@query(f"WITH {_HITS} SELECT query_id, coalesce(string_agg(trim(substring(evidence, 1, 300)), chr(10) || chr(10) ORDER BY rank) FILTER (trim(substring(evidence, 1, 300)) <> ''), '') AS answer FROM hits WHERE rank <= 3 GROUP BY query_id")
 def a4_fallback_answers(spark: SparkSession, d: str) -> DataFrame:
     return A.fallback_answer(_hits(spark, d))
 
 
-@query(f"WITH {_HITS}, i AS (SELECT asset_id, rank, generate_subscripts(images, 1) - 1 AS ix, unnest(images) AS image FROM hits), n AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY rank, ix) AS rn FROM i WHERE ix < 2) SELECT asset_id AS query_id, rank, ix::INT AS ix, image.path AS path FROM n WHERE rn <= 4")
+@query(f"WITH {_HITS}, i AS (SELECT query_id, rank, generate_subscripts(images, 1) - 1 AS ix, unnest(images) AS image FROM hits), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, ix) AS rn FROM i WHERE ix < 2) SELECT query_id, rank, ix::INT AS ix, image.path AS path FROM n WHERE rn <= 4")
 def a5_image_parts(spark: SparkSession, d: str) -> DataFrame:
     return A.image_parts(_hits(spark, d))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from corvane.operators import embedding, fusion, vectors
 from corvane.plans import lexical_queries as X
 from corvane.plans import search_queries as SQ
 from corvane.plans.registry import query
-from corvane.session import shared_dir, spread, table
+from corvane.session import spread, table
 from corvane.streaming import incremental
 
 _TOK = "list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z0-9]+|[一-鿿]+'), lambda x: lower(x))"
@@ -79,16 +77,22 @@ def e21_image_to_image_run(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("precision"), 6).alias("precision"))
 
 
-@query("SELECT task_id, arg_max(status, task_seq) AS status, max(task_seq) AS task_seq FROM task_records GROUP BY task_id")
+@query("""WITH s AS (SELECT DISTINCT task_id, task_seq, status FROM task_records), l AS (SELECT task_id, max(task_seq) AS task_seq, arg_max(status, task_seq) AS status FROM s GROUP BY task_id)
+SELECT task_id, task_seq, 'snapshot' AS event, status FROM s UNION ALL SELECT task_id, task_seq, 'done', status FROM l WHERE status IN ('done', 'failed', 'partial', 'cancelled', 'interrupted')""")
 def k9_task_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots of tasks from a stream of their rows: the latest state of each."""
+    """The events of tasks from a stream of their rows: a snapshot for each row, and one more when the last state is final."""
     rows = incremental.stream(spark, d, "task_records").select("task_id", "task_seq", "status")
-    state = rows.groupBy("task_id").agg(F.max_by("status", "task_seq").alias("status"), F.max("task_seq").alias("task_seq"))
-    at = f"{shared_dir(spark)}/tasks-{uuid.uuid4().hex}"
-    state.writeStream.outputMode("complete").option("checkpointLocation", f"{at}-state").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(at)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(state.schema).parquet(at)
-
-
-@query("SELECT name FROM (VALUES ('hashed'), ('model')) v(name)")
-def u6_registered_embedders(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in embedding.registry.names("embedder")], "name string")
+    seen = incremental.drain(rows, "task-rows").distinct()
+    last = seen.groupBy("task_id").agg(F.max_by(F.struct("task_seq", "status"), "task_seq").alias("l")).select("task_id", "l.*")
+    done = last.where(F.col("status").isin("done", "failed", "partial", "cancelled", "interrupted"))
+    event = lambda df, name: df.select("task_id", "task_seq", F.lit(name).alias("event"), "status")
+    return event(seen, "snapshot").unionByName(event(done, "done"))
+
+
+@query(f"WITH {_QV} SELECT id AS query_id, list_sum(list_transform(vec, lambda x, i: round(x, 6) * i)) AS checksum FROM qv")
+def u6_registered_embedder(spark: SparkSession, d: str) -> DataFrame:
+    """An embedder taken from the registry by its name, on the search queries."""
+    embed = embedding.registry.get("embedder", "hashed")
+    vecs = embed(X.asked(spark, d).select(F.col("query_id").alias("id"), _lower(F.col("raw")).alias("tokens")))
+    total = F.aggregate(F.transform("vec", lambda x, i: F.round(x, 6) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return vecs.select(F.col("id").alias("query_id"), total.alias("checksum"))

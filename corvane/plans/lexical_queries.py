@@ -61,7 +61,7 @@ def zh_hits(spark: SparkSession, d: str, n: int = 50) -> DataFrame:
 def en_hits(spark: SparkSession, d: str, n: int = 50) -> DataFrame:
     # The English channel encodes queries like documents.
     q = L.english_vectors(L.token_table(asked(spark, d), "query_id", T.bm25_tokens(F.col("raw")))).withColumnRenamed("id", "query_id")
-    return L.top_n(L.scores(q, L.english_vectors(en_docs(spark, d))), n)
+    return L.top_n(L.scores(q, L.english_vectors(en_docs(spark, d), q)), n)
 
 
 @query(f"WITH {ZH} SELECT term, df, round(idf, 6) AS idf FROM idf")

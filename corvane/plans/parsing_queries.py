@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import engine, parsing, state, vectors
+from corvane.operators import engine, index, parsing, state, vectors
 from corvane.plans import evaluation_queries as EQ
 from corvane.plans import search_queries as SQ
 from corvane.plans.registry import query
-from corvane.session import materialize, table
+from corvane.session import materialize, shared_dir, table
+
 
 @query("""SELECT asset_id, (row_number() OVER (PARTITION BY asset_id ORDER BY block_id) - 1)::INT AS page, md5(text) AS text_md5 FROM ir_blocks WHERE asset_id IS NOT NULL AND trim(text) <> ''""")
 def parse_ocr_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -65,11 +68,12 @@ def parse_tables(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("task_seq", parsing.markdown_table(F.col("rows")).alias("md"))
 
 
-@query()
+@query("""SELECT chunk_id, md5(regexp_replace(regexp_replace(chr(10) || chr(10) || '# ' || coalesce(metadata.section, '') || repeat(chr(10), 4) || plain || chr(10) || chr(10), '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS md5 FROM (SELECT chunk_id, metadata, coalesce(text, '') AS plain FROM parsed_chunks WHERE NOT regexp_matches(coalesce(text, '') || coalesce(metadata.section, ''), '[<>&]'))""")
 def parse_html(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks wrapped in HTML and stripped again; checked by hand in the tests."""
+    """Chunks wrapped in HTML and stripped again, where they hold no marks of their own."""
     html = F.concat(F.lit("<html><script>x</script><h1>"), F.coalesce("metadata.section", F.lit("")), F.lit("</h1><p>"), F.coalesce("text", F.lit("")), F.lit("</p></html>"))
-    return table(spark, d, "parsed_chunks").select("chunk_id", parsing.html_text(html).alias("md"))
+    rows = table(spark, d, "parsed_chunks").where(~F.concat(F.coalesce("text", F.lit("")), F.coalesce("metadata.section", F.lit(""))).rlike("[<>&]"))
+    return rows.select("chunk_id", F.md5(parsing.html_text(html)).alias("md5"))
 
 
 @query("""SELECT chunk_id, 'images/' || substr(md5(text), 1, 12) || '.png' AS path, octet_length(encode(text))::INT AS n_bytes FROM parsed_chunks WHERE trim(text) <> ''""")
@@ -139,30 +143,79 @@ def a1_sources(spark: SparkSession, d: str) -> DataFrame:
     return answers.sources(SQ.merged(spark, d, 10).withColumn("route", F.lit("hybrid"))).select("query_id", "rank", "asset_id", "score")
 
 
+_NAMES = """nm AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(raw, '[A-Z][a-z]{6,}')) AS name FROM preprocessed_queries WHERE query_id % 100 = 0),
+tk AS (SELECT DISTINCT metadata.asset_id AS asset_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS name FROM parsed_chunks WHERE metadata.asset_id IS NOT NULL),
+xp AS (SELECT query_id, list(DISTINCT asset_id ORDER BY asset_id) AS ex FROM nm JOIN tk USING (name) GROUP BY query_id),
+lb AS (SELECT query_id, min(CASE WHEN lower(lang) IN ('en', 'zh') THEN lower(lang) ELSE 'other' END) AS grp FROM preprocessed_queries WHERE query_id % 100 = 0 GROUP BY query_id)"""
 _RUN = f"""
-WITH RECURSIVE {SQ._ALL}, top AS (SELECT query_id, rank, asset_id FROM mr WHERE rank <= 30),
-d AS (SELECT q.query_id AS case_id, 'all-queries' AS grp, list_transform(coalesce((SELECT list(asset_id ORDER BY rank) FROM top WHERE top.query_id = q.query_id), []), lambda x: {EQ._SLUG}) AS acts,
-  list_transform(coalesce((SELECT list(asset_id ORDER BY rank DESC) FROM top WHERE top.query_id = q.query_id AND rank IN (2, 5)), []), lambda x: {EQ._SLUG}) AS ex FROM (SELECT DISTINCT query_id FROM preprocessed_queries WHERE query_id % 100 = 0) q),
-{EQ._CASES[EQ._CASES.index('c AS (SELECT case_id'):]}, {EQ._METRICS}
-SELECT k, coalesce(grp, 'all') AS grp, count(*) AS n, round(avg(hit_rate), 6) AS hit_rate, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS rr FROM r GROUP BY GROUPING SETS ((k, grp), (k))"""
-
-
-@query(_RUN)
+WITH RECURSIVE {SQ._ALL}, {_NAMES}, top AS (SELECT query_id, rank, asset_id FROM mr WHERE rank <= 10),
+d AS (SELECT q.query_id AS case_id, CASE WHEN x.ex IS NULL THEN 'negative' ELSE q.grp END AS grp, list_transform(coalesce((SELECT list(asset_id ORDER BY rank) FROM top WHERE top.query_id = q.query_id), []), lambda x: {EQ._SLUG}) AS acts,
+  list_transform(coalesce(x.ex, []), lambda x: {EQ._SLUG}) AS ex FROM lb q LEFT JOIN xp x USING (query_id)),
+{EQ._CASES[EQ._CASES.index('c AS (SELECT case_id'):]}"""
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, grp, expected): judged apart from any search: the assets with a chunk that names a name of the query.
+
+    Groups are the declared languages; a query without such an asset is a negative case.
+    """
+    rows = table(spark, d, "preprocessed_queries").where("query_id % 100 = 0")
+    name = lambda c: F.explode(F.regexp_extract_all(c, F.lit("[A-Z][a-z]{6,}"), F.lit(0))).alias("name")
+    asked = rows.select("query_id", name(F.col("raw"))).distinct()
+    told = table(spark, d, "parsed_chunks").where("metadata.asset_id is not null").select("metadata.asset_id", name(F.col("text")))
+    # The few names of the queries reduce the chunks before anything is grouped.
+    expected = told.join(asked, "name").groupBy("query_id").agg(F.array_sort(F.collect_set("asset_id")).alias("expected"))
+    grp = F.min(F.when(F.lower("lang").isin("en", "zh"), F.lower("lang")).otherwise("other"))
+    cases = rows.groupBy("query_id").agg(grp.alias("grp")).join(expected, "query_id", "left")
+    return cases.withColumn("grp", F.when(F.col("expected").isNull(), "negative").otherwise(F.col("grp")))
+
+
+@query(f"""{_RUN}, {EQ._METRICS}
+SELECT k, coalesce(grp, 'all') AS grp, count(*) AS n, round(avg(hit_rate), 6) AS hit_rate, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS rr FROM r GROUP BY GROUPING SETS ((k, grp), (k))""")
 def e18_evaluation_run(spark: SparkSession, d: str) -> DataFrame:
-    """All search queries against expected assets, which here are the second and fifth of the results themselves."""
-    from corvane.plans import lexical_queries as X
-
-    results = materialize(SQ.merged(spark, d, 30).select("query_id", "rank", "asset_id"), "results")
-    expected = results.where("rank in (2, 5)").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "asset_id"))), lambda x: x.asset_id).alias("expected"))
-    cases = X.asked(spark, d).select("query_id").distinct().join(expected, "query_id", "left").withColumn("grp", F.lit("all-queries"))
-    return engine.evaluate(results, cases).select("k", "grp", "n", "hit_rate", "recall", "ndcg", "rr")
+    """Hybrid search of all search queries against judged cases: the metrics by group and cut."""
+    results = materialize(SQ.merged(spark, d, 10).select("query_id", "rank", "asset_id"), "results")
+    return engine.evaluate(results, _cases(spark, d)).select("k", "grp", "n", "hit_rate", "recall", "ndcg", "rr")
+
+
+@query(f"""{_RUN} SELECT case_id AS query_id, grp, len(acts)::INT AS returned, CASE WHEN list_position(hits, 1) > 0 THEN list_position(hits, 1) END::INT AS rank,
+  CASE WHEN grp = 'negative' THEN len(acts) = 0 ELSE list_position(hits, 1) IS NOT NULL AND list_position(hits, 1) > 0 END AS passed FROM p""")
+def e19_grouped_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Each case with the rank of its first hit; a negative case passes if nothing is returned."""
+    results = materialize(SQ.merged(spark, d, 10).select("query_id", "rank", "asset_id"), "results")
+    return engine.run_cases(results, _cases(spark, d))
+
+
+@query(f"""WITH RECURSIVE {SQ._ALL}, {_NAMES},
+o AS (SELECT query_id, asset_id, round(sum(1e0 / (60 + rank)), 9) AS score, min(rank) AS first FROM hr WHERE route = 'text_to_image' AND score > 0 GROUP BY query_id, asset_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, asset_id) AS rank FROM o) WHERE rank <= 5),
+im AS (SELECT DISTINCT metadata.asset_id AS asset_id FROM parsed_chunks WHERE metadata.source_type = 'image'),
+e AS (SELECT query_id, asset_id FROM (SELECT query_id, unnest(ex) AS asset_id FROM xp) JOIN im USING (asset_id))
+SELECT count(DISTINCT e.query_id) AS n, count(DISTINCT CASE WHEN t.query_id IS NOT NULL THEN e.query_id END) AS hits FROM e LEFT JOIN top t ON t.query_id = e.query_id AND t.asset_id = e.asset_id""")
+def e20_text_to_image_run(spark: SparkSession, d: str) -> DataFrame:
+    """The text-to-image mode against the judged image assets: cases, and cases with a hit among the first five."""
+    results = engine.search("text-to-image", _routes(spark, d), engine.EngineConfig(top_k=5)).select("query_id", "asset_id", F.lit(True).alias("hit"))
+    images = table(spark, d, "parsed_chunks").where("metadata.source_type = 'image'").select("metadata.asset_id").distinct()
+    cases = _cases(spark, d).select("query_id", F.explode("expected").alias("asset_id")).join(images, "asset_id", "left_semi")
+    return cases.join(results, ["query_id", "asset_id"], "left").agg(F.count_distinct("query_id").alias("n"), F.count_distinct(F.when(F.col("hit"), F.col("query_id"))).alias("hits"))
+
+
+@query(f"""WITH {SQ._ALL}, o AS (SELECT query_id, asset_id, round(sum(1e0 / (60 + rank)), 9) AS score, min(rank) AS first FROM hr WHERE route = 'text_to_image' AND score > 0 GROUP BY query_id, asset_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, asset_id) AS rank FROM o) SELECT query_id, rank::INT AS rank, asset_id, score FROM r WHERE rank <= 10""")
+def f8_text_to_image_mode(spark: SparkSession, d: str) -> DataFrame:
+    return engine.search("text-to-image", _routes(spark, d)).select("query_id", "rank", "asset_id", "score")
 
 
-@query("""SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label >= 5)""")
+@query("""SELECT vec_id AS id, label, (vec_id % 3 <> 0)::INT AS run FROM embeddings""")
 def i3_image_index(spark: SparkSession, d: str) -> DataFrame:
-    """New image points: those that are stored, here labels from 5 on, and rows without a vector are skipped."""
-    pts = SQ.points(spark, d)
-    return state.new_points(pts.where("vec is not null"), pts.where("label >= 5")).select("id", "label")
+    """A stored collection of image points: a third first, then all, of which only the new ones with a vector are added."""
+    folder = f"{shared_dir(spark)}/images-{uuid.uuid4().hex}"
+    pts = SQ.points(spark, d).where("vec is not null")
+    name = index.collection_name("images", 64)
+    for run, rows in enumerate((pts.where("id % 3 = 0"), pts)):
+        stored = index.read_collection(spark, folder, name, "id long, label int, run int")
+        index.append_collection(state.new_points(rows, stored).select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), F.lit(run).alias("run")), folder, name)
+    return index.read_collection(spark, folder, name, "id long, label int, run int")
 
 
 @query("""SELECT 'chunks' AS source, count(*) AS n FROM parsed_chunks WHERE metadata.asset_id IS NULL OR metadata.asset_id NOT IN (SELECT asset_id FROM asset_index_log WHERE deleted) UNION ALL SELECT 'blocks', count(*) FROM ir_blocks WHERE asset_id IS NULL OR asset_id NOT IN (SELECT asset_id FROM asset_index_log WHERE deleted)""")
@@ -172,11 +225,13 @@ def i4_deleted_everywhere(spark: SparkSession, d: str) -> DataFrame:
     return kept("chunks", table(spark, d, "parsed_chunks").select("metadata.asset_id")).union(kept("blocks", table(spark, d, "ir_blocks").select("asset_id")))
 
 
-@query("""SELECT vec_id, CASE WHEN vec_id * 1000 > 400000 THEN 'too many bytes' WHEN vec_id * label > 2000 THEN 'too many pixels' END AS reason FROM embeddings""")
+@query("""SELECT block_id, CASE WHEN octet_length(encode(coalesce(text, ''))) > 2000 THEN 'too many bytes' WHEN round(bbox.x1 - bbox.x0)::BIGINT * round(bbox.y1 - bbox.y0)::BIGINT > 20000 THEN 'too many pixels' END AS reason FROM ir_blocks""")
 def k3_rejected_files(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks as files: their bytes, and the size of their box as the size of an image."""
     from corvane.sources import sniff
 
-    return SQ.points(spark, d).select(F.col("id").alias("vec_id"), sniff.rejected(F.col("id") * 1000, F.col("id"), F.col("label"), 400_000, 2000).alias("reason"))
+    side = lambda a, b: F.round(F.col(f"bbox.{b}") - F.col(f"bbox.{a}")).cast("long")
+    return table(spark, d, "ir_blocks").select("block_id", sniff.rejected(F.octet_length(F.coalesce("text", F.lit(""))), side("x0", "x1"), side("y0", "y1"), 2000, 20_000).alias("reason"))
 
 
 @query("""SELECT task_seq FROM task_records WHERE started_at < 1738000000e0 - 86400e0""")
@@ -257,8 +312,24 @@ def x31_decoded_tasks(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("task_seq", F.from_json("doc", jsonl.TASK).alias("t")).select("task_seq", "t.task_id", "t.status", "t.total", F.array_join("t.uploaded_files", "|").alias("files"))
 
 
-@query("""SELECT i.path AS path, arg_max(i.figure_id, chunk_id) FILTER (i.figure_id IS NOT NULL) AS figure_id FROM (SELECT chunk_id, unnest(metadata.images) AS i FROM parsed_chunks) GROUP BY 1 HAVING figure_id IS NOT NULL""")
+@query("""SELECT asset_id, arg_max(trim(asset_title), log_seq) AS caption FROM asset_index_log WHERE trim(asset_title) <> '' GROUP BY asset_id""")
 def x21_cached_captions(spark: SparkSession, d: str) -> DataFrame:
-    """The last entry that says something, for each image."""
-    rows = table(spark, d, "parsed_chunks").select("chunk_id", F.explode("metadata.images").alias("i")).select("chunk_id", "i.path", "i.figure_id").where("figure_id is not null")
-    return state.latest(rows, ["path"], "chunk_id").select("path", "figure_id")
+    """The log of titles read as a cache: the last entry of each asset that is not blank."""
+    rows = table(spark, d, "asset_index_log").select("asset_id", "log_seq", F.trim("asset_title").alias("caption")).where("caption <> ''")
+    return state.latest(rows, ["asset_id"], "log_seq").select("asset_id", "caption")
+
+
+@query("""SELECT c.chunk_id, u.block_ix::INT AS block_ix, u.text AS text FROM (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\n{2,}'), lambda x: trim(x, ' \t\n\r\f\v')), lambda x: x <> '') AS bs FROM parsed_chunks) c, (SELECT unnest(range(0, 10000)) AS i) r, LATERAL (SELECT r.i AS block_ix, c.bs[r.i + 1] AS text) u WHERE r.i < len(c.bs)""")
+def u1_parser_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """A registered parser as a table function: one text gives many blocks, called from SQL with a lateral join."""
+    parsing.register_table_functions(spark)
+    table(spark, d, "parsed_chunks").select("chunk_id", "text").createOrReplaceTempView("__corvane_texts")
+    return spark.sql("SELECT t.chunk_id, b.block_ix, b.text FROM __corvane_texts t, LATERAL corvane_blocks(t.text) b")
+
+
+@query("""SELECT kind, count(*) FILTER (s IS NOT NULL) AS n, round(sqrt(sum(s * s) / count(s)), 4) AS rms FROM (SELECT kind, finished_at - started_at AS s FROM task_records) GROUP BY kind""")
+def u9_aggregate_function(spark: SparkSession, d: str) -> DataFrame:
+    """A registered aggregate: root mean squares of partial sums, which the plan combines before shuffling."""
+    s = F.col("finished_at") - F.col("started_at")
+    rows = table(spark, d, "task_records").select("kind", s.alias("s"))
+    return rows.groupBy("kind").agg(F.count("s").alias("n"), F.round(engine.registry.get("aggregate", "rms")(F.col("s")), 4).alias("rms"))

@@ -85,41 +85,61 @@ def s1_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.read_jsonl(spark, at, "chunk_id bigint, " + jsonl.CHUNK).select("chunk_id", "text", "metadata.asset_id", F.when(F.col("metadata.tags").isNotNull(), F.size("metadata.tags")).alias("n_tags"))
 
 
-@query("""SELECT kind AS grp, (row_number() OVER (PARTITION BY kind ORDER BY task_seq) - 1)::INT AS case_ix, task_id AS query FROM task_records""")
+@query("""SELECT kind AS grp, task_seq, (ix - 1)::INT AS case_ix, file AS query FROM (SELECT kind, task_seq, generate_subscripts(uploaded_files, 1) AS ix, unnest(uploaded_files) AS file FROM task_records)""")
 def s20_eval_cases(spark: SparkSession, d: str) -> DataFrame:
-    """A case file built from the tasks, parsed back."""
-    tasks = table(spark, d, "task_records").select("kind", "task_seq", "task_id", "uploaded_files")
-    by = tasks.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("task_seq", "task_id", "uploaded_files"))), lambda t: F.struct(t.task_id.alias("query"), t.uploaded_files.alias("expected_asset_ids"))).alias("cases"))
-    doc = by.agg(F.to_json(F.struct(F.lit("v2").alias("version"), F.map_from_entries(F.collect_list(F.struct("kind", "cases"))).alias("groups"))).alias("doc"))
-    return jsonl.eval_cases(doc, "doc", "v2").select("grp", "case_ix", "query")
+    """Case files, one for each task with its files as the cases of one group, parsed back; those of another version are refused."""
+    tasks = table(spark, d, "task_records").where("size(uploaded_files) > 0")
+    cases = F.transform("uploaded_files", lambda f: F.struct(f.alias("query"), F.array(f).alias("expected_asset_ids")))
+    doc = lambda version: F.to_json(F.struct(F.lit(version).alias("version"), F.create_map(F.col("kind"), cases).alias("groups")))
+    both = tasks.select("task_seq", doc("v2").alias("doc")).union(tasks.select("task_seq", doc("v1")))
+    return jsonl.eval_cases(both, "doc", "v2", ["task_seq"]).select("grp", "task_seq", "case_ix", "query")
 
 
-@query()
+_HEADS = ("255044462D312E37", "89504E470D0A1A0A0000000D4948445200000280000001E0", "47494638396180020100", "424D46000000", "52494646240000005745425056503820", "504B030414000600", "00010203", "FFD8FFE000104A46494600010100000100010000FFC0001108001000200301")
+
+
+@query("""SELECT log_seq, CASE log_seq % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' WHEN 3 THEN 'bmp' WHEN 4 THEN 'webp' WHEN 5 THEN CASE WHEN regexp_extract(lower(coalesce(relative_path, '')), '\\.([a-z0-9]+)$', 1) IN ('docx', 'pptx', 'xlsx') THEN 'office' WHEN regexp_extract(lower(coalesce(relative_path, '')), '\\.([a-z0-9]+)$', 1) IN ('md', 'markdown', 'txt', 'html', 'htm', 'csv') THEN 'text' ELSE 'unknown' END
+  WHEN 6 THEN CASE WHEN regexp_extract(lower(coalesce(relative_path, '')), '\\.([a-z0-9]+)$', 1) IN ('md', 'markdown', 'txt', 'html', 'htm', 'csv') THEN 'text' ELSE 'unknown' END ELSE 'jpeg' END AS format,
+  CASE log_seq % 8 WHEN 1 THEN 640 WHEN 2 THEN 640 WHEN 7 THEN 32 END AS width, CASE log_seq % 8 WHEN 1 THEN 480 WHEN 2 THEN 1 WHEN 7 THEN 16 END AS height FROM asset_index_log""")
 def s7_sniffed_files(spark: SparkSession, d: str) -> DataFrame:
-    """The data files themselves: their format is none that is known here."""
-    return sniff.sniff(spark, d).select(F.regexp_replace("path", "^.*/", "").alias("name"), "file_size", "format", "source_type", "title")
+    """The names of the log with first bytes of eight sorts of files: what each is, and the size of images."""
+    log = table(spark, d, "asset_index_log").select("log_seq", F.coalesce("relative_path", F.lit("")).alias("path"))
+    head = F.unhex(F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (F.col("log_seq") % 8 + 1).cast("int")))
+    rows = log.withColumn("content", head)
+    return rows.select("log_seq", sniff.file_format(F.col("path"), F.col("content")).alias("format"), sniff.image_size("content").alias("size")).select("log_seq", "format", "size.width", "size.height")
 
 
-@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
-def st1_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Tumbling windows over a stream. The watermark is wider than the data, and the windows still open are in the complete output."""
-    out = _complete(I.windowed_counts(I.stream(spark, d, "events"), late="3650 days"), spark)
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+_ARRIVALS = """m AS (SELECT median(epoch_us(ts::TIMESTAMP)) AS mid FROM events), top AS (SELECT max(ts::TIMESTAMP) AS t FROM events, m WHERE epoch_us(ts::TIMESTAMP) <= mid),
+a AS (SELECT event_id, ts::TIMESTAMP AS ts, event_type, value, time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS start FROM events),
+c AS (SELECT * FROM a UNION ALL SELECT a.* FROM a, top WHERE event_id % 20 = 0 AND start + INTERVAL 1 HOUR > t - INTERVAL 2 HOUR)"""
+
 
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of three files in their order of arrival: the older half, the newer half, and a twentieth of all again,
+    most of which is late by then."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    middle = events.agg(F.percentile(F.unix_micros("ts"), F.lit(0.5)).alias("m")).scalar()
+    older = F.unix_micros("ts") <= middle
+    for part in (events.where(older), events.where(~older), events.where("event_id % 20 = 0")):
+        part.coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
-def _complete(streamed: DataFrame, spark: SparkSession) -> DataFrame:
-    """The final state of a streaming aggregation: each micro-batch replaces the table."""
-    at = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
-    done = streamed.writeStream.outputMode("complete").option("checkpointLocation", f"{at}-state").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(at)).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.read.schema(streamed.schema).parquet(at)
+
+@query(f"WITH {_ARRIVALS} SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM c GROUP BY 1, 2")
+def st1_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows over a stream with a watermark of two hours: late rows of closed windows are dropped, others count.
+
+    The rows of a batch are late by the watermark of the batch before the last one, here of the older half.
+    """
+    out = I.latest_updates(I.windowed_counts(_arrivals(spark, d), late="2 hours"), ["start", "event_type"], "windows")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""SELECT DISTINCT sha256 FROM asset_index_log WHERE sha256 <> ''""")
+@query("SELECT event_id FROM events")
 def st2_stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Hashes of a stream of arrivals, each once."""
-    rows = I.stream(spark, d, "asset_index_log").where("sha256 <> ''").select("sha256", F.timestamp_seconds("ingested_at").alias("at"))
-    return I.drain(I.first_seen(rows, ["sha256"], "at"), "dedupe").select("sha256")
+    """Events that arrive again are dropped: within two hours of the watermark as known ones, before it as late ones."""
+    return I.drain(I.first_seen(_arrivals(spark, d), ["event_id"], "ts", "2 hours"), "dedupe").select("event_id")
 
 
 @query("""SELECT DISTINCT metadata.asset_id AS id FROM parsed_chunks WHERE metadata.asset_id IS NOT NULL""")

@@ -53,9 +53,13 @@ ch AS (SELECT chunk_id AS id, coalesce(metadata.asset_id, '') AS asset_id, coale
   list_transform(coalesce(metadata.images, []), lambda x: x.path) AS images FROM parsed_chunks)"""
 
 
-def chunk_payload(spark: SparkSession, d: str) -> DataFrame:
+def chunk_payload(spark: SparkSession, d: str, hits: DataFrame | None = None) -> DataFrame:
+    """What a hit shows; only of the chunks of ``hits`` (chunk_id) if they are given, before any text is put together."""
     m = F.col("metadata")
-    return table(spark, d, "parsed_chunks").select("chunk_id", F.coalesce(m.asset_id, F.lit("")).alias("asset_id"), F.coalesce(m.asset_title, F.lit("")).alias("title"), (m.source_type == "image").alias("is_image"), vectors.evidence(m.asset_title, m.section, F.col("text")).alias("evidence"), F.transform(F.coalesce(m.images, F.array().cast("array<struct<path:string,figure_id:int,caption:string,page:int>>")), lambda x: x.path).alias("images"))
+    rows = table(spark, d, "parsed_chunks")
+    if hits is not None:
+        rows = rows.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return rows.select("chunk_id", F.coalesce(m.asset_id, F.lit("")).alias("asset_id"), F.coalesce(m.asset_title, F.lit("")).alias("title"), (m.source_type == "image").alias("is_image"), vectors.evidence(m.asset_title, m.section, F.col("text")).alias("evidence"), F.transform(F.coalesce(m.images, F.array().cast("array<struct<path:string,figure_id:int,caption:string,page:int>>")), lambda x: x.path).alias("images"))
 
 
 @query(f"WITH {_CHUNK} SELECT id AS chunk_id, evidence FROM ch")
@@ -68,9 +72,10 @@ fu AS (SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT
 
 
 def fused(spark: SparkSession, d: str, zh: DataFrame | None = None) -> DataFrame:
+    """Both lexical channels; the result has a few rows for each query and is written once."""
     zh = X.zh_hits(spark, d) if zh is None else zh
     lists = X.en_hits(spark, d).withColumn("route", F.lit("en")).unionByName(zh.withColumn("route", F.lit("zh")))
-    return fusion.fuse_channels(lists.withColumnRenamed("id", "chunk_id"), {"en": 0.4, "zh": 0.6})
+    return materialize(fusion.fuse_channels(lists.withColumnRenamed("id", "chunk_id"), {"en": 0.4, "zh": 0.6}), "fused")
 
 
 @query(f"WITH {X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN}, {_FUSED} SELECT query_id, id AS chunk_id, score FROM fu")
@@ -92,8 +97,10 @@ _ALL = f"{X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN}, {_FUSED}, {_CHUNK}, {_MERGED.rep
 
 def route_hits(spark: SparkSession, d: str) -> DataFrame:
     # Ranked lists are a few rows for each query; both routes read the same one.
-    ch, zh = chunk_payload(spark, d), materialize(X.zh_hits(spark, d), "ranked")
-    text = fused(spark, d, zh).join(ch.where(~F.coalesce("is_image", F.lit(False))), "chunk_id").withColumn("route", F.lit("text"))
+    zh = materialize(X.zh_hits(spark, d), "ranked")
+    both = fused(spark, d, zh)
+    ch = materialize(chunk_payload(spark, d, both.select("chunk_id").union(zh.select("id"))), "payload")
+    text = both.join(ch.where(~F.coalesce("is_image", F.lit(False))), "chunk_id").withColumn("route", F.lit("text"))
     image = zh.select("query_id", F.col("id").alias("chunk_id"), "score").join(ch.where("is_image"), "chunk_id").withColumn("route", F.lit("text_to_image"))
     cols = ["query_id", "route", "chunk_id", "asset_id", "title", "evidence", "score", "images"]
     return text.select(*cols).unionByName(image.select(*cols))
@@ -122,13 +129,20 @@ bl AS (SELECT query_id, id, score, round(ce, 6) AS ce, round(7e-1 * o1 + 3e-1 *
 @query(f"WITH {X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN}, {_FUSED}, {_CHUNK}, {_RERANK} SELECT query_id, id AS chunk_id, ce, blended, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, score DESC, id) AS rank FROM bl) WHERE rank <= 10")
 def r1_reranked(spark: SparkSession, d: str) -> DataFrame:
     toks = lambda c: F.transform(T.tokens(c), F.lower)
-    hits = fused(spark, d).join(chunk_payload(spark, d), "chunk_id").join(X.asked(spark, d), "query_id")
+    both = fused(spark, d)
+    hits = both.join(chunk_payload(spark, d, both), "chunk_id").join(X.asked(spark, d), "query_id")
     hits = hits.withColumn("ce", fusion.overlap_score(toks(F.col("raw")), toks(F.col("evidence")))).withColumn("raw_score", F.col("score")).withColumn("is_image", F.coalesce("is_image", F.lit(False)))
     return fusion.rerank(hits, 0.7, 10).select("query_id", "chunk_id", F.round("ce", 6).alias("ce"), "blended", "rank")
 
 
-@query("""SELECT s.task_seq AS query_id, s.ix::INT AS "index", coalesce(a.score, 0e0) AS score FROM (SELECT task_seq, unnest(range(0, len(uploaded_files))) AS ix FROM task_records WHERE len(uploaded_files) > 0) s
-LEFT JOIN (SELECT task_seq, generate_subscripts(uploaded_files, 1) - 1 AS ix, length(unnest(uploaded_files))::DOUBLE AS score, unnest(uploaded_files) AS file FROM task_records) a ON s.task_seq = a.task_seq AND s.ix = a.ix AND a.file LIKE '%.pdf'""")
+_IMAGES = "(SELECT chunk_id, (generate_subscripts(metadata.images, 1) - 1)::INT AS ix, unnest(metadata.images) AS i, metadata.asset_title AS title FROM parsed_chunks)"
+
+
+@query(f"""WITH t AS (SELECT chunk_id, ix, i.figure_id AS figure_id, list_transform(regexp_extract_all(coalesce(title, ''), '[A-Za-z0-9]+|[一-鿿]+'), lambda x: lower(x)) AS a, list_transform(regexp_extract_all(coalesce(i.path, ''), '[A-Za-z0-9]+|[一-鿿]+'), lambda x: lower(x)) AS b FROM {_IMAGES})
+SELECT chunk_id AS query_id, ix AS "index", CASE WHEN figure_id IS NULL THEN 0e0 WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_distinct(list_intersect(a, b)))::DOUBLE / len(list_distinct(list_concat(a, b))) ELSE 0e0 END AS score FROM t""")
 def r3_aligned_scores(spark: SparkSession, d: str) -> DataFrame:
-    tasks = table(spark, d, "task_records").where("size(uploaded_files) > 0").select(F.col("task_seq").alias("query_id"), F.posexplode("uploaded_files").alias("index", "file"))
-    return fusion.align_scores(tasks.select("query_id", "index"), tasks.where("file like '%.pdf'").select("query_id", "index", F.length("file").cast("double").alias("score")))
+    """A reader that answers by index scores the numbered images of a chunk against its title; images without an answer get 0."""
+    toks = lambda c: F.transform(T.tokens(c), F.lower)
+    images = table(spark, d, "parsed_chunks").select(F.col("chunk_id").alias("query_id"), "metadata.asset_title", F.posexplode("metadata.images").alias("index", "i"))
+    answers = images.where("i.figure_id is not null").select("query_id", "index", fusion.overlap_score(toks(F.coalesce("asset_title", F.lit(""))), toks(F.coalesce("i.path", F.lit("")))).alias("score"))
+    return fusion.align_scores(images.select("query_id", "index"), answers)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import ids
 from corvane.functions import text as T
+from corvane.operators import index as I
 from corvane.operators import state as S
+from corvane.plans import lexical_queries as X
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import shared_dir, table
 
 _LATEST = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY log_seq DESC) AS rn FROM asset_index_log) WHERE rn = 1)"
 _ROW = "log_seq, asset_id, sha256, source_type, asset_title, ingested_at, deleted"
@@ -64,12 +68,12 @@ def i11_asset_detail(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("asset_id", "in_index", F.coalesce("parsed", F.lit(False)).alias("parsed"), F.coalesce("has_blocks", F.lit(False)).alias("has_blocks"))
 
 
-_NAME = "'text:' || coalesce(metadata.asset_id, '') || ':' || coalesce(metadata.page::VARCHAR, 'None') || ':' || coalesce(metadata.chunk_index, 0)::VARCHAR"
-_POINT = f"(SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, parser FROM (SELECT chunk_id, metadata.parser AS parser, sha1(unhex('{ids.URL_NAMESPACE}') || encode({_NAME})) AS h FROM parsed_chunks))"
+_NAME = "'text:' || coalesce(metadata.asset_id, '') || ':' || coalesce(metadata.page::VARCHAR, 'None') || ':' || md5(coalesce(text, ''))"
+_POINT = f"(SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id, asset_id FROM (SELECT chunk_id, metadata.asset_id AS asset_id, sha1(unhex('{ids.URL_NAMESPACE}') || encode({_NAME})) AS h FROM parsed_chunks))"
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", "parser", ids.point_id(F.col("asset_id"), F.col("page"), F.coalesce("chunk_index", F.lit(0))).alias("id"))
+    return _chunks(spark, d).select("chunk_id", "asset_id", ids.point_id(F.col("asset_id"), F.col("page"), F.col("text")).alias("id"))
 
 
 @query(f"SELECT chunk_id, id FROM {_POINT}")
@@ -77,17 +81,52 @@ def i1_point_ids(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d).select("chunk_id", "id")
 
 
-@query(f"SELECT chunk_id, id FROM {_POINT} WHERE id NOT IN (SELECT id FROM {_POINT} WHERE parser = 'docling')")
+@query(f"SELECT chunk_id, id FROM {_POINT} WHERE id NOT IN (SELECT id FROM {_POINT} WHERE asset_id IN (SELECT asset_id FROM asset_index_log WHERE batch_id <= 5))")
 def i2_new_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of assets beyond the first five batches, which are stored already."""
     points = _points(spark, d)
-    return S.new_points(points, points.where("parser = 'docling'")).select("chunk_id", "id")
+    stored = _log(spark, d).where("batch_id <= 5").select("asset_id").distinct()
+    return S.new_points(points, points.join(stored, "asset_id", "left_semi")).select("chunk_id", "id")
+
+
+@query(f"""WITH RECURSIVE {X.ZH.replace("(SELECT chunk_id AS id, " + X.INDEXED + " AS text FROM parsed_chunks)", "(SELECT id, arg_min(text, (chunk_id % 2) * 1000000000 + chunk_id) AS text FROM " + _POINT.replace("sha1(", X.INDEXED + " AS text, sha1(").replace("AS id, asset_id FROM", "AS id, text FROM") + " GROUP BY id)")}, {X.ZH_Q}, {X.ZH_HITS}
+SELECT query_id, id, score, rank::INT AS rank FROM zr WHERE rank <= 10""")
+def i2_text_index(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index: built with every other chunk, then with all, of which only the new points are added; searched by its terms."""
+    at = I.TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    rows = table(spark, d, "parsed_chunks").select("chunk_id", "metadata.asset_id", "metadata.page", "text", "metadata.context")
+    at.build(rows.where("chunk_id % 2 = 0"))
+    at.build(rows)
+    return at.search(X.asked(spark, d), 10)
+
+
+@query(f"SELECT DISTINCT id FROM {_POINT} WHERE asset_id IS NULL OR asset_id NOT IN (SELECT asset_id FROM asset_index_log WHERE deleted)")
+def i10_deleted_from_index(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index after the deletion of assets; a dry run before it changes nothing."""
+    at = I.TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    at.build(table(spark, d, "parsed_chunks").select("chunk_id", "metadata.asset_id", "metadata.page", "text", "metadata.context"))
+    gone = _log(spark, d).where("deleted").select("asset_id")
+    at.delete(gone, dry_run=True).count()
+    at.delete(gone)
+    return at.points().select("id")
+
+
+@query("SELECT 'points_64d' AS name UNION ALL SELECT 'points'")
+def s14_collections(spark: SparkSession, d: str) -> DataFrame:
+    """The stored collections of one base name; others and missing ones are not listed, and a missing one reads as empty."""
+    folder = f"{shared_dir(spark)}/collections-{uuid.uuid4().hex}"
+    pts = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    for name in ("points", I.collection_name("points", 64), "points_old", "pointless"):
+        I.append_collection(pts.where("id < 3"), folder, name)
+    empty = I.read_collection(spark, folder, "missing", pts.schema)
+    return spark.createDataFrame([(n,) for n in I.collections(spark, folder, "points")], "name string").union(empty.select(F.col("id").cast("string")))
 
 
 @query("""WITH n AS (SELECT task_seq, generate_subscripts(uploaded_files, 1) AS ix, unnest(uploaded_files) AS file FROM task_records), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY task_seq, ix) AS rn FROM n)
 SELECT task_seq, (ix - 1)::INT AS item_ix, CASE WHEN rn > 1 THEN regexp_replace(file, '\\.[^.]*$', '') || '_' || rn || regexp_extract(file, '(\\.[^.]*)$', 1) ELSE file END AS target FROM r""")
 def i15_unique_names(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "task_records").select("task_seq", F.posexplode("uploaded_files").alias("item_ix", "file")).withColumn("ord", F.struct("task_seq", "item_ix"))
-    return S.unique_names(files, "file", "ord").select("task_seq", "item_ix", "target")
+    files = table(spark, d, "task_records").select("task_seq", F.posexplode("uploaded_files").alias("item_ix", "file"))
+    return S.unique_names(files, "file", ["task_seq", "item_ix"]).select("task_seq", "item_ix", "target")
 
 
 @query("""SELECT log_seq, coalesce(nullif(trim(asset_title), ''), nullif(trim(regexp_replace(relative_path, '^.*/', '')), ''), asset_id) AS title FROM asset_index_log""")

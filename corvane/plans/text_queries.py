@@ -56,7 +56,7 @@ _CORRECT = """
 vocab AS (SELECT DISTINCT lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[一-鿿]+'))) AS word FROM parsed_chunks),
 qt AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(raw, ''), '[A-Za-z0-9]+|[一-鿿]+')) AS token FROM preprocessed_queries),
 unknown AS (SELECT token, lower(token) AS low FROM qt WHERE regexp_matches(token, '^[A-Za-z0-9]{4,}$') AND lower(token) NOT IN (SELECT word FROM vocab)),
-cand AS (SELECT token, word, levenshtein(low, word) AS distance FROM unknown JOIN vocab ON substr(low, 1, 1) = substr(word, 1, 1) AND abs(length(low) - length(word)) <= 2 WHERE regexp_matches(word, '^[a-z0-9]+$')),
+cand AS (SELECT token, word, levenshtein(low, word) AS distance FROM unknown JOIN vocab ON abs(length(low) - length(word)) <= 2 WHERE regexp_matches(word, '^[a-z0-9]+$')),
 fixes AS (SELECT token, word AS correction, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, word) AS rn FROM cand WHERE distance <= 2) WHERE rn = 1)"""
 
 
@@ -65,6 +65,12 @@ def t7_corrections(spark: SparkSession, d: str) -> DataFrame:
     return querying.corrections(table(spark, d, "preprocessed_queries"), querying.vocabulary(table(spark, d, "parsed_chunks")))
 
 
+@query()
+def t7_ratio_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections by matching ratio, which SQL does not have; tested against a loop over the vocabulary."""
+    return querying.ratio_corrections(table(spark, d, "preprocessed_queries"), querying.vocabulary(table(spark, d, "parsed_chunks")))
+
+
 @query(f"""
 WITH {_CORRECT},
 q AS (SELECT DISTINCT query_id, raw, regexp_extract_all(coalesce(raw, ''), '[A-Za-z0-9]+|[一-鿿]+') AS toks FROM preprocessed_queries),
@@ -133,9 +139,9 @@ def t16_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT task_seq, substring(trim(regexp_replace(regexp_replace(regexp_replace(split_part(coalesce(error, ''), chr(10), 1), 'https?://[^ \\t"'')]+', '<url>', 'g'), 'host=[''"]?[A-Za-z0-9_.-]+[''"]?', 'host=<host>', 'g'), '\\b[A-Za-z0-9.-]+:[0-9]{2,5}\\b', '<host>', 'g')), 1, 240) AS error,
+SELECT task_seq, CASE WHEN line = '' THEN 'Error: <no message>' WHEN length(line) > 240 THEN substring(line, 1, 240) || '…' ELSE line END AS error,
   coalesce(lower(trim(cast(force AS varchar))) IN ('1','true','yes','y','on'), false) AS force
-FROM task_records""")
+FROM (SELECT *, regexp_replace(regexp_extract(regexp_replace(regexp_replace(regexp_replace(coalesce(error, ''), 'https?://[^ \\t"'')]+', '<url>', 'g'), 'host=[''"]?[A-Za-z0-9_.-]+[''"]?', 'host=<host>', 'g'), '\\b[A-Za-z0-9.-]+:[0-9]{2,5}\\b', '<host>:<port>', 'g'), '^[^\\n\\r]*'), '[\\x00-\\x08\\x0a-\\x1f]', '', 'g') AS line FROM task_records)""")
 def t26_errors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "task_records").select("task_seq", T.scrub_error(F.col("error")).alias("error"), T.as_bool(F.col("force").cast("string")).alias("force"))
 

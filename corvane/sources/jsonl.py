@@ -36,12 +36,13 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("deleted", F.coalesce("deleted", F.lit(False))).withColumn("tags", tags)
 
 
-def eval_cases(raw: DataFrame, col: str, version: str | None = None) -> DataFrame:
-    """(grp, case_ix, query, image_path, expected) of case files held in a column; other versions are refused."""
-    rows = raw.select(F.from_json(col, CASES).alias("c")).select("c.*").where("groups is not null")
+def eval_cases(raw: DataFrame, col: str, version: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, grp, case_ix, query, image_path, expected) of case files held in a column; other versions are refused."""
+    keys = keys or []
+    rows = raw.select(*keys, F.from_json(col, CASES).alias("c")).select(*keys, "c.*").where("groups is not null")
     if version is not None:
         rows = rows.where(F.col("version") == version)
-    return rows.select(F.explode("groups").alias("grp", "cases")).select("grp", F.posexplode("cases").alias("case_ix", "c")).select("grp", "case_ix", "c.query", "c.image_path", F.col("c.expected_asset_ids").alias("expected"))
+    return rows.select(*keys, F.explode("groups").alias("grp", "cases")).select(*keys, "grp", F.posexplode("cases").alias("case_ix", "c")).select(*keys, "grp", "case_ix", "c.query", "c.image_path", F.col("c.expected_asset_ids").alias("expected"))
 
 
 def report_json(metrics: DataFrame, keys: list[str]) -> DataFrame:

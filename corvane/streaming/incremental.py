@@ -31,7 +31,21 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 ho
     return timed.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def first_seen(rows: DataFrame, keys: list[str], time_col: str, late: str = "3650 days") -> DataFrame:
+def latest_updates(streamed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run a streaming aggregation in update mode and read the last value of each key; closed windows leave the state."""
+    spark = streamed.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        # A batch that runs again writes the same folder again.
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/part={number}")
+
+    streamed.writeStream.outputMode("update").option("checkpointLocation", f"{at}-state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(at).drop("part")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in streamed.columns if c not in keys]), "batch").alias("last")).select(*keys, "last.*")
+
+
+def first_seen(rows: DataFrame, keys: list[str], time_col: str, late: str) -> DataFrame:
     """The first row of each key, with state only as old as the watermark."""
     return rows.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
 

@@ -1,5 +1,8 @@
 """Small cases with results worked out by hand."""
 
+import io
+import zipfile
+
 import math
 import uuid
 
@@ -229,10 +232,17 @@ def test_tolerant_json_lines(spark, tmp_path):
 
 def test_sniffing(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
-    for name, data in {"a_b.pdf": b"%PDF-1.7", "c.png": png, "d.docx": b"PK\x03\x04", "e.zip": b"PK\x03\x04", "f.md": b"# x", "g.jpg": b"\xff\xd8\xff\xe0", "h.webp": b"RIFF0000WEBP"}.items():
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w") as out:
+        out.writestr("word/document.xml", "<x/>")
+    archive = whole.getvalue()
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x05\x00\x07\x03"
+    for name, data in {"a_b.pdf": b"%PDF-1.7", "c.png": png, "d.docx": archive, "e.zip": archive, "broken.docx": b"PK\x03\x04", "f.md": b"# x", "g.jpg": jpeg, "h.webp": b"RIFF0000WEBPVP8X" + bytes(8) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little"), "i.pdf": b"%PDF-1.4 <</Type /Pages>> <</Type /Page>> <</Type/Page >>"}.items():
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: r for r in sniff.sniff(spark, str(tmp_path)).collect()}
-    assert {k: r["format"] for k, r in got.items()} == {"a_b.pdf": "pdf", "c.png": "png", "d.docx": "office", "e.zip": "unknown", "f.md": "text", "g.jpg": "jpeg", "h.webp": "webp"}
+    assert {k: r["format"] for k, r in got.items()} == {"a_b.pdf": "pdf", "c.png": "png", "d.docx": "office", "e.zip": "unknown", "broken.docx": "unknown", "f.md": "text", "g.jpg": "jpeg", "h.webp": "webp", "i.pdf": "pdf"}
+    assert [(got[k]["width"], got[k]["height"]) for k in ("g.jpg", "h.webp", "f.md")] == [(7, 5), (100, 50), (None, None)]
+    assert got["i.pdf"]["pages"] == 2 and got["a_b.pdf"]["pages"] is None
     assert (got["c.png"]["width"], got["c.png"]["height"]) == (640, 480) and got["a_b.pdf"]["title"] == "A B"
 
 
@@ -245,7 +255,7 @@ def test_upsert_twice_adds_nothing(spark, tmp_path):
 def test_text_functions(spark):
     df = spark.createDataFrame([("<think>a\nb</think> c", "bad https://x.y/z at host:8080\nnext", " YES ", "a, b；a\n")], "t string, e string, b string, g string")
     row = df.select(T.strip_think(F.col("t")), T.scrub_error(F.col("e")), T.as_bool(F.col("b")), T.split_tags(F.col("g")), T.insecure_url(F.lit("http://a.b/c")), T.insecure_url(F.lit("http://localhost:1"))).first()
-    assert list(row) == ["c", "bad <url> at <host>", True, ["a", "b"], True, False]
+    assert list(row) == ["c", "bad <url> at <host>:<port>", True, ["a", "b"], True, False]
 
 
 @pytest.mark.parametrize("run", [1, 3, 1000])
@@ -303,3 +313,101 @@ def test_engine_modes_and_registry(spark):
     assert reg.get("parser", "x") is len and reg.names("parser") == ["x"]
     with pytest.raises(KeyError, match="there are: x"):
         reg.get("parser", "y")
+
+
+def test_ratio_corrections_equal_a_loop(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from corvane.operators import querying
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 16))) for _ in range(150)})
+    asked = []
+    for w in words[::2]:
+        x = list(w)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(x))
+            x[at : at + 1] = rng.choice([[], [rng.choice("abcd")], [x[at], rng.choice("abcd")], [x[at].upper()]])
+            x = x or ["a"]
+        asked.append("".join(x))
+    asked = [a for a in asked if len(a) >= 4]
+    got = {(r["token"], r["correction"]) for r in querying.ratio_corrections(spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "query_id long, raw string"), spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    want = set()
+    for a in set(asked):
+        if a.lower() not in words:
+            best = max(((SequenceMatcher(None, w, a.lower()).ratio(), w) for w in words), default=(0, ""))
+            if best[0] >= 0.85:
+                want.add((a, best[1]))
+    assert got == want and len(want) > 20
+
+
+def test_stat_block_equals_sorting(spark):
+    import random
+
+    from corvane.operators import evaluation
+
+    rng = random.Random(4)
+    rows = [("a", float(rng.choice([1, 1, 1, 2, 7.5, rng.random() * 100]))) for _ in range(997)] + [("b", 3.0)] * 40 + [("c", None), ("c", 5.0), ("d", None)]
+    got = {r["k"]: r for r in evaluation.stat_block(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in "abc":
+        vals = sorted(v for g, v in rows if g == k and v is not None)
+        assert [got[k][f"p{q}"] for q in (50, 95, 99)] == [vals[max(int(q / 100 * len(vals)), 1) - 1] for q in (50, 95, 99)]
+        assert (got[k]["n"], got[k]["min"], got[k]["max"]) == (len(vals), vals[0], vals[-1])
+    assert set(got) == set("abc")
+
+
+def test_nearest_vectors_in_small_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from corvane.operators import vectors
+
+    rng = np.random.default_rng(5)
+    m = rng.integers(-2, 3, (120, 8)).astype(float)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(500, None)], "id long, vec array<double>")
+    asked = points.where("id % 10 = 0 or id = 500").withColumnRenamed("id", "query_id")
+    unit = vectors.unit(m)
+    want = {(q, i, r + 1) for q in range(0, 120, 10) for r, i in enumerate(sorted(range(120), key=lambda j: (-round(float(unit[q] @ unit[j]), 5), j))[:7])}
+    for query_bytes, score_bytes in ((16 << 20, 64 << 20), (256, 400)):
+        monkeypatch.setattr(vectors, "QUERY_BYTES", query_bytes)
+        monkeypatch.setattr(vectors, "SCORE_BYTES", score_bytes)
+        assert {(r["query_id"], r["id"], r["rank"]) for r in vectors.top_k(points, asked, 7).collect()} == want
+
+
+def test_text_index_life(spark, tmp_path):
+    from corvane.operators.index import TextIndex
+
+    rows = [(1, "a", 1, "水泵 台账 pump"), (2, "a", 1, "水泵 台账 pump"), (3, "b", None, "valve chart"), (4, "b", None, None)]
+    chunks = spark.createDataFrame([(*r, None, "title") for r in rows], "chunk_id long, asset_id string, page int, text string, context string, asset_title string")
+    asked = spark.createDataFrame([(7, "pump"), (8, "nothing known")], "query_id long, raw string")
+    at = TextIndex(spark, f"{tmp_path}/index")
+    assert at.search(asked, 5).count() == 0 and at.points().count() == 0
+    assert at.build(chunks.where("chunk_id = 1")) == 1
+    assert at.build(chunks) == 2 and at.build(chunks) == 0
+    assert [r["query_id"] for r in at.search(asked, 5).collect()] == [7]
+    gone = spark.createDataFrame([("a",)], "asset_id string")
+    assert at.delete(gone, dry_run=True).first()["points"] == 1 and at.search(asked, 5).count() == 1
+    at.delete(gone)
+    assert at.search(asked, 5).count() == 0 and at.points().count() == 2
+    assert at.build(chunks) == 1 and at.search(asked, 5).count() == 1
+    assert at.build(chunks, force=True, cap=1) == 2
+
+
+def test_names_are_numbered_alike_in_blocks_of_any_size(spark):
+    from corvane.operators import state
+
+    rows = spark.createDataFrame([(t, i, "a.pdf" if (t + i) % 2 else None) for t in range(9) for i in range(3)], "task_seq long, item_ix int, file string")
+    want = sorted(map(str, state.unique_names(rows, "file", ["task_seq", "item_ix"], 1000).collect()))
+    assert sorted(map(str, state.unique_names(rows, "file", ["task_seq", "item_ix"], 2).collect())) == want and any("a_13.pdf" in w for w in want)
+
+
+def test_enriched_chunks(spark):
+    from corvane.operators import figures
+
+    blocks = spark.createDataFrame([("a", 0, 1, "Pump report", "Pump report"), ("a", 0, 2, "As Figure 2 shows, the pump valve holds. Pump valve.", "")], "asset_id string, page int, ord int, text string, heading string")
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    images = spark.createDataFrame([("a", 0, 1, "images/p.png", (0.0, 0.0, 50.0, 50.0))], f"asset_id string, page int, image_ix int, path string, image_bbox {box}")
+    lines = spark.createDataFrame([("a", 0, 9, "Figure 2: the pump", (0.0, 60.0, 50.0, 70.0))], f"asset_id string, page int, line_ix int, text string, bbox {box}")
+    out = chunking.enriched_documents(blocks, images, figures.captions(lines, images)).collect()
+    assert [i["path"] for r in out for i in r["images"]] == ["images/p.png"]
+    assert all("关键词: " in r["text"] for r in out) and "Pump" in out[-1]["text"]
