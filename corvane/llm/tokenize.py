@@ -88,8 +88,8 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(directory).encode_ordinary
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 ids = [[x for piece in pieces(t, chunk_chars, overlap_chars) for x in encode(piece)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["rid", "ids"])
 
