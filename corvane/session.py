@@ -9,15 +9,19 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: str | None = None
 _SHIPPED: set[str] = set()
+_FOLDERS: dict[str, str] = {}
 
 
-def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corvane") -> SparkSession:
-    """A local session with adaptive execution, used by tests and the benchmark."""
+def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corvane", checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session with adaptive execution, used by tests and the benchmark.
+
+    Its ``spark.checkpoint.dir`` is ``checkpoint_dir``, by default a folder of this machine, which is all a local session has.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -27,34 +31,54 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", checkpoint_dir or f"file://{tempfile.gettempdir()}/corvane-shared")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: ``spark.checkpoint.dir`` if the session names one.
+    """The folder of this application for intermediate tables, below ``spark.checkpoint.dir``; it goes when the application ends.
 
-    A temporary folder is made only where the setting is absent, as in tests.
+    Where the setting is absent, a local session uses a temporary folder and any other the warehouse, which its executors share.
     """
-    global _OWN_DIR
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _OWN_DIR is None:
-        _OWN_DIR = tempfile.mkdtemp(prefix="corvane-")
-        atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
-    return "file://" + os.path.abspath(_OWN_DIR)
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            local = context.master.startswith("local[") or context.master == "local"
+            named = f"file://{tempfile.gettempdir()}/corvane-shared" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_corvane"
+        folder = f"{named.rstrip('/')}/{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[context.applicationId] = folder
+    return _FOLDERS[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The table survives the loss of any executor. Nothing is kept in memory.
+    The table survives the loss of any executor. Nothing is kept in memory; the table goes with its application, or by :func:`drop`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table of :func:`materialize` that no later step reads."""
+    path = _TABLES.pop(df, None)
+    if path is not None:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
