@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import materialize
+from corvane.session import drop, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("b < a")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        last = step
         step = materialize(small.where("a <> b").distinct(), "edges")
+        drop(last)
         mark = step.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if before == tuple(mark):
             break

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.arrow import map_rows
-from corvane.session import materialize
+from corvane.session import drop, materialize
 
 OPEN_WINDOWS = 128
 MERGE_GROUP = 4096
@@ -76,20 +76,18 @@ def pack(items: DataFrame, capacities: DataFrame, id_col: str = "doc_id", size_c
     placed = materialize(map_rows(src, run, f"pack_id int, container string, rid {kind}, piece int, piece_tokens long, shared boolean"), "packed")
     fills = placed.where("shared").groupBy("pack_id", "container").agg(F.sum("piece_tokens").alias("fill"))
     caps = dict(plans)
-    # Emitted windows are nearly full; only the ones with room to spare are worth merging.
-    loose = fills.where(_has_room(caps)).withColumnRenamed("container", "part")
+    fills = materialize(fills, "fills")
+    # A window can be merged only if the emptiest one of its capacity would fit.
+    least = fills.groupBy("pack_id").agg(F.min("fill").alias("least"))
+    limit = F.lit(0).cast("long")
+    for p, c in plans:
+        limit = F.when(F.col("pack_id") == p, F.lit(c).cast("long")).otherwise(limit)
+    loose = fills.join(least, "pack_id").where(F.col("fill") + F.col("least") <= limit).drop("least").withColumnRenamed("container", "part")
     mapping = merge_leftovers(loose, caps, merge_group)
     out = placed.join(mapping, (placed.pack_id == mapping.m_pack) & (placed.container == mapping.part), "left")
     return out.select(placed.pack_id, F.coalesce("target", "container").alias("container"), placed.rid.alias(id_col), "piece", "piece_tokens")
 
 
-def _has_room(caps: dict[int, int], share: float = 0.02):
-    test = F.lit(False)
-    for p, c in caps.items():
-        test = test | ((F.col("pack_id") == p) & (F.col("fill") <= c - max(1, int(c * share))))
-    return test
-
-
 def merge_leftovers(loose: DataFrame, caps: dict[int, int], merge_group: int = MERGE_GROUP) -> DataFrame:
     """``(m_pack, part, target)``: the container that takes the content of each leftover window.
 
@@ -118,12 +116,14 @@ def merge_leftovers(loose: DataFrame, caps: dict[int, int], merge_group: int = M
         moved = map_rows(dealt, fit, "pack_id int, target string, next string")
         named = moved.withColumn("next", F.concat(F.lit(f"r{turn}"), "next"))
         fills = named.join(level, ["pack_id", "target"]).groupBy("pack_id", "next").agg(F.sum("fill").alias("next_fill"))
+        last = step
         step = materialize(
             step.select("pack_id", "part", "target").join(named, ["pack_id", "target"]).join(fills, ["pack_id", "next"]).select("pack_id", "part", F.col("next").alias("target"), F.col("next_fill").alias("fill")),
             "leftover",
         )
         turn += 1
         before = n
+        drop(last)
         if groups == 1:
             break
     return step.select(F.col("pack_id").alias("m_pack"), "part", "target")
