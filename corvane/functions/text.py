@@ -128,3 +128,18 @@ def last_sentences(col: Column, n: int = 2, most: int = 200) -> Column:
 def insecure_url(col: Column) -> Column:
     """Plain http to a host that is not this machine."""
     return (F.lower(F.regexp_extract(col, "^([A-Za-z]+)://", 1)) == "http") & ~F.regexp_extract(col, "^[A-Za-z]+://([^/:?#]+)", 1).isin("localhost", "127.0.0.1", "::1", "")
+
+
+def safe_path(col: Column) -> Column:
+    """Whether a path stays below its folder: relative, without drive, back slash, NUL, blank name or a step upwards."""
+    path = F.coalesce(col, F.lit(""))
+    return (F.trim(path) != "") & ~path.rlike(r"^/|\\|\x00|^[A-Za-z]:|(?:^|/)\.\.(?:/|$)")
+
+
+def clean_options(col: Column, allowed: dict[str, tuple[str, ...]]) -> Column:
+    """The entries of a map of options whose key is known and whose value, trimmed and in lower case, is allowed."""
+    plain = F.transform_values(F.coalesce(col, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(F.trim(v)))
+    test = lambda k, v: F.lit(False)
+    for name, values in allowed.items():
+        test = lambda k, v, before=test, name=name, values=values: before(k, v) | ((k == name) & v.isin(*values))
+    return F.map_filter(plain, lambda k, v: F.coalesce(test(k, v), F.lit(False)))

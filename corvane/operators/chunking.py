@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pandas as pd
@@ -137,6 +137,19 @@ def split_bodies(rows: DataFrame, body_col: str = "body", target: int = 500, mos
     return small.union(rows.where(~fits).withColumn("pieces", cut(body_col))).select(*rows.columns, F.posexplode("pieces").alias("piece_ix", "piece"))
 
 
+def token_counter(name: str | None) -> Callable[[Column], Column]:
+    """The counter of a registered tokenizer, or the approximation by characters where there is none of that name."""
+    from corvane.operators.engine import registry
+
+    return registry.get("tokenizer", name) if name in registry.names("tokenizer") else T.approx_tokens
+
+
+def split_sections(texts: DataFrame, id_col: str, text_col: str, target: int = 500, most: int = 800, overlap: int = 60) -> DataFrame:
+    """(id, section, heading, piece_ix, piece): texts cut at headings, and every section to the token budget."""
+    rows = sections(mark_headings(lines_of(texts, id_col, text_col))).where("body <> ''")
+    return split_bodies(rows, "body", target, most, overlap).drop("body")
+
+
 def number_sections(blocks: DataFrame, run: int = ORDER_RUN) -> DataFrame:
     """Adds ``part``, the running number of the section within the asset.
 

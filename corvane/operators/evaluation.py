@@ -122,3 +122,10 @@ def stat_block(df: DataFrame, keys: list[str], value: str, digits: int = 6, buck
     rank = lambda q: F.greatest(F.floor(F.lit(q) / 100 * F.col("n")), F.lit(1))
     points = placed.join(whole.select(*keys, "n"), keys).groupBy(*keys).agg(*[F.min(F.when(F.col("place") >= rank(q), F.col("v"))).alias(f"p{q}") for q in (50, 95, 99)])
     return whole.join(points, keys).select(*keys, "n", "mean", "p50", "p95", "p99", "min", "max")
+
+
+def throughput(runs: DataFrame, keys: list[str], seconds: str, items: str, digits: int = 6) -> DataFrame:
+    """(*keys, runs, per_second, runs_per_second) of timed runs: items and runs by the time that was spent; untimed runs are left out."""
+    timed = runs.where(F.col(seconds) > 0)
+    spent = F.sum(seconds)
+    return timed.groupBy(*keys).agg(F.count("*").alias("runs"), F.round(F.sum(items) / spent, digits).alias("per_second"), F.round(F.count("*") / spent, digits).alias("runs_per_second"))

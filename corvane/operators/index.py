@@ -97,6 +97,11 @@ class TextIndex:
     def _bucket(self):
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
 
+    def idf(self) -> DataFrame:
+        """(term, df, idf) of what is stored now."""
+        stored = self._live(read_collection(self.spark, self.folder, "postings", f"{POSTING}, run string, bucket int"))
+        return lexical.idf_table(stored, lexical.corpus_stats(self.points()))
+
     def search(self, queries: DataFrame, n: int) -> DataFrame:
         """(query_id, id, score, rank) of the queries (query_id, raw); none where nothing is stored."""
         tokens = queries.select("query_id", T.zh_tokens(F.col("raw")).alias("tokens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,31 @@ def keywords(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame
 def enrich(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame:
     """All columns and ``enriched``: the text with its keyword footer."""
     return df.join(keywords(df, id_col, text_col, k), id_col).withColumn("enriched", T.keyword_footer(F.col(text_col), F.col("keywords")))
+
+
+def textrank(df: DataFrame, id_col: str, text_col: str, k: int = 8, window: int = 5, damping: float = 0.85, rounds: int = 30) -> DataFrame:
+    """``(id, keywords)``: tokens of three or more characters, and pairs of Han characters, ranked by the graph of those that stand
+    within ``window`` places of each other; ties by first place. A text is ranked by itself, in Arrow batches."""
+    han = F.filter(T.zh_tokens(T.strip_images(F.col(text_col))), lambda t: t.rlike("^[一-鿿]{2}$") | ((F.length(t) >= 3) & t.rlike("^[A-Za-z]") & ~F.lower(t).isin(*T.EN_STOPWORDS)))
+
+    @F.pandas_udf("array<string>")
+    def rank(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda toks: _ranked(list(toks), k, window, damping, rounds))
+
+    return df.select(id_col, rank(han).alias("keywords"))
+
+
+def _ranked(toks: list[str], k: int, window: int, damping: float, rounds: int) -> list[str]:
+    names = list(dict.fromkeys(toks))
+    if not names:
+        return []
+    place = {t: i for i, t in enumerate(names)}
+    at = np.array([place[t] for t in toks])
+    one, two = (np.concatenate(x) for x in zip(*((at[:-d], at[d:]) for d in range(1, min(window, len(at)))), strict=True)) if len(at) > 1 else (np.zeros(0, int), np.zeros(0, int))
+    apart = one != two
+    a, b = np.concatenate((one[apart], two[apart])), np.concatenate((two[apart], one[apart]))
+    out = np.bincount(a, minlength=len(names)).astype(float)
+    score = np.ones(len(names))
+    for _ in range(rounds):
+        score = 1 - damping + damping * np.bincount(b, (score / np.maximum(out, 1))[a], len(names))
+    return [names[i] for i in np.lexsort((np.arange(len(names)), -np.round(score, 9)))[:k]]

@@ -92,3 +92,30 @@ def progress(tasks: DataFrame, now: Column) -> DataFrame:
     elapsed = F.round(F.coalesce("finished_at", now) - F.col("started_at"), 3)
     share = F.when(F.col("total") > 0, F.round(F.col("processed") / F.col("total"), 3)).otherwise(F.lit(0.0))
     return tasks.select("task_seq", elapsed.alias("elapsed"), share.alias("progress"))
+
+
+def put_tasks(rows: DataFrame, store: str) -> None:
+    """Write task rows to a store: rows are appended, and :func:`tasks` shows the last one of each task."""
+    rows.write.mode("append").parquet(store)
+
+
+def tasks(store: DataFrame, order: str = "task_seq") -> DataFrame:
+    """The store of :func:`put_tasks` as its users see it."""
+    return latest(store, ["task_id"], order)
+
+
+def parse_statuses(assets: DataFrame, parsed: DataFrame, readable: DataFrame, force: bool = False) -> DataFrame:
+    """(asset_id, status) of a parse run: 'skipped' where chunks exist and nothing is forced, 'ok' where there is something to read,
+    else 'failed'."""
+    flag = lambda df, name: df.select("asset_id").where("asset_id is not null").distinct().withColumn(name, F.lit(True))
+    rows = assets.select("asset_id").distinct().join(flag(parsed, "cached"), "asset_id", "left").join(flag(readable, "there"), "asset_id", "left")
+    return rows.select("asset_id", F.when(F.col("cached") & F.lit(not force), "skipped").when(F.col("there") | F.col("cached"), "ok").otherwise("failed").alias("status"))
+
+
+def upload_preview(files: DataFrame, most_chars: int) -> DataFrame:
+    """(id, verdict, same_as) of uploads (id, sha, size): refused, a copy of the first file with its hash, or new."""
+    first = files.where("size > 0").groupBy("sha").agg(F.min("id").alias("first"))
+    rows = files.join(first, "sha", "left")
+    refused = (F.col("size") <= 0) | (F.col("size") > most_chars)
+    copy = F.col("first") != F.col("id")
+    return rows.select("id", F.when(refused, "rejected").when(copy, "duplicate").otherwise("new").alias("verdict"), F.when(~refused & copy, F.col("first")).alias("same_as"))

@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for name in ("text_queries", "lexical_queries", "search_queries", "evaluation_queries", "state_queries", "content_queries", "relational_queries", "parsing_queries", "dense_queries"):
+    for name in ("text_queries", "lexical_queries", "search_queries", "evaluation_queries", "state_queries", "content_queries", "relational_queries", "parsing_queries", "dense_queries", "storage_queries"):
         importlib.import_module(f"corvane.plans.{name}")
 
 

@@ -411,3 +411,48 @@ def test_enriched_chunks(spark):
     out = chunking.enriched_documents(blocks, images, figures.captions(lines, images)).collect()
     assert [i["path"] for r in out for i in r["images"]] == ["images/p.png"]
     assert all("关键词: " in r["text"] for r in out) and "Pump" in out[-1]["text"]
+
+
+def test_textrank_prefers_what_has_many_neighbours(spark):
+    from corvane.operators import keywords
+
+    df = spark.createDataFrame([(1, "pump valve. pump chart. pump table. pump gauge"), (2, None), (3, "水泵台账 the of"), (4, "pump pump")], "id int, text string")
+    got = {r["id"]: r["keywords"] for r in keywords.textrank(df, "id", "text", k=3).collect()}
+    assert got[1][0] == "pump" and got[2] == [] and set(got[3]) == {"水泵", "泵台", "台账"} and got[4] == ["pump"]
+
+
+def test_paths_options_and_contexts(spark):
+    from corvane.operators import lexical
+
+    paths = ["a/b.pdf", "../a", "a/../b", "a/..", "..a/b..", "/a", "C:/a", "a\\b", "", None, " "]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.select(T.safe_path(F.col("p"))).collect()] == [True, False, False, False, True, False, False, False, False, False, False]
+    df = spark.createDataFrame([({"a": " X ", "b": "no", "c": "x", "d": None},), (None,)], "m map<string,string>")
+    assert [r[0] for r in df.select(T.clean_options(F.col("m"), {"a": ("x",), "b": ("yes",), "d": ("x",)})).collect()] == [{"a": "x"}, {}]
+    chunks = spark.createDataFrame([(1, "a", "t"), (2, "a", None), (3, None, "t")], "id int, asset_id string, text string")
+    cache = chunks.select(lexical.context_key(F.col("asset_id"), F.col("text")).alias("key"), F.when(F.col("id") < 3, F.concat(F.lit("c"), F.col("id"))).otherwise(" ").alias("context"))
+    assert {r["id"]: r["context"] for r in lexical.with_context(chunks, cache).collect()} == {1: "c1", 2: "c2", 3: None}
+
+
+def test_a_missing_collection_is_empty(spark, tmp_path):
+    from corvane.operators import index
+    from corvane.sources import collection
+
+    collection.register(spark)
+    read = lambda at: spark.read.format(collection.NAME).schema("id long").option("path", at).load()
+    assert read(f"file://{tmp_path}/none").count() == 0 and index.collections(spark, f"{tmp_path}/none", "x") == []
+    index.append_collection(spark.range(10).repartition(3), f"file://{tmp_path}", "x")
+    assert sorted(r["id"] for r in read(f"file://{tmp_path}/x").collect()) == list(range(10))
+
+
+def test_dropped_tables_are_gone(spark):
+    from pathlib import Path
+
+    from corvane.session import drop, materialize, shared_dir
+
+    df = materialize(spark.range(5), "gone")
+    assert df.count() == 5
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.glob("gone-*")}
+    drop(df)
+    assert before and not list(folder.glob("gone-*"))
