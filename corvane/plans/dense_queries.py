@@ -10,7 +10,7 @@ from corvane.operators import embedding, fusion, vectors
 from corvane.plans import lexical_queries as X
 from corvane.plans import search_queries as SQ
 from corvane.plans.registry import query
-from corvane.session import spread, table
+from corvane.session import spread, table, together
 from corvane.streaming import incremental
 
 _TOK = "list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z0-9]+|[一-鿿]+'), lambda x: lower(x))"
@@ -57,7 +57,8 @@ fu AS (SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score FROM un GROU
 SELECT query_id, f.id AS chunk_id, f.score FROM fu f JOIN parsed_chunks p ON p.chunk_id = f.id WHERE coalesce(p.metadata.source_type, '') <> 'image'""")
 def v4_text_search(spark: SparkSession, d: str) -> DataFrame:
     """The text route: dense and both lexical channels, images kept out."""
-    lists = dense_hits(spark, d).withColumn("route", F.lit("dense")).unionByName(X.zh_hits(spark, d).withColumn("route", F.lit("zh"))).unionByName(X.en_hits(spark, d).withColumn("route", F.lit("en")))
+    dense, zh, en = together(lambda: dense_hits(spark, d), lambda: X.zh_hits(spark, d), lambda: X.en_hits(spark, d))
+    lists = dense.withColumn("route", F.lit("dense")).unionByName(zh.withColumn("route", F.lit("zh"))).unionByName(en.withColumn("route", F.lit("en")))
     fused = fusion.fuse_channels(lists.withColumnRenamed("id", "chunk_id"), {"dense": 0.5, "zh": 0.3, "en": 0.2})
     text = table(spark, d, "parsed_chunks").where("coalesce(metadata.source_type, '') <> 'image'").select("chunk_id")
     return fused.join(text, "chunk_id", "left_semi").select("query_id", "chunk_id", "score")

@@ -9,7 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import fusion, vectors
 from corvane.plans import lexical_queries as X
 from corvane.plans.registry import query
-from corvane.session import materialize, table
+from corvane.session import materialize, table, together
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 5)"
 
@@ -71,10 +71,13 @@ _FUSED = """
 fu AS (SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank, 4e-1 AS w FROM er WHERE rank <= 50 UNION ALL SELECT query_id, id, rank, 6e-1 AS w FROM zr WHERE rank <= 50) GROUP BY query_id, id)"""
 
 
-def fused(spark: SparkSession, d: str, zh: DataFrame | None = None) -> DataFrame:
+def fused(spark: SparkSession, d: str, zh: DataFrame | None = None, en: DataFrame | None = None) -> DataFrame:
     """Both lexical channels; the result has a few rows for each query and is written once."""
-    zh = X.zh_hits(spark, d) if zh is None else zh
-    lists = X.en_hits(spark, d).withColumn("route", F.lit("en")).unionByName(zh.withColumn("route", F.lit("zh")))
+    if zh is None:
+        en, zh = together(lambda: X.en_hits(spark, d), lambda: X.zh_hits(spark, d))
+    elif en is None:
+        en = X.en_hits(spark, d)
+    lists = en.withColumn("route", F.lit("en")).unionByName(zh.withColumn("route", F.lit("zh")))
     return materialize(fusion.fuse_channels(lists.withColumnRenamed("id", "chunk_id"), {"en": 0.4, "zh": 0.6}), "fused")
 
 
@@ -97,8 +100,8 @@ _ALL = f"{X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN}, {_FUSED}, {_CHUNK}, {_MERGED.rep
 
 def route_hits(spark: SparkSession, d: str) -> DataFrame:
     # Ranked lists are a few rows for each query; both routes read the same one.
-    zh = materialize(X.zh_hits(spark, d), "ranked")
-    both = fused(spark, d, zh)
+    zh, en = together(lambda: materialize(X.zh_hits(spark, d), "ranked"), lambda: materialize(X.en_hits(spark, d), "ranked"))
+    both = fused(spark, d, zh, en)
     ch = materialize(chunk_payload(spark, d, both.select("chunk_id").union(zh.select("id"))), "payload")
     text = both.join(ch.where(~F.coalesce("is_image", F.lit(False))), "chunk_id").withColumn("route", F.lit("text"))
     image = zh.select("query_id", F.col("id").alias("chunk_id"), "score").join(ch.where("is_image"), "chunk_id").withColumn("route", F.lit("text_to_image"))
