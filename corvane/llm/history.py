@@ -21,13 +21,14 @@ ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.session import materialize, shared_dir
+from corvane.session import materialize, shared_dir, together
 
 TAU = 1
 #: Pieces a name is cut into; any ``tau + 1`` of them would do, the rarest are stored.
@@ -305,12 +306,15 @@ def turns(df: DataFrame, order: str, n: int = TURNS) -> list[DataFrame]:
 
 def found(log: DataFrame, tasks: DataFrame, n: int = TURNS) -> DataFrame:
     """p4_found: arrivals known exactly or nearly; the log is replayed in turns of whole batches, the tasks in turns of their order."""
-    spark, out = log.sparkSession, []
-    for kind, table, order, take in (("asset", log, "batch_id" if "batch_id" in log.columns else "log_seq", History.accept_assets), ("task", tasks, "task_seq", History.accept_tasks)):
+    spark = log.sparkSession
+
+    def replay(kind: str, rows: DataFrame, order: str, take: Callable) -> list[DataFrame]:
         history = History(spark)
-        for batch in turns(table, order, n):
-            out.append(take(history, batch).withColumn("kind", F.lit(kind)))
-    if not out:
+        return [take(history, batch).withColumn("kind", F.lit(kind)) for batch in turns(rows, order, n)]
+
+    # The two histories know nothing of each other.
+    assets, files = together(lambda: replay("asset", log, "batch_id" if "batch_id" in log.columns else "log_seq", History.accept_assets), lambda: replay("task", tasks, "task_seq", History.accept_tasks))
+    if not assets + files:
         return spark.createDataFrame([], "kind string, rec_id long, item_ix int, how string")
-    whole = reduce(DataFrame.unionByName, out)
+    whole = reduce(DataFrame.unionByName, assets + files)
     return whole.where("how is not null").select("kind", F.col("rec_id").cast("long").alias("rec_id"), F.col("item_ix").cast("int").alias("item_ix"), "how")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corvane.llm.arrow import map_rows
 from corvane.llm.graph import components
 from corvane.llm.shingles import band_keys, gram_sets, set_signature, shingle_sets
-from corvane.session import materialize, spread
+from corvane.session import materialize, spread, together
 
 #: Members of a part of a group, and groups of a bucket's block, that are held together.
 GROUP = 256
@@ -202,8 +202,7 @@ def title_records(log: DataFrame) -> DataFrame:
 
 def found(chunks: DataFrame, log: DataFrame) -> DataFrame:
     """p1_found: every pair of similar chunks and of similar titles."""
-    parts = []
-    for kind, records, like in (("chunk", chunk_records(chunks), CHUNKS), ("title", title_records(log), TITLES)):
-        pairs, members = verified_pairs(records, like, f"p1-{kind}")
-        parts.append(expand(pairs, members).select(F.lit(kind).alias("kind"), "id_1", "id_2"))
+    kinds = (("chunk", chunk_records(chunks), CHUNKS), ("title", title_records(log), TITLES))
+    pairs = together(*(lambda kind=kind, records=records, like=like: verified_pairs(records, like, f"p1-{kind}") for kind, records, like in kinds))
+    parts = [expand(*p).select(F.lit(kind).alias("kind"), "id_1", "id_2") for p, (kind, _, _) in zip(pairs, kinds, strict=True)]
     return parts[0].unionByName(parts[1])
