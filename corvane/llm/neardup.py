@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corvane.llm.arrow import map_rows
 from corvane.llm.graph import components
 from corvane.llm.shingles import band_keys, gram_sets, set_signature, shingle_sets
-from corvane.session import materialize, spread, together
+from corvane.session import drop, materialize, spread
 
 #: Members of a part of a group, and groups of a bucket's block, that are held together.
 GROUP = 256
@@ -100,7 +100,10 @@ def group_matrix(reps: DataFrame, like: Likeness, name: str) -> tuple[DataFrame,
     asked = asked.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
     met = asked.join(matrix.select("key", "blk", "g"), ["key", "blk"]).where("g < own")
     opens = met.groupBy("id", "g").agg(F.count("*").alias("x")).where(F.col("x") >= like.least_keys)
-    return group, materialize(opens.select("id", "g"), f"{name}-opens")
+    opens = materialize(opens.select("id", "g"), f"{name}-opens")
+    for table in (shared, owned, matrix):
+        drop(table)
+    return group, opens
 
 
 def verified_pairs(records: DataFrame, like: Likeness, name: str) -> tuple[DataFrame, DataFrame]:
@@ -110,10 +113,11 @@ def verified_pairs(records: DataFrame, like: Likeness, name: str) -> tuple[DataF
     """
     sigs = materialize(signatures(spread(records), like), f"{name}-sigs")
     firsts = sigs.groupBy("sig", "n").agg(F.min("id").alias("rep"))
-    members = sigs.select("id", "sig", "n").join(firsts, ["sig", "n"]).select("id", "rep")
+    members = materialize(sigs.select("id", "sig", "n").join(firsts, ["sig", "n"]).select("id", "rep"), f"{name}-members")
     # Copies leave before their keys are spread; the keys stay in the one table that holds them.
     reps = sigs.join(firsts.select(F.col("rep").alias("id")), "id", "left_semi")
     group, opens = group_matrix(reps, like, name)
+    drop(sigs)
     sizes = group.groupBy("g").agg(F.count("*").alias("n"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     member = group.join(sizes, "g").select("g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", F.lit(True).alias("own"), "parts", "n")
     asking = opens.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(False).alias("own"))
@@ -203,6 +207,6 @@ def title_records(log: DataFrame) -> DataFrame:
 def found(chunks: DataFrame, log: DataFrame) -> DataFrame:
     """p1_found: every pair of similar chunks and of similar titles."""
     kinds = (("chunk", chunk_records(chunks), CHUNKS), ("title", title_records(log), TITLES))
-    pairs = together(*(lambda kind=kind, records=records, like=like: verified_pairs(records, like, f"p1-{kind}") for kind, records, like in kinds))
-    parts = [expand(*p).select(F.lit(kind).alias("kind"), "id_1", "id_2") for p, (kind, _, _) in zip(pairs, kinds, strict=True)]
+    # One after the other: side by side both would need their disk at once.
+    parts = [expand(*verified_pairs(records, like, f"p1-{kind}")).select(F.lit(kind).alias("kind"), "id_1", "id_2") for kind, records, like in kinds]
     return parts[0].unionByName(parts[1])
