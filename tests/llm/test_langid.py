@@ -78,3 +78,27 @@ def test_labels_have_a_row_for_each_record(spark, samples):
     assert got[1] == got[2] == (None, 0.0) and got[3][0] == samples[0][0]
     residue = spark.createDataFrame([], "id long")
     assert not {r["rec_id"] for r in L.found(chunks, queries, docs, s, residue).collect()} & {1, 2}
+
+
+def test_segments_of_mixed_texts_have_the_right_language(spark, samples):
+    rng = random.Random(11)
+    by = {lang: [t for x, t in samples if x == lang] for lang in L.LANGS}
+    model = L.Model([s for i, s in enumerate(samples) if i % 4])
+    held = {lang: [t for i, (x, t) in enumerate(samples) if x == lang and i % 4 == 0] for lang in L.LANGS}
+    rows, truth = [], {}
+    for k in range(60):
+        text, spans = "", []
+        for lang in rng.sample(L.LANGS, 3):
+            part = "".join((" " if lang not in ("zh", "ja") else "") + t for t in rng.sample(held[lang], 2)).strip()
+            text += "\n\n" * bool(text) + part
+            spans.append((len(text) - len(part), len(text), lang))
+        rows.append(("document", k, text, None))
+        truth[k] = spans
+    assert by and rows
+    right = total = 0
+    for r in L.segments(spark.createDataFrame(rows, "kind string, rec_id long, body string, named string"), model).collect():
+        for lo, hi, lang in truth[r["rec_id"]]:
+            both = max(0, min(hi, r["start"] + len(r["piece"])) - max(lo, r["start"]))
+            total += both
+            right += both * (lang == r["lang"])
+    assert right >= 0.95 * total > 0, (right, total)

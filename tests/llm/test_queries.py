@@ -12,7 +12,8 @@ def test_query_runs_and_equals_its_sql(spark, sf_dir, name):
     if name in SQL:
         assert rows_of_spark(df) == rows_of_sql(connect(sf_dir), SQL[name])
     else:
-        assert df.count() >= 0
+        # Decoding is exact, so the round trip has no rows; every other query has some on any data.
+        assert (df.count() > 0) == (name != "p6_roundtrip")
 
 
 def test_results_have_the_stated_columns(spark, sf_dir):
