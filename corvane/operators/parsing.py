@@ -86,11 +86,19 @@ def markdown_table(rows: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Text of HTML as Markdown: headings get marks, blocks get lines, tags go."""
+    """Text of HTML as Markdown: headings, lists, links, images, emphasis and cells get their marks, blocks get lines, other tags go."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    for n in (1, 2, 3):
-        t = F.regexp_replace(t, rf"(?i)<h{n}[^>]*>", "\n\n" + "#" * n + " ")
-    t = F.regexp_replace(t, r"(?i)</?(?:p|div|li|tr|h[1-6]|br)[^>]*>", "\n\n")
+    for n in range(1, 7):
+        t = F.regexp_replace(t, rf"(?i)<h{n}(?:\s[^>]*)?>", "\n\n" + "#" * n + " ")
+    t = F.regexp_replace(t, r"(?is)<img\s[^>]*?alt=[\"']([^\"']*)[\"'][^>]*?src=[\"']([^\"']*)[\"'][^>]*>", "![$1]($2)")
+    t = F.regexp_replace(t, r"(?is)<img\s[^>]*?src=[\"']([^\"']*)[\"'][^>]*>", "![]($1)")
+    t = F.regexp_replace(t, r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", "[$2]($1)")
+    t = F.regexp_replace(t, r"(?i)</?(?:strong|b)(?:\s[^>]*)?>", "**")
+    t = F.regexp_replace(t, r"(?i)</?(?:em|i)(?:\s[^>]*)?>", "*")
+    t = F.regexp_replace(t, r"(?i)<li(?:\s[^>]*)?>\s*", "\n- ")
+    t = F.regexp_replace(t, r"(?i)</li>\s*", "")
+    t = F.regexp_replace(t, r"(?is)</t[dh]>\s*<t[dh][^>]*>", " | ")
+    t = F.regexp_replace(t, r"(?i)</?(?:p|div|ul|ol|table|tr|h[1-6]|br)(?:[\s/][^>]*)?>", "\n\n")
     t = F.regexp_replace(t, "<[^>]+>", "")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(sign))

@@ -456,3 +456,11 @@ def test_dropped_tables_are_gone(spark):
     before = {p.name for p in folder.glob("gone-*")}
     drop(df)
     assert before and not list(folder.glob("gone-*"))
+
+
+def test_html_to_markdown(spark):
+    html = '<style>x{}</style><h4 class="a">Pumps</h4><p>A <b>red</b> <a href="u/v">link</a> &amp; <i>more</i></p><ul><li>one</li> <li>two</li></ul><img alt="fig" src="i.png"/><table><tr><th>k</th><th>v</th></tr></table><pre>kept</pre>'
+    from corvane.operators import parsing
+
+    got = spark.createDataFrame([(html,)], "h string").select(parsing.html_text(F.col("h"))).first()[0]
+    assert [x for x in got.split("\n") if x.strip()] == ["#### Pumps", "A **red** [link](u/v) & *more*", "- one", "- two", "![fig](i.png)", "k | v", "kept"]
