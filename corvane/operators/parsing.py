@@ -96,7 +96,7 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)</?(?:strong|b)(?:\s[^>]*)?>", "**")
     t = F.regexp_replace(t, r"(?i)</?(?:em|i)(?:\s[^>]*)?>", "*")
     t = F.regexp_replace(t, r"(?i)<li(?:\s[^>]*)?>\s*", "\n- ")
-    t = F.regexp_replace(t, r"(?i)</li>\s*", "")
+    t = F.regexp_replace(t, r"(?i)[ \t]*</li>[ \t]*", "")
     t = F.regexp_replace(t, r"(?is)</t[dh]>\s*<t[dh][^>]*>", " | ")
     t = F.regexp_replace(t, r"(?i)</?(?:p|div|ul|ol|table|tr|h[1-6]|br)(?:[\s/][^>]*)?>", "\n\n")
     t = F.regexp_replace(t, "<[^>]+>", "")
