@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -24,26 +24,45 @@ def keywords_en(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFr
     return _top(toks.groupBy(id_col, "tok").agg(F.count("*").alias("n"), F.min("pos").alias("first")), id_col, k)
 
 
+_SINGLE, _DOUBLE = ([w for w in T.ZH_STOPWORDS if len(w) == n] for n in (1, 2))
+
+
+def _stop(pair: Column) -> Column:
+    return pair.isin(*_DOUBLE) | (F.substring(pair, 1, 1).isin(*_SINGLE) & F.substring(pair, 2, 1).isin(*_SINGLE))
+
+
+def _pairs(text: Column) -> Column:
+    """Pairs of neighbouring Han characters of a text, in order."""
+    han = F.regexp_replace(T.strip_images(text), "[^一-鿿]", "")
+    return F.when(F.length(han) > 1, F.regexp_extract_all(han, F.lit("(?=(..))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
 def keywords_zh(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame:
     """``(id, keywords)``: pairs of neighbouring Han characters, without stop words."""
-    han = df.select(id_col, F.regexp_replace(T.strip_images(F.col(text_col)), "[^一-鿿]", "").alias("han")).where(F.length("han") > 1)
-    pairs = han.select(id_col, F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.length("han") - 1), lambda i: F.substring(F.col("han"), i, F.lit(2)))).alias("pos", "tok"))
-    single = [w for w in T.ZH_STOPWORDS if len(w) == 1]
-    stop = (F.substring("tok", 1, 1).isin(*single)) & (F.substring("tok", 2, 1).isin(*single))
-    pairs = pairs.where(F.col("tok").isNotNull() & ~F.col("tok").isin(*[w for w in T.ZH_STOPWORDS if len(w) == 2]) & ~stop)
+    pairs = df.select(id_col, F.posexplode_outer(_pairs(F.col(text_col))).alias("pos", "tok"))
+    pairs = pairs.where(F.col("tok").isNotNull() & ~_stop(F.col("tok")))
     return _top(pairs.groupBy(id_col, "tok").agg(F.count("*").alias("n"), F.min("pos").alias("first")), id_col, k)
 
 
+def keywords_some(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame:
+    """``(id, keywords)`` of the rows that have any: Chinese keywords where a text has a pair for one, else English ones.
+
+    Rows are told apart by their text, so each is tokenised for its own sort alone and nothing is joined.
+    """
+    chinese = F.exists(_pairs(F.col(text_col)), lambda t: ~_stop(t))
+    return keywords_zh(df.where(chinese), id_col, text_col, k).unionByName(keywords_en(df.where(~chinese), id_col, text_col, k))
+
+
 def keywords(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame:
-    """Chinese keywords where there are any, else English ones."""
-    zh, en = keywords_zh(df, id_col, text_col, k), keywords_en(df, id_col, text_col, k)
-    both = df.select(id_col).join(zh.withColumnRenamed("keywords", "zh"), id_col, "left").join(en.withColumnRenamed("keywords", "en"), id_col, "left")
-    return both.select(id_col, F.coalesce("zh", "en", F.array().cast("array<string>")).alias("keywords"))
+    """``(id, keywords)`` of every row; an empty list where a text has none."""
+    found = keywords_some(df, id_col, text_col, k)
+    return df.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def enrich(df: DataFrame, id_col: str, text_col: str, k: int = 8) -> DataFrame:
-    """All columns and ``enriched``: the text with its keyword footer."""
-    return df.join(keywords(df, id_col, text_col, k), id_col).withColumn("enriched", T.keyword_footer(F.col(text_col), F.col("keywords")))
+    """All columns and ``keywords`` and ``enriched``: the text with its keyword footer."""
+    rows = df.join(keywords_some(df, id_col, text_col, k), id_col, "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return rows.withColumn("enriched", T.keyword_footer(F.col(text_col), F.col("keywords")))
 
 
 def textrank(df: DataFrame, id_col: str, text_col: str, k: int = 8, window: int = 5, damping: float = 0.85, rounds: int = 30) -> DataFrame:
