@@ -22,9 +22,10 @@ _FOLDERS: dict[str, str] = {}
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corvane", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session with adaptive execution, used by tests and the benchmark.
 
-    Its ``spark.checkpoint.dir`` is ``checkpoint_dir``, by default a folder of this machine, which is all a local session has.
+    Intermediate tables go below ``checkpoint_dir`` if it is given, else below what the installation sets as
+    ``spark.checkpoint.dir``; see :func:`shared_dir` for where neither is.
     """
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -33,9 +34,10 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", checkpoint_dir or f"file://{tempfile.gettempdir()}/corvane-shared")
-        .getOrCreate()
     )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,10 +9,10 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from corvane.session import build_session, ship
 
-    session = build_session(4, 4, "tests")
+    session = build_session(4, 4, "tests", f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
