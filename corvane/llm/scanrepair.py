@@ -8,9 +8,10 @@ blanks are kept. Look-alike characters of scripts without blanks are decided by
 are chosen by dynamic programming over the line ends.
 
 The lexicon holds every word and look-alike pair of the whole corpus that is counted ``LEAST_COUNT`` times or more. Only its
-most frequent terms, at most ``COMMON``, go to every worker; the others stay a table, and what a text needs of them (the
-terms that its uncommon words, their parts and its words over line ends can be) is joined to it, so no term is cut and
-nothing grows with the vocabulary. A form that is far rarer than the word it turns into is taken as a misreading and not as a
+most frequent terms, at most ``COMMON``, go to every worker; the others stay a table, of which workers have a filter of fixed
+size over the skeletons. A text that the filter lets none of them matter to is read at once. For the few others what they
+need (the terms that their uncommon words, the parts these can be made of and their words over line ends can be) is joined to
+them, so no term is cut and nothing grows with the vocabulary. A form that is far rarer than the word it turns into is taken as a misreading and not as a
 word.
 
 Headers are lines that repeat on pages of the asset, on a twentieth of the pages between the first and the last of them, or
@@ -29,10 +30,13 @@ import heapq
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ LEAST_COUNT = 3
 RATIO = 8
 #: Terms of the lexicon that every worker holds, at most.
 COMMON = 200_000
+#: Bits of the filter over the skeletons of the other terms; it may let too much through, never too little.
+FILTER_BITS = 1 << 23
 #: Pages of an asset that share their header keys, and texts of one such stretch that stay together.
 STRETCH, TOGETHER = 64, 4096
 
@@ -61,6 +67,8 @@ _LOOKS = re.compile("[" + "".join(sorted({c for p in LOOKALIKE.split() for c in
 _WRONG = re.compile("[" + "".join(sorted(_PAIRS)) + "]")
 _MARK = "-‐‑­¬=‒"
 WORD = re.compile(r"[a-zß-öø-ÿœ0-9!†€|$@]*[a-zß-öø-ÿœ][a-zß-öø-ÿœ0-9!†€|$@]*")
+#: Signs that are other letters where case is folded.
+_FOLDED = re.compile("[ſİı]")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿœ0-9!†€|$@"
 #: A line that was taken out of the stream; words may go on over it.
 GONE = "\x0b"
@@ -153,12 +161,14 @@ class Lexicon:
             self.decided.clear()
             self.splits.clear()
         fresh = sorted((w, n) for w, n in terms if w not in self.counts)
+        if fresh:
+            self.decided.clear()
+            self.splits.clear()
         for w, n in fresh:
             self.counts[w] = n
             self.longest = max(self.longest, len(w))
             if w.isalpha():
                 self.likely.setdefault(skeleton(w), []).append(w)
-            self.decided.pop(w, None)
         self.added += [w for w, _ in fresh]
         self.words.update(w for w, _ in fresh if self.right(w) is None)
 
@@ -360,11 +370,11 @@ def _chain(text: str, lexicon: Lexicon, noise: set[str]) -> str:
 
 
 def meeting(text: str) -> Iterator[str]:
-    """What words over line ends can be, in lower case."""
+    """What words over line ends and their pieces can be, in lower case."""
     for chain in _CHAIN.finditer(text):
         pieces = [p.lower() for p in re.split(_JOIN, chain[0])[::3]]
         for i in range(len(pieces)):
-            for j in range(i + 2, min(len(pieces), i + MOST_PIECES) + 1):
+            for j in range(i + 1, min(len(pieces), i + MOST_PIECES) + 1):
                 yield "".join(pieces[i:j])
 
 
@@ -454,11 +464,16 @@ def stream_of(text: str, keys: list[str], page: int | None) -> tuple[str, list[s
 def repair_text(text: str, keys: list[str], page: int | None, lexicon: Lexicon) -> tuple[str, set[str]]:
     """(repaired text, sorts of noise) of one text."""
     stream, _, noise = stream_of(text, keys, page)
-    stream, more = decode(stream, lexicon)
-    noise |= more
+    return repair_stream(stream, noise, lexicon)
+
+
+def repair_stream(stream: str, noise: set[str], lexicon: Lexicon) -> tuple[str, set[str]]:
+    """(repaired text, sorts of noise) of a text whose headers and page numbers are out; the text itself where there is no noise."""
+    decoded, more = decode(stream, lexicon)
+    noise = noise | more
     if not noise:
-        return text, noise
-    return paragraphs([None if x == GONE else x for x in stream.split("\n")], lexicon), noise
+        return stream, noise
+    return paragraphs([None if x == GONE else x for x in decoded.split("\n")], lexicon), noise
 
 
 def lexicon_terms(texts: DataFrame) -> DataFrame:
@@ -573,29 +588,81 @@ def with_keys(rows: DataFrame, titles: DataFrame) -> DataFrame:
     return joined.unionByName(rows.where(~lined).select("kind", "rec_id", "page", "body", F.lit(None).cast("array<string>").alias("keys")))
 
 
-def with_rare_terms(keyed: DataFrame, rare: DataFrame, common, longest: int) -> DataFrame:
-    """Adds ``rare``: the terms (term, n) of the table ``rare`` that the uncommon words of a text, or their parts, can be."""
-    keyed = materialize(keyed, "scan-texts")
+def _place(skel: str) -> int:
+    return zlib.crc32(skel.encode()) & (FILTER_BITS - 1)
 
-    def uncommon(items: Iterable[dict]) -> Iterator[tuple]:
-        held = common.value[0]
-        for r in items:
-            stream = stream_of(r["body"], r["keys"] or [], r["page"])[0]
-            for w in {*WORD.findall(stream.lower()), *meeting(stream)} - held.keys():
-                yield r["kind"], r["rec_id"], w
 
-    def keys_of(items: Iterable[dict]) -> Iterator[tuple]:
-        for r in items:
-            w = r["word"]
-            parts = {w[i:j] for i in range(len(w) - 1) for j in range(i + 2, min(len(w), i + 2 * longest) + 1)} if len(w) >= 5 else set()
-            for skel in {skeleton(p) for p in (w, *parts)}:
-                yield w, skel
+def _holds(bits: bytes, skel: str) -> bool:
+    at = _place(skel)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def skeleton_filters(rare: DataFrame) -> tuple[bytes, bytes]:
+    """Two filters: over the skeletons of all terms (term, n), and of those that can be parts of run-together words."""
+    places = map_rows(rare, lambda items: ((_place(skeleton(r["term"])), r["n"] >= PART_COUNT and r["term"].isalpha()) for r in items), "place int, part boolean")
+    table = places.groupBy("place").agg(F.max("part").alias("part")).toArrow()
+    at, part = table.column(0).to_numpy(), table.column(1).to_numpy()
+
+    def bits(places: np.ndarray) -> bytes:
+        flags = np.zeros(FILTER_BITS, np.bool_)
+        flags[places] = True
+        return np.packbits(flags, bitorder="little").tobytes()
+
+    return bits(at), bits(at[part.astype(bool)])
+
 
-    asked = materialize(map_rows(keyed, uncommon, "kind string, rec_id long, word string"), "scan-uncommon")
+class Needs:
+    """Which of the terms that a worker does not hold can matter to a text, as skeletons.
+
+    ``every`` and ``parts`` are the filters over those terms, ``longest`` the length of the longest term of the corpus that can be a part.
+    """
+
+    def __init__(self, held: dict[str, int], lexicon: Lexicon, every: bytes, parts: bytes, longest: int) -> None:
+        self.held, self.every, self.parts, self.longest = held.keys(), every, parts, longest
+        self.able = {s for s, words in lexicon.likely.items() if any(lexicon.counts[w] >= PART_COUNT for w in words)}
+        self.brief = {skeleton(w) for w in lexicon.frequent}
+        self.any_part = any(parts)
+        self.known: dict[str, frozenset[str]] = {}
+
+    def of(self, stream: str) -> set[str]:
+        words = {*WORD.findall(stream.lower()), *meeting(stream)}
+        if _FOLDED.search(stream):
+            words.update(x.lower() for x in re.findall(WORD.pattern, stream, flags=re.I))
+        out: set[str] = set()
+        for w in words - self.held:
+            out |= self.of_word(w)
+        return out
+
+    def of_word(self, word: str) -> frozenset[str]:
+        if word not in self.known:
+            if len(self.known) > COMMON:
+                self.known.clear()
+            self.known[word] = frozenset(s for s in {skeleton(word), *self.parts_of(word)} if _holds(self.every, s))
+        return self.known[word]
+
+    def parts_of(self, word: str) -> set[str]:
+        """Skeletons of the parts of a word that can be read as run together; none where no parts that can be words fill it."""
+        flat, n = word.translate(_SINGLES), len(word)
+        reached, out = [True, *[False] * n], set()
+        for i in range(n - 1 if n >= 5 else 0):
+            if not reached[i]:
+                continue
+            for j in range(i + 2, min(n, i + 2 * self.longest) + 1):
+                skel = flat[i:j]
+                for bad, good in _DOUBLES:
+                    if bad in skel:
+                        skel = skel.replace(bad, good)
+                if j - i < n and (skel in self.brief if j - i < 4 else skel in self.able or (self.any_part and _holds(self.parts, skel))):
+                    reached[j] = True
+                    out.add(skel)
+        return out if reached[n] else set()
+
+
+def with_rare_terms(waiting: DataFrame, rare: DataFrame) -> DataFrame:
+    """Adds ``rare``: the terms (term, n) of the table ``rare`` whose skeletons are ``asked`` for by a row (uid)."""
     skeletons = map_rows(rare, lambda items: ((r["term"], r["n"], skeleton(r["term"])) for r in items), "term string, n long, skel string")
-    met = map_rows(asked.select("word").distinct(), keys_of, "word string, skel string").join(skeletons, "skel").groupBy("word").agg(F.collect_set(F.struct("term", "n")).alias("terms"))
-    needed = asked.join(met, "word").groupBy("kind", "rec_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("rare"))
-    return keyed.join(needed, ["kind", "rec_id"], "left")
+    met = waiting.select("uid", F.explode("asked").alias("skel")).join(skeletons, "skel")
+    return waiting.join(met.groupBy("uid").agg(F.collect_list(F.struct("term", "n")).alias("rare")), "uid", "left")
 
 
 def repair(rows: DataFrame, titles: DataFrame, common: int = COMMON) -> DataFrame:
@@ -603,24 +670,46 @@ def repair(rows: DataFrame, titles: DataFrame, common: int = COMMON) -> DataFram
     name = uuid.uuid4().hex
     terms = lexicon_terms(rows.select("body"))
     held, least, total = common_terms(terms, common)
-    shared = rows.sparkSession.sparkContext.broadcast((held, total))
     keyed, rare = with_keys(rows, titles), terms.where(F.col("n") < least)
-    if least > LEAST_COUNT and not rare.isEmpty():
-        longest = terms.agg(F.max(F.length("term"))).first()[0]
-        keyed = with_rare_terms(keyed, rare, shared, longest)
-    else:
-        keyed = keyed.withColumn("rare", F.lit(None).cast("array<struct<term:string,n:bigint>>"))
+    out = "kind string, rec_id long, noises array<string>, repaired string"
+    if least <= LEAST_COUNT or rare.isEmpty():
+        shared = rows.sparkSession.sparkContext.broadcast((held, total))
+
+        def whole(items: Iterable[dict]) -> Iterator[tuple]:
+            lex = _lexicon(name, shared)
+            for r in items:
+                text, noise = repair_text(r["body"], r["keys"] or [], r["page"], lex)
+                if noise:
+                    yield r["kind"], r["rec_id"], sorted(noise), text
+
+        return map_rows(keyed, whole, out)
+    longest = terms.where(F.col("n") >= PART_COUNT).agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
+    shared = rows.sparkSession.sparkContext.broadcast((held, total, (*skeleton_filters(rare), longest)))
+
+    def first(items: Iterable[dict]) -> Iterator[tuple]:
+        lex, needs = _lexicon(name, shared), _needs_of(name, shared)
+        for i, r in enumerate(items):
+            stream, _, noise = stream_of(r["body"], r["keys"] or [], r["page"])
+            asked = needs.of(stream)
+            if asked:
+                yield (TaskContext.get().partitionId() << 40) + i, r["kind"], r["rec_id"], sorted(noise), stream, sorted(asked)
+                continue
+            text, noise = repair_stream(stream, noise, lex)
+            if noise:
+                yield None, r["kind"], r["rec_id"], sorted(noise), text, None
 
-    def run(items: Iterable[dict]) -> Iterator[tuple]:
+    def second(items: Iterable[dict]) -> Iterator[tuple]:
         lex = _lexicon(name, shared)
         for r in items:
             if r["rare"]:
                 lex.add([(x["term"], x["n"]) for x in r["rare"]])
-            text, noise = repair_text(r["body"], r["keys"] or [], r["page"], lex)
+            text, noise = repair_stream(r["repaired"], set(r["noises"]), lex)
             if noise:
                 yield r["kind"], r["rec_id"], sorted(noise), text
 
-    return map_rows(keyed, run, "kind string, rec_id long, noises array<string>, repaired string")
+    read = materialize(map_rows(keyed, first, f"uid long, {out}, asked array<string>"), "scan-first")
+    done = read.where("uid is null").select("kind", "rec_id", "noises", "repaired")
+    return done.unionByName(map_rows(with_rare_terms(read.where("uid is not null"), rare), second, out))
 
 
 _LEXICONS: dict[str, Lexicon] = {}
@@ -630,11 +719,22 @@ def _lexicon(name: str, shared) -> Lexicon:
     """The lexicon of one run, built once in each worker."""
     if name not in _LEXICONS:
         _LEXICONS.clear()
-        held, total = shared.value
+        held, total = shared.value[:2]
         _LEXICONS[name] = Lexicon(dict(held), total)
     return _LEXICONS[name]
 
 
+_NEEDS: dict[str, Needs] = {}
+
+
+def _needs_of(name: str, shared) -> Needs:
+    if name not in _NEEDS:
+        _NEEDS.clear()
+        held, _, filters = shared.value
+        _NEEDS[name] = Needs(held, _lexicon(name, shared), *filters)
+    return _NEEDS[name]
+
+
 def all_titles(chunks: DataFrame, log: DataFrame) -> DataFrame:
     return chunks.select(F.col("metadata.asset_id").alias("asset_id"), F.col("metadata.asset_title").alias("title")).union(log.select("asset_id", "asset_title"))
 
