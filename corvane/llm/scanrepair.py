@@ -631,8 +631,23 @@ class Needs:
         out: set[str] = set()
         for w in words - self.held:
             out |= self.of_word(w)
+        if _WRONG.search(stream):
+            solid = re.sub(r"\s+", "", stream)
+            for m in _WRONG.finditer(solid):
+                out |= self.of_pairs(solid[m.start() - 1 : m.start()] if m.start() else "", m[0], solid[m.end() : m.end() + 1])
         return out
 
+    def of_pairs(self, before: str, char: str, after: str) -> frozenset[str]:
+        """Of the pairs that decide on a look-alike character; the one before it may be undone first."""
+        key = f"{before}\n{char}{after}"
+        if key not in self.known:
+            if len(self.known) > COMMON:
+                self.known.clear()
+            either = (char, *_PAIRS[char])
+            pairs = {a + c for a in (before, *_PAIRS.get(before, ())) for c in either if before > "~"} | {c + after for c in either if after > "~"}
+            self.known[key] = frozenset(s for s in map(skeleton, pairs - self.held) if _holds(self.every, s))
+        return self.known[key]
+
     def of_word(self, word: str) -> frozenset[str]:
         if word not in self.known:
             if len(self.known) > COMMON:
