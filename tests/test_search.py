@@ -45,3 +45,36 @@ def test_scores_equal_brute_force(spark, monkeypatch, power, entries):
 def test_queries_and_documents_are_not_joined_in_a_shuffle(spark, sf_dir, hits):
     plan = hits(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_text_index_scores_points_in_place(spark, tmp_path):
+    """Builds, deletions and searches agree with a search over the live chunks, and no posting is joined in a shuffle."""
+    from pyspark.sql import functions as F
+
+    from corvane.functions import ids
+    from corvane.functions import text as T
+    from corvane.operators.index import TextIndex
+
+    texts = ["水泵 台账 pump pump", "valve chart 水泵", None, "", "pump valve 台账", "阀门 pump 水泵 水泵"]
+    rows = [(i, f"a{i % 5}", 1, t, "context pump" if i % 4 == 0 else None) for i, t in enumerate(texts * 3)]
+    chunks = spark.createDataFrame([*rows, rows[0]], "chunk_id long, asset_id string, page int, text string, context string")
+    asked = spark.createDataFrame([(7, "pump 水泵"), (8, "台账 valve"), (9, "nothing"), (10, None)], "query_id long, raw string")
+    at = TextIndex(spark, f"{tmp_path}/index", buckets=3)
+    at.build(chunks.where("chunk_id % 2 = 0"))
+    at.build(chunks)
+
+    def expected(live):
+        best = live.withColumn("first", F.min(F.struct(F.col("chunk_id") % 2, "chunk_id")).over(L.Window.partitionBy("id"))).where("first.chunk_id = chunk_id").dropDuplicates(["id"])
+        docs = best.select("id", T.zh_tokens(L.index_text(F.col("text"), F.col("context"))).alias("tokens")).withColumn("dl", F.size("tokens"))
+        tf, stats = L.term_frequencies(docs), L.corpus_stats(docs)
+        q = asked.select("query_id", T.zh_tokens(F.col("raw")).alias("tokens"))
+        return {(r["query_id"], r["id"], r["rank"]): r["score"] for r in L.top_n(L.scores(L.query_vectors(q, L.idf_table(tf, stats)), L.document_vectors(docs)), 4).collect()}
+
+    named = chunks.withColumn("id", ids.point_id(F.col("asset_id"), F.col("page"), F.col("text")))
+    found = at.search(asked, 4)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["query_id"], r["id"], r["rank"]): r["score"] for r in found.collect()} == pytest.approx(expected(named))
+    at.delete(spark.createDataFrame([("a1",), ("a2",)], "asset_id string"))
+    left = named.where("asset_id not in ('a1', 'a2')")
+    assert {(r["query_id"], r["id"], r["rank"]): r["score"] for r in at.search(asked, 4).collect()} == pytest.approx(expected(left))
+    assert at.build(chunks.where("asset_id = 'a1'")) > 0 and at.build(chunks.where("asset_id = 'a1'")) == 0
