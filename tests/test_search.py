@@ -78,3 +78,34 @@ def test_text_index_scores_points_in_place(spark, tmp_path):
     left = named.where("asset_id not in ('a1', 'a2')")
     assert {(r["query_id"], r["id"], r["rank"]): r["score"] for r in at.search(asked, 4).collect()} == pytest.approx(expected(left))
     assert at.build(chunks.where("asset_id = 'a1'")) > 0 and at.build(chunks.where("asset_id = 'a1'")) == 0
+
+
+def test_hashed_vectors_count_terms_in_place(spark):
+    from corvane.operators import embedding
+
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["c", None]), (1, ["b", "c"]), (5, ["a"])], "id long, tokens array<string>")
+    want = {}
+    for i, tokens in docs.collect():
+        for t in tokens or []:
+            if t is not None:
+                want.setdefault(i, Counter())[embedding.bucket(t)] += 1
+    got = {r["id"]: r["vec"] for r in embedding.hashed_vectors(docs).collect()}
+    assert got == {i: pytest.approx([c[x] / math.sqrt(sum(v * v for v in c.values())) for x in range(64)]) for i, c in want.items()}
+    single = embedding.hashed_vectors(docs.where("id > 1"))
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and {r["id"] for r in single.collect()} == {4, 5}
+
+
+def test_a_task_sends_on_the_best_of_each_query_alone(spark, monkeypatch):
+    """Steps of a few points: what goes on is k rows for each query and task, and the ranks are those of all points."""
+    from corvane.operators import vectors
+
+    monkeypatch.setattr(vectors, "SCORE_BYTES", 8 * 2 * 3)
+    points = [(i, [float(i % 7), float((i * 5) % 11), 1.0]) for i in range(200)]
+    sent = vectors._block(spark.createDataFrame(points, "id long, vec array<double>").coalesce(1), vectors.np.array([1, 2]), vectors.np.array([[1.0, 2, 3], [3.0, 0, 1]]), 4, 0, 5)
+    rows = [(r["query_id"], -r["score"], r["id"]) for r in sent.collect()]
+    assert len(rows) == 8
+    unit = vectors.unit(vectors.np.array([v for _, v in points]))
+    for q, v in ((1, [1.0, 2, 3]), (2, [3.0, 0, 1])):
+        scores = vectors.np.round(vectors.unit(vectors.np.array([v])) @ unit.T, 5)[0]
+        assert sorted(i for x, _, i in rows if x == q) == sorted(sorted(range(200), key=lambda i: (-scores[i], i))[:4])
