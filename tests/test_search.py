@@ -109,3 +109,16 @@ def test_a_task_sends_on_the_best_of_each_query_alone(spark, monkeypatch):
     for q, v in ((1, [1.0, 2, 3]), (2, [3.0, 0, 1])):
         scores = vectors.np.round(vectors.unit(vectors.np.array([v])) @ unit.T, 5)[0]
         assert sorted(i for x, _, i in rows if x == q) == sorted(sorted(range(200), key=lambda i: (-scores[i], i))[:4])
+
+
+def test_texts_of_few_hits_are_not_shuffled(spark, sf_dir, monkeypatch):
+    from corvane.plans import search_queries as SQ
+
+    hits = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, -5)], "query_id long, chunk_id long")
+    plans, rows = [], []
+    for most in (500_000, 1):
+        monkeypatch.setattr(SQ, "BROADCAST_HITS", most)
+        found = SQ.chunks_of(spark, sf_dir, hits)
+        plans.append(found._jdf.queryExecution().sparkPlan().toString())
+        rows.append(sorted(r["chunk_id"] for r in found.collect()))
+    assert "BroadcastHashJoin" in plans[0] and rows[0] == rows[1] and set(rows[0]) <= {0, 1} and rows[0]
