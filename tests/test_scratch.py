@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from corvane.operators import lexical as L
+from corvane.plans import parsing_queries as P
 from corvane.plans import registry
 from corvane.session import shared_dir
 
@@ -36,7 +37,7 @@ def test_counts_of_a_block_go_before_those_of_the_next(spark, monkeypatch):
     assert not any(x in p for p in plans for x in ("Join", "Aggregate"))
 
 
-@pytest.mark.parametrize("name", ["a1_sources"])
+@pytest.mark.parametrize("name", ["a1_sources", "e20_text_to_image_run"])
 def test_no_counts_are_left(spark, sf_dir, name):
     before = written(spark, "asked")
     QUERIES[name](spark, sf_dir)
@@ -50,3 +51,16 @@ def test_ranked_assets_read_no_text(spark, sf_dir, name):
     read = re.findall(r"ReadSchema: (struct<.*)", plan)
     assert any("metadata" in x for x in read) and not any(re.search(r"\b(text|evidence):", x) for x in read)
     assert written(spark, "payload") == before
+
+
+def test_names_of_queries_reduce_chunks_without_a_shuffle(spark, sf_dir):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cases = P._cases(spark, sf_dir)
+        plan = cases._jdf.queryExecution().sparkPlan().toString()
+        rows = sorted(repr(tuple(r)) for r in cases.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin [name" in plan
+    assert rows == sorted(repr(tuple(r)) for r in P._cases(spark, sf_dir).collect())
