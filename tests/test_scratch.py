@@ -37,7 +37,7 @@ def test_counts_of_a_block_go_before_those_of_the_next(spark, monkeypatch):
     assert not any(x in p for p in plans for x in ("Join", "Aggregate"))
 
 
-@pytest.mark.parametrize("name", ["a1_sources", "e20_text_to_image_run", "a5_image_parts", "f7_hybrid_search", "a2_evidence_context", "f1_fused_channels", "e18_evaluation_run", "e19_grouped_cases", "r1_reranked", "a4_fallback_answers", "f8_text_mode"])
+@pytest.mark.parametrize("name", ["a1_sources", "e20_text_to_image_run", "a5_image_parts", "f7_hybrid_search", "a2_evidence_context", "f1_fused_channels", "e18_evaluation_run", "e19_grouped_cases", "r1_reranked", "a4_fallback_answers", "f8_text_mode", "f8_text_to_image_mode"])
 def test_no_counts_are_left(spark, sf_dir, name):
     before = written(spark, "asked")
     QUERIES[name](spark, sf_dir)
