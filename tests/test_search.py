@@ -2,11 +2,16 @@
 
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from corvane.operators import lexical as L
 from corvane.plans import lexical_queries as X
+from corvane.plans import registry
+from tests.compare import connect, rows_of_spark, rows_of_sql
 
 DOCS = [(1, ["a", "b", "a"]), (2, ["a"]), (2, ["b", "b", "c"]), (3, []), (4, None), (None, ["a", "c"]), (5, ["c"]), (6, ["c"]), (7, ["d"])]
 ASKED = [(10, "a", 1.0), (10, "c", 2.0), (20, "b", 1.0), (30, "zzz", 1.0), (None, "a", 1.0)]
@@ -122,3 +127,16 @@ def test_texts_of_few_hits_are_not_shuffled(spark, sf_dir, monkeypatch):
         plans.append(found._jdf.queryExecution().sparkPlan().toString())
         rows.append(sorted(r["chunk_id"] for r in found.collect()))
     assert "BroadcastHashJoin" in plans[0] and rows[0] == rows[1] and set(rows[0]) <= {0, 1} and rows[0]
+
+
+@pytest.mark.parametrize("name", ["a2_evidence_context"])
+def test_every_query_with_an_id_is_searched(spark, sf_dir, tmp_path, name):
+    """No id of the smallest data is divisible by 100; a query without an id has no rows."""
+    for path in Path(sf_dir).glob("*.parquet"):
+        (tmp_path / path.name).symlink_to(path)
+    at = tmp_path / "preprocessed_queries.parquet"
+    rows = pq.read_table(at)
+    at.unlink()
+    pq.write_table(pa.concat_tables([rows, rows.slice(0, 2).set_column(0, rows.schema.field(0), pa.nulls(2, rows.schema.field(0).type))]), at)
+    got = rows_of_spark(registry.queries()[name](spark, str(tmp_path)))
+    assert got[1] and got == rows_of_sql(connect(str(tmp_path)), registry.oracle_sql()[name])
