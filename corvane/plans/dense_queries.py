@@ -35,8 +35,8 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return embedding.hashed_vectors(rows.select(F.col("chunk_id").alias("id"), _lower(F.substring("text", 1, embedding.MAX_CHARS)).alias("tokens")))
 
 
-def dense_hits(spark: SparkSession, d: str, n: int = 50) -> DataFrame:
-    q = embedding.hashed_vectors(X.asked(spark, d).select(F.col("query_id").alias("id"), _lower(F.col("raw")).alias("tokens")))
+def dense_hits(spark: SparkSession, d: str, n: int = 50, every: bool = False) -> DataFrame:
+    q = embedding.hashed_vectors(X.asked(spark, d, every).select(F.col("query_id").alias("id"), _lower(F.col("raw")).alias("tokens")))
     return vectors.top_k(chunk_vectors(spark, d), q.withColumnRenamed("id", "query_id"), n)
 
 
@@ -51,13 +51,13 @@ def v1_dense_search(spark: SparkSession, d: str) -> DataFrame:
     return dense_hits(spark, d).withColumnRenamed("id", "chunk_id")
 
 
-@query(f"""WITH {_DV}, {_QV}, {_DR}, {X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN},
+@query(f"""WITH {X.every_query(f"{_DV}, {_QV}, {_DR}, {X.ZH}, {X.ZH_Q}, {X.ZH_HITS}, {X.EN}")},
 un AS (SELECT query_id, id, rank, 5e-1 AS w FROM dr UNION ALL SELECT query_id, id, rank, 3e-1 FROM zr WHERE rank <= 50 UNION ALL SELECT query_id, id, rank, 2e-1 FROM er WHERE rank <= 50),
 fu AS (SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score FROM un GROUP BY query_id, id)
 SELECT query_id, f.id AS chunk_id, f.score FROM fu f JOIN parsed_chunks p ON p.chunk_id = f.id WHERE coalesce(p.metadata.source_type, '') <> 'image'""")
 def v4_text_search(spark: SparkSession, d: str) -> DataFrame:
     """The text route: dense and both lexical channels, images kept out."""
-    dense, zh, en = together(lambda: dense_hits(spark, d), lambda: X.zh_hits(spark, d), lambda: X.en_hits(spark, d))
+    dense, zh, en = together(lambda: dense_hits(spark, d, every=True), lambda: X.zh_hits(spark, d, every=True), lambda: X.en_hits(spark, d, every=True))
     lists = dense.withColumn("route", F.lit("dense")).unionByName(zh.withColumn("route", F.lit("zh"))).unionByName(en.withColumn("route", F.lit("en")))
     fused = fusion.fuse_channels(lists.withColumnRenamed("id", "chunk_id"), {"dense": 0.5, "zh": 0.3, "en": 0.2})
     text = table(spark, d, "parsed_chunks").where("coalesce(metadata.source_type, '') <> 'image'").select("chunk_id")

@@ -129,7 +129,7 @@ def test_texts_of_few_hits_are_not_shuffled(spark, sf_dir, monkeypatch):
     assert "BroadcastHashJoin" in plans[0] and rows[0] == rows[1] and set(rows[0]) <= {0, 1} and rows[0]
 
 
-@pytest.mark.parametrize("name", ["a2_evidence_context", "e18_evaluation_run", "f7_hybrid_search", "f8_text_mode"])
+@pytest.mark.parametrize("name", ["a2_evidence_context", "e18_evaluation_run", "f7_hybrid_search", "f8_text_mode", "v4_text_search"])
 def test_every_query_with_an_id_is_searched(spark, sf_dir, tmp_path, name):
     """No id of the smallest data is divisible by 100; a query without an id has no rows."""
     for path in Path(sf_dir).glob("*.parquet"):
