@@ -618,7 +618,7 @@ class Needs:
     """
 
     def __init__(self, held: dict[str, int], lexicon: Lexicon, every: bytes, parts: bytes, longest: int) -> None:
-        self.held, self.every, self.parts, self.longest = held.keys(), every, parts, longest
+        self.held, self.every, self.parts, self.longest = held, every, parts, longest
         self.able = {s for s, words in lexicon.likely.items() if any(lexicon.counts[w] >= PART_COUNT for w in words)}
         self.brief = {skeleton(w) for w in lexicon.frequent}
         self.any_part = any(parts)
@@ -629,8 +629,10 @@ class Needs:
         if _FOLDED.search(stream):
             words.update(x.lower() for x in re.findall(WORD.pattern, stream, flags=re.I))
         out: set[str] = set()
-        for w in words - self.held:
-            out |= self.of_word(w)
+        # One by one: the difference to a view of a dict walks through all that is held.
+        for w in words:
+            if w not in self.held:
+                out |= self.of_word(w)
         if _WRONG.search(stream):
             solid = re.sub(r"\s+", "", stream)
             for m in _WRONG.finditer(solid):
@@ -645,7 +647,7 @@ class Needs:
                 self.known.clear()
             either = (char, *_PAIRS[char])
             pairs = {a + c for a in (before, *_PAIRS.get(before, ())) for c in either if before > "~"} | {c + after for c in either if after > "~"}
-            self.known[key] = frozenset(s for s in map(skeleton, pairs - self.held) if _holds(self.every, s))
+            self.known[key] = frozenset(s for s in (skeleton(p) for p in pairs if p not in self.held) if _holds(self.every, s))
         return self.known[key]
 
     def of_word(self, word: str) -> frozenset[str]:
